@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fixed
+
 _END = "</turn>"
 #: Character and escape, in the order of writing; reading goes the other way, so that \b comes last.
 _ESCAPES = (("\\", "\\b"), ("<", "\\l"), ("#", "\\h"))
@@ -90,7 +92,7 @@ def format_chat(conversations: DataFrame, answers: str = "assistant") -> DataFra
             grouped = grouped.withColumn("formatted", rendered(F.col("source"), 0))
         else:
             grouped = grouped.withColumn("formatted", F.when(_same(F.col("turns"), F.col("source")), F.col("formatted")).otherwise(rendered(F.col("source"), level)))
-        grouped = grouped.withColumn("turns", parsed(F.col("formatted")))
+        grouped = fixed(fixed(grouped).withColumn("turns", parsed(F.col("formatted"))))
     lost = F.raise_error(F.concat(F.lit("no level gives this conversation back: "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))))
     turns = F.when(_same(F.col("turns"), F.col("source")), F.col("turns")).otherwise(lost)
     grouped = grouped.select("conv_id", "formatted", turns.alias("turns"))

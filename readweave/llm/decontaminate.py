@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fixed, written
 
 _CUT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -38,7 +38,7 @@ def _small(df: DataFrame) -> DataFrame:
 
 def item_windows(bench: DataFrame, window: int) -> DataFrame:
     """window_id, words (joined by spaces), length, items (distinct item_ids), for each distinct window."""
-    items = bench.select(F.col("item_id"), folded_words(F.col("text").cast("string")).alias("w")).where(F.size("w") > 0)
+    items = fixed(bench.select(F.col("item_id"), folded_words(F.col("text").cast("string")).alias("w"))).where(F.size("w") > 0)
     length = F.least(F.lit(window), F.size("w"))
     each = items.select("item_id", length.alias("length"), F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - length + 1), lambda i: F.slice("w", i, length))).alias("w"))
     grouped = each.groupBy("length", F.array_join("w", " ").alias("words")).agg(F.collect_set("item_id").alias("items"))
@@ -69,7 +69,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = 10) -> DataFr
     # All places of documents where a benchmark shingle stands, and from these how rare each is.
     seen = None
     for k in sizes:
-        runs = docs.select("key", "mark", folded_words(F.col("text")).alias("w")).select("key", "mark", _runs(F.col("w"), k).alias("runs"))
+        runs = fixed(docs.select("key", "mark", folded_words(F.col("text")).alias("w"))).select("key", "mark", _runs(F.col("w"), k).alias("runs"))
         each = runs.select("key", "mark", F.lit(k).alias("k"), F.posexplode("runs").alias("at", "shingle"))
         each = each.join(known.where(F.col("k") == k).select("shingle"), "shingle", "left_semi").select("key", "mark", "k", "at", "shingle")
         seen = each if seen is None else seen.unionByName(each)
@@ -87,13 +87,13 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = 10) -> DataFr
     found = found.groupBy("key", "mark").agg(F.collect_list(F.struct("start", "length", "words", "items")).alias("found"))
 
     both = docs.join(found, ["key", "mark"], "left")
-    both = both.select(*out, "found", F.when(F.col("found").isNotNull(), folded_words(F.col("text"))).alias("w"))
+    both = fixed(both.select(*out, "found", F.when(F.col("found").isNotNull(), folded_words(F.col("text"))).alias("w")))
     true = F.filter("found", lambda c: (c["start"] + c["length"] <= F.size("w")) & (F.array_join(F.slice("w", c["start"] + 1, c["length"]), " ") == c["words"]))
-    both = both.withColumn("found", F.when(F.col("found").isNotNull(), true))
+    both = fixed(both.select("doc_id", "n_words", F.when(F.col("found").isNotNull(), true).alias("found")))
     hit = F.size(F.array_distinct(F.flatten(F.transform("found", lambda c: F.sequence(c["start"], c["start"] + c["length"] - 1)))))
     items = F.array_distinct(F.flatten(F.transform("found", lambda c: c["items"])))
     none = F.array().cast(windows.schema["items"].dataType)
-    return both.select("doc_id", "n_words", F.when(F.col("found").isNull(), 0).otherwise(hit).cast("long").alias("n_hit"), F.coalesce(items, none).alias("items"))
+    return fixed(both.select("doc_id", "n_words", F.when(F.col("found").isNull(), 0).otherwise(hit).cast("long").alias("n_hit"), F.coalesce(items, none).alias("items")))
 
 
 def uncontaminated(docs: DataFrame, bench: DataFrame, window: int = 10, most: float = 0.0) -> DataFrame:

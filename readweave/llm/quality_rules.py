@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, words_of
+from .common import WHITE, fixed, words_of
 
 
 class Rule(NamedTuple):
@@ -63,7 +63,7 @@ def metrics(docs: DataFrame, window: int = 8) -> DataFrame:
     lines = F.filter(F.split("_text", "\n"), lambda x: F.regexp_replace(x, WHITE, "") != "")
     docs = docs.select("doc_id", "_text", "_words", hashes.alias("_windows"), lines.alias("_lines"))
     stops = [w + end for w in STOP_WORDS for end in ("", ",", ".")]
-    return docs.select(
+    counts = docs.select(
         "doc_id",
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.regexp_replace("_text", WHITE, "")).cast("long").alias("word_chars"),
@@ -73,6 +73,7 @@ def metrics(docs: DataFrame, window: int = 8) -> DataFrame:
         F.size("_lines").cast("long").alias("n_lines"),
         F.size(F.filter("_words", lambda w: w.isin(stops))).cast("long").alias("n_stop_words"),
     )
+    return fixed(counts)
 
 
 def passes(rule: Rule) -> Column:
