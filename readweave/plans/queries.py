@@ -181,7 +181,7 @@ QUERIES = {
     "isolated_reads": _of("nodes", lambda n: n.where(graph.is_isolated()).select("read_id")),
     "max_overlap_per_side": _of("edges", lambda e: graph.max_overlap(e).select(*_long("n", "ns", "max_k"))),
     "missing_mirror": _of("edges", lambda e: graph.missing_mirror(e).select(*_long(*_EL))),
-    "paths": _of("paths", lambda p: p.select(*_long("n", "ns", "d", "ds", "k", "end", "end_s", "hop", "len", "end_len", "bubble_len"), "type")),
+    "paths": _of("paths", lambda p: p.withColumn("hop", F.coalesce("hop", F.lit(-1))).select(*_long("n", "ns", "d", "ds", "k", "end", "end_s", "hop", "len", "end_len", "bubble_len"), "type")),
     "path_types": _of("paths", lambda p: p.groupBy("type").agg(F.count(F.lit(1)).alias("n_paths"), F.max("len").alias("longest"))),
     "tips_pass1": lambda s, d: _tips_pass(s, d).select(*_long("n", "ns", "d", "ds", "end", "tip_len", "tip_bp")),
     "bubbles_pass1": lambda s, d: _bubbles(s, d).select(*_long("n", "ns", "d", "ds", "len", "match"), "depth", *_long("b_len"), "thin", "longer_sibling", "removed"),
@@ -234,7 +234,7 @@ ORACLES = {
     "isolated_reads": _with(_NODES, "SELECT read_id FROM nodes WHERE deg_b = 0 AND deg_f = 0"),
     "max_overlap_per_side": _with(_EDGES, "SELECT n, CAST(ns AS BIGINT) AS ns, max(k) AS max_k FROM edges GROUP BY n, ns"),
     "missing_mirror": _with(_EDGES, f"SELECT {_E} FROM edges e WHERE NOT EXISTS (SELECT 1 FROM edges m WHERE m.n = e.d AND m.ns = 1 - e.ds AND m.d = e.n AND m.ds = 1 - e.ns AND m.k = e.k)"),
-    "paths": _with(_PATHS, 'SELECT n, CAST(ns AS BIGINT) AS ns, d, CAST(ds AS BIGINT) AS ds, CAST(k AS BIGINT) AS k, "end", CAST(end_s AS BIGINT) AS end_s, hop, len, end_len, bubble_len, type FROM paths'),
+    "paths": _with(_PATHS, 'SELECT n, CAST(ns AS BIGINT) AS ns, d, CAST(ds AS BIGINT) AS ds, CAST(k AS BIGINT) AS k, "end", CAST(end_s AS BIGINT) AS end_s, coalesce(hop, -1) AS hop, len, end_len, bubble_len, type FROM paths'),
     "path_types": _with(_PATHS, "SELECT type, count(*) AS n_paths, max(len) AS longest FROM paths GROUP BY type"),
     "tips_pass1": _with(_PATHS, f'SELECT n, CAST(ns AS BIGINT) AS ns, d, CAST(ds AS BIGINT) AS ds, "end", len AS tip_len, end_len - ({L} - k) AS tip_bp FROM paths WHERE type = \'TIP\' AND end_len - ({L} - k) < {2 * L} AND len <= {2 * L}'),
     "bubbles_pass1": _with(_BUBBLES, f"SELECT n, CAST(ns AS BIGINT) AS ns, d, CAST(ds AS BIGINT) AS ds, len, CAST(match AS BIGINT) AS match, round(depth, 6) AS depth, CAST(b_len AS BIGINT) AS b_len, thin, longer_sibling, b_len < {L} AND match < {T} AND (thin OR longer_sibling) AS removed FROM arms"),
