@@ -255,7 +255,8 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, size: int = 5, trees: in
     # Exact verification within families.
     known = written(families.join(nodes.select("node", "doc_id", "copies", "n"), "node"))
     wanted = known.select("node", "family", "copies", F.col("doc_id").alias("of"))
-    texts = wanted.join(docs, wanted.of.eqNullSafe(docs.doc_id)).select("node", "family", "copies", "text")
+    # The hint keeps the plan alike at every size; which documents are wanted grows with the corpus.
+    texts = docs.hint("merge").join(wanted, wanted.of.eqNullSafe(docs.doc_id)).select("node", "family", "copies", "text")
     sets = texts.mapInArrow(_sets(size), "node binary, family binary, copies long, shingles binary")
     blocks = known.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / (block * 1024))).alias("n_blocks"))
     cells = _cells(sets, "family", blocks).select("cell", "side", "node", "copies", "shingles")
