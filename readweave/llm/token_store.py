@@ -7,6 +7,7 @@ table, so Spark's own commit protocol decides which attempt of a task counts, on
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
-from .words import slices
+from .words import hash_ranges, slices
 
 _MAGIC, _HEAD = b"WVM1", "<4sBQQ"
 #: Ids in a shard, but for a longer document; bounds the memory of a task.
@@ -41,9 +42,10 @@ class WaveletMatrix:
     @classmethod
     def build(cls, ids: np.ndarray, lengths: np.ndarray) -> WaveletMatrix:
         bits = max(1, int(ids.max()).bit_length()) if len(ids) else 1
-        planes, row = [], ids.astype(np.uint32)
+        kind = np.uint16 if bits <= 16 else np.uint32
+        planes, row = [], ids.astype(kind)
         for k in range(bits - 1, -1, -1):
-            ones = (row >> np.uint32(k)) & np.uint32(1) != 0
+            ones = (row >> kind(k)) & kind(1) != 0
             planes.append(np.packbits(ones, bitorder="little"))
             row = np.concatenate([row[~ones], row[ones]])
         return cls(planes, len(ids), lengths)
@@ -123,18 +125,14 @@ class WaveletMatrix:
         return list(zip(doc.tolist(), (places - self.starts[doc]).tolist(), strict=True))
 
     def ids(self) -> np.ndarray:
-        """All ids in order: each plane sends its values to the next plane's places."""
-        value, place = np.zeros(self.n, np.uint32), None
-        for k, plane in enumerate(self.planes):
-            bits = np.unpackbits(plane, count=self.n, bitorder="little")
-            next_ = np.empty(self.n, np.int32)
-            ones = bits.view(bool)
-            many = int(bits.sum())
-            next_[~ones] = np.arange(self.n - many, dtype=np.int32)
-            next_[ones] = np.arange(self.n - many, self.n, dtype=np.int32)
-            here = bits if place is None else bits[place]
-            value = value << np.uint32(1) | here
-            place = next_ if place is None else next_[place]
+        """All ids in order: from the last plane up, each plane says where the values of the next one stood before."""
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        value = np.zeros(self.n, kind)
+        for k, plane in enumerate(reversed(self.planes)):
+            ones = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
+            zeros, before = self.zeros[len(self.planes) - 1 - k], np.empty(self.n, kind)
+            before[~ones], before[ones] = value[:zeros], value[zeros:] | kind(1 << k)
+            value = before
         return value
 
     def document(self, d: int) -> np.ndarray:
@@ -145,14 +143,116 @@ class WaveletMatrix:
 _SHARD = pa.schema([("part", pa.int32()), ("nth", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("image", pa.binary())])
 
 
+#: Bytes that are, or may begin, white space inside a segment, and a space at its end.
+_ODD = re.compile(rb"[\x00-\x1f\x7f\xc2\xe1-\xe3]|[^\x00]\x20|\x20\Z|\A\Z")
+
+
+class SegmentEncoder:
+    """Encodes whole texts with a byte-level BPE tokenizer, each distinct segment of a slice once.
+
+    A segment begins at a text's start or at a single space between two characters that are no white space.  The
+    tokenizer's splitting pattern always cuts there, and merges never cross a cut, so the ids of a text are those of
+    its segments one after the other.  Bytes that may belong to other Unicode white space never make a cut.
+    """
+
+    #: Segments kept between slices: the first ones met, which holds the frequent ones.
+    KEPT = 200_000
+    #: New segments encoded as the lines of one text.
+    LINES = 24
+
+    def __init__(self, path: str):
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        self.known: dict[bytes, bytes] = {}
+        byte = np.arange(256)
+        self.ends = (byte > 0x20) & (byte < 0x80)
+        self.two = (byte >= 0xC3) & (byte <= 0xDF)
+        self.begins = self.ends | self.two | (byte >= 0xE4)
+
+        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        if self.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("ids are kept as 16 bits")
+
+    def _encoded(self, segments: list[bytes]) -> list[bytes]:
+        """Ids of each segment, as bytes of 16-bit numbers.
+
+        Segments without line ends are encoded as lines of one text: the pattern gives each line end a token of its own,
+        which leaves the next line's leading space to its word.
+        """
+        odd = [_ODD.search(x) is not None for x in segments]
+        plain = [x for x, o in zip(segments, odd, strict=True) if not o] if any(odd) else segments
+        encode = lambda texts: [np.array(e.ids, np.uint16) for e in self.batch(texts, add_special_tokens=False)]
+        texts = [b"\n".join(plain[k : k + self.LINES]).decode() for k in range(0, len(plain), self.LINES)]
+        lines: list[bytes] = []
+        if texts:
+            between = np.array(self.line, np.uint16)
+            ids = np.concatenate([x for e in encode(texts) for x in (e, between)])
+            cuts = np.flatnonzero(ids == between[0]).tolist()
+            if len(between) != 1 or len(cuts) != len(plain):
+                lines = [x.tobytes() for x in encode([x.decode() for x in plain])]
+            else:
+                own = ids.tobytes()
+                lines = [own[2 * a : 2 * b] for a, b in zip([0, *[c + 1 for c in cuts[:-1]]], cuts, strict=True)]
+        if len(plain) == len(segments):
+            return lines
+        other, line = iter([x.tobytes() for x in encode([x.decode() for x, o in zip(segments, odd, strict=True) if o])]), iter(lines)
+        return [next(other) if o else next(line) for o in odd]
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each)."""
+        import pandas as pd
+
+        texts = pa.concat_arrays([texts.cast(pa.large_string())]).fill_null("")
+        n, buffers = len(texts), texts.buffers()
+        offsets = np.frombuffer(buffers[1], np.int64)[texts.offset : texts.offset + n + 1]
+        data = np.frombuffer(buffers[2], np.uint8)[offsets[0] : offsets[-1]] if buffers[2] is not None else np.zeros(0, np.uint8)
+        offsets = offsets - offsets[0]
+        if not len(data):
+            return np.zeros(0, np.uint16), np.zeros(n, np.int64)
+        cut = np.zeros(len(data), bool)
+        cut[2:-1] = (data[2:-1] == 0x20) & (self.ends[data[1:-2]] | (self.two[data[:-3]] & (data[1:-2] >= 0x80))) & self.begins[data[3:]]
+        # A space at either end of a text has no neighbour inside it.
+        edges = offsets[:-1][offsets[1:] > offsets[:-1]]
+        cut[offsets[1:][offsets[1:] > offsets[:-1]] - 1] = False
+        cut[edges] = True
+        start = np.flatnonzero(cut)
+        end = np.append(start[1:], len(data))
+        code, unique = pd.factorize(hash_ranges(data, start, end))
+        first = np.empty(len(unique), np.int64)
+        first[code[::-1]] = np.arange(len(code))[::-1]
+        raw = data.tobytes()
+        known, segments = self.known, [raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+        found = list(map(known.get, segments))
+        new = [i for i, x in enumerate(found) if x is None]
+        if new:
+            for i, ids in zip(new, self._encoded([segments[i] for i in new]), strict=True):
+                found[i] = ids
+                if len(known) < self.KEPT:
+                    known[segments[i]] = ids
+        many = np.fromiter(map(len, found), np.int64, len(found)) >> 1
+        flat = np.frombuffer(b"".join(found), np.uint16)
+        at = np.cumsum(many) - many
+        each = many[code]
+        total = np.concatenate([[0], np.cumsum(each)])
+        ids = flat[np.repeat(at[code] - total[:-1], each) + np.arange(total[-1])]
+        bounds = total[np.searchsorted(start, offsets)]
+        return ids, np.diff(bounds)
+
+
+_encoders: dict[str, SegmentEncoder] = {}
+
+
 def _encode(path: str, end_id: int, most: int):
     def run(batches):
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        fast = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+        encoder = _encoders.get(path) or _encoders.setdefault(path, SegmentEncoder(path))
         part, nth, size = TaskContext.get().partitionId(), 0, 0
         docs: list = []
         ids: list[np.ndarray] = []
@@ -165,15 +265,26 @@ def _encode(path: str, end_id: int, most: int):
             return out
 
         for batch in batches:
-            for at, to in slices(batch.column(1), 1 << 20):
-                texts = [t or "" for t in batch.column(1).slice(at, to - at).to_pylist()]
-                for doc, e in zip(batch.column(0).slice(at, to - at).to_pylist(), fast(texts, add_special_tokens=False), strict=True):
-                    own = np.array([*e.ids, end_id], np.uint32)
-                    if docs and size + len(own) > most:
+            for at, to in slices(batch.column(1), 8 << 20):
+                found, many = encoder(batch.column(1).slice(at, to - at))
+                ends = np.cumsum(many)
+                # Each document with its end id, then cut where a shard is full.
+                found = np.insert(found, ends, end_id)
+                many, ends = many + 1, ends + np.arange(1, len(many) + 1)
+                names, low = batch.column(0).slice(at, to - at).to_pylist(), 0
+                while low < len(names):
+                    before = ends[low - 1] if low else 0
+                    high = int(np.searchsorted(ends, before + most - size, "right"))
+                    if high <= low and docs:
                         yield shard()
                         nth, size = nth + 1, 0
-                    docs.append(doc), ids.append(own), lengths.append(len(own))
-                    size += len(own)
+                        continue
+                    high = max(high, low + 1)
+                    docs += names[low:high]
+                    ids.append(found[before : ends[high - 1]])
+                    lengths += many[low:high].tolist()
+                    size += int(ends[high - 1] - before)
+                    low = high
         if docs:
             yield shard()
 
@@ -188,7 +299,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, shard_ids: in
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), "text").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    ordered = docs.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     images = written(ordered.mapInArrow(_encode(tokenizer, end_id, shard_ids), "part int, nth int, n_ids long, doc_ids array<long>, image binary"))
     # Offsets: one row per part is ordered in one task, the shards of a part in another.
     parts = images.groupBy("part").agg(F.sum("n_ids").alias("all"))

@@ -52,6 +52,11 @@ def _between(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, base: int)
     return (prefix[end] - prefix[start]) * powers(inverse, len(prefix))[start]
 
 
+def hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each byte range of a buffer."""
+    return mix(_between(_prefix(_BYTE_VALUE[data], BYTE_BASE), start, end, BYTE_BASE) + (end - start).astype(U64))
+
+
 def slices(texts: pa.Array, most: int = SLICE_BYTES):
     """(start, stop) row ranges of about `most` bytes each."""
     size = np.frombuffer(texts.cast(pa.large_string()).buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
@@ -85,7 +90,7 @@ class Words:
         self.first = np.searchsorted(self.start, offsets)
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(n), self.count)
-        self.hash = mix(_between(_prefix(_BYTE_VALUE[data], BYTE_BASE), self.start, self.end, BYTE_BASE) + (self.end - self.start).astype(U64))
+        self.hash = hash_ranges(data, self.start, self.end)
 
     def windows(self, n: int, base: int = WORD_BASE, short: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Word index at which each window of n words starts, and its hash; short: a text of fewer words, but not none, is one window."""
