@@ -22,7 +22,7 @@ from .words import hash_ranges, slices
 
 _MAGIC, _HEAD = b"WVM1", "<4sBQQ"
 #: Ids in a shard, but for a longer document; bounds the memory of a task.
-SHARD_IDS = 2_000_000
+SHARD_IDS = 1_000_000
 #: Ranks are kept for every so many bits.
 _STEP = 512
 
@@ -156,7 +156,7 @@ class SegmentEncoder:
     """
 
     #: Segments kept between slices: the first ones met, which holds the frequent ones.
-    KEPT = 200_000
+    KEPT = 150_000
     #: New segments encoded as the lines of one text.
     LINES = 24
 
@@ -265,7 +265,7 @@ def _encode(path: str, end_id: int, most: int):
             return out
 
         for batch in batches:
-            for at, to in slices(batch.column(1), 8 << 20):
+            for at, to in slices(batch.column(1), 2 << 20):
                 found, many = encoder(batch.column(1).slice(at, to - at))
                 ends = np.cumsum(many)
                 # Each document with its end id, then cut where a shard is full.
