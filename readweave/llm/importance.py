@@ -61,7 +61,8 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, prior: float
     """
     good = labels.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min(F.coalesce("quality", F.lit(0))).alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("x")).where("q = 1 and x = 0").select("_id")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = docs.join(good, docs.doc_id == good._id, "left").select("text", F.col("_id").isNotNull().alias("good"))
+    # The hint keeps the plan alike at every size; labels grow with the corpus.
+    marked = docs.hint("merge").join(good, docs.doc_id == good._id, "left").select("text", F.col("_id").isNotNull().alias("good"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = marked.mapInArrow(_count(buckets), "chunk long, counts binary").repartition(n, "chunk").mapInArrow(_sum, "chunk long, counts binary").collect()
     total = np.zeros((2, buckets))
