@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .words import U64, Words, mix, slices
+from .words import U64, Words, mix, slices, tidied
 
 #: Hash buckets of the models; a model is 8 bytes each, whatever the corpus.
 BUCKETS = 1 << 18
@@ -64,7 +64,7 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, prior: float
     # The hint keeps the plan alike at every size; labels grow with the corpus.
     marked = docs.hint("merge").join(good, docs.doc_id == good._id, "left").select("text", F.col("_id").isNotNull().alias("good"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = marked.mapInArrow(_count(buckets), "chunk long, counts binary").repartition(n, "chunk").mapInArrow(_sum, "chunk long, counts binary").collect()
+    rows = marked.mapInArrow(tidied(_count(buckets)), "chunk long, counts binary").repartition(n, "chunk").mapInArrow(_sum, "chunk long, counts binary").collect()
     total = np.zeros((2, buckets))
     for r in rows:
         own = np.frombuffer(r.counts, np.int64).reshape(2, -1)
@@ -121,7 +121,7 @@ def importance_resample(docs: DataFrame, labels: DataFrame, share: float | None
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model = spark.sparkContext.broadcast(fit(docs, labels, buckets, prior))
-    scored = written(docs.mapInArrow(_score(model, buckets, seed), "doc_id long, n_words long, log_weight double, perturbed double"))
+    scored = written(docs.mapInArrow(tidied(_score(model, buckets, seed)), "doc_id long, n_words long, log_weight double, perturbed double"))
     if share is None:
         share = labels.groupBy("doc_id").agg(F.min(F.coalesce("quality", F.lit(0))).alias("q")).agg(F.avg("q")).first()[0]
         share = 1.0 if share is None else share

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, written
-from .words import U64, Words, mix, slices
+from .words import U64, Words, mix, slices, tidied
 
 _NODE = 16
 
@@ -237,7 +237,7 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, size: int = 5, trees: in
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     depth = forest_depth(threshold, trees, recall)
     count = trees * depth
-    signed = written(docs.mapInArrow(_sign(size, count), "doc_id long, node binary, n long, sig binary"))
+    signed = written(docs.mapInArrow(tidied(_sign(size, count)), "doc_id long, node binary, n long, sig binary"))
     nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     nodes = written(nodes)
 
@@ -249,7 +249,7 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, size: int = 5, trees: in
     sketch = nodes.select("node", F.concat(*[F.substring(F.col("sig"), 4 * i + 1, 1) for i in range(count)]).alias("sketch"))
     members = _cells(keys, "key", crowded).drop("key").join(sketch, "node").select("cell", "side", "node", "sketch")
     sure = threshold - 4.5 * (threshold * (1 - threshold) / count) ** 0.5
-    proposed = _dealt(members).mapInArrow(_sketch_edges(count, int(sure * count)), "u binary, v binary")
+    proposed = _dealt(members).mapInArrow(tidied(_sketch_edges(count, int(sure * count))), "u binary, v binary")
     families = components(proposed, "u", "v").select("node", F.col("root").alias("family"))
 
     # Exact verification within families.
@@ -257,10 +257,10 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, size: int = 5, trees: in
     wanted = known.select("node", "family", "copies", F.col("doc_id").alias("of"))
     # The hint keeps the plan alike at every size; which documents are wanted grows with the corpus.
     texts = docs.hint("merge").join(wanted, wanted.of.eqNullSafe(docs.doc_id)).select("node", "family", "copies", "text")
-    sets = texts.mapInArrow(_sets(size), "node binary, family binary, copies long, shingles binary")
+    sets = texts.mapInArrow(tidied(_sets(size)), "node binary, family binary, copies long, shingles binary")
     blocks = known.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / (block * 1024))).alias("n_blocks"))
     cells = _cells(sets, "family", blocks).select("cell", "side", "node", "copies", "shingles")
-    verified = written(_dealt(cells).mapInArrow(_verify(limit), "node binary, hub binary, links long"))
+    verified = written(_dealt(cells).mapInArrow(tidied(_verify(limit)), "node binary, hub binary, links long"))
     roots = components(verified, "node", "hub")
     linked = verified.groupBy("node").agg(F.sum("links").alias("links")).join(roots, "node", "left")
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .words import U64, Words, mix
+from .words import U64, Words, mix, tidied
 
 _PIECE = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -194,7 +194,7 @@ def page_text(pages: DataFrame, depth: int = LONG) -> DataFrame:
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     schema = "page_id long, url string, text string, print long, open array<struct<text:string,first:int,n:int,kept:boolean>>, keys array<long>, heads array<long>"
-    parsed = written(pages.mapInArrow(_parse(depth), schema))
+    parsed = written(pages.mapInArrow(tidied(_parse(depth)), schema))
     done = parsed.where("text is not null").select("page_id", "url", "text")
     left = parsed.where("text is null").select("page_id", "url", "print", "open", "keys")
     # Substrings that pages of different text share, wanted only where a page is open.

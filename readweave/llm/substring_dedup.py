@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import OTHER_BASE, U64, Words, mix, slices
+from .words import OTHER_BASE, U64, Words, mix, slices, tidied
 
 #: Text bytes for which one bucket of fingerprints and one group of documents are made.
 BUCKET_BYTES = 8 << 20
@@ -87,7 +87,7 @@ _FOUND = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("keys", pa.bin
 def _scan(window: int, groups: int):
     def run(batches):
         for batch in batches:
-            for at, to in slices(batch.column(1)):
+            for at, to in slices(batch.column(1), 4 << 20):
                 part = batch.slice(at, to - at)
                 words = Words(part.column(1))
                 start, key = words.windows(window)
@@ -204,9 +204,9 @@ def substring_dedup(docs: DataFrame, window: int = 13, with_text: bool = False)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = int(max(8, min(2**31 - 1, -(-total // BUCKET_BYTES))))
-    found = docs.mapInArrow(_scan(window, groups), "bucket int, kind tinyint, keys binary, body binary")
+    found = docs.mapInArrow(tidied(_scan(window, groups)), "bucket int, kind tinyint, keys binary, body binary")
     gone = found.groupBy("bucket").applyInArrow(_decide(groups), "home int, body binary")
-    homes = docs.mapInArrow(_with_home(groups), "home int, doc_id long, text string")
+    homes = docs.mapInArrow(tidied(_with_home(groups)), "home int, doc_id long, text string")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return homes.groupBy("home").cogroup(gone.groupBy("home")).applyInArrow(_remove(window, with_text), schema)
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
-from .words import hash_ranges, slices
+from .words import hash_ranges, slices, tidied
 
 _MAGIC, _HEAD = b"WVM1", "<4sBQQ"
 #: Ids in a shard, but for a longer document; bounds the memory of a task.
@@ -156,7 +156,7 @@ class SegmentEncoder:
     """
 
     #: Segments kept between slices: the first ones met, which holds the frequent ones.
-    KEPT = 150_000
+    KEPT = 80_000
     #: New segments encoded as the lines of one text.
     LINES = 24
 
@@ -300,7 +300,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, shard_ids: in
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    images = written(ordered.mapInArrow(_encode(tokenizer, end_id, shard_ids), "part int, nth int, n_ids long, doc_ids array<long>, image binary"))
+    images = written(ordered.mapInArrow(tidied(_encode(tokenizer, end_id, shard_ids)), "part int, nth int, n_ids long, doc_ids array<long>, image binary"))
     # Offsets: one row per part is ordered in one task, the shards of a part in another.
     parts = images.groupBy("part").agg(F.sum("n_ids").alias("all"))
     parts = parts.select("part", F.coalesce(F.sum("all").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
@@ -320,4 +320,4 @@ def _read(batches):
 
 def read_digests(images: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from ids extracted from the images."""
-    return images.select("start", "doc_ids", "image").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return images.select("start", "doc_ids", "image").mapInArrow(tidied(_read), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -6,14 +6,17 @@ modulo 2**64 on whole byte buffers, so no Python object is made per word.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
+_LIBC = ctypes.CDLL(None)
 U64 = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Text bytes looked at together; a longer text makes a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 BYTE_BASE, WORD_BASE, OTHER_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 
 
@@ -35,12 +38,27 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1), kept between calls."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 20), base, U64)
-        have[0] = 1
+        have = np.full(n + n // 8, base, U64)
+        have[:1] = 1
         have = _powers[base] = np.cumprod(have, dtype=U64)
     return have[:n]
 
 
+def tidied(run):
+    """run, a function of Arrow batches, after which the worker gives back what it holds: workers outlive their tasks."""
+
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _powers.clear()
+            pa.default_memory_pool().release_unused()
+            if hasattr(_LIBC, "malloc_trim"):
+                _LIBC.malloc_trim(0)
+
+    return inner
+
+
 def _prefix(values: np.ndarray, base: int) -> np.ndarray:
     out = np.zeros(len(values) + 1, U64)
     np.cumsum(values * powers(base, len(values)), out=out[1:], dtype=U64)
