@@ -248,11 +248,18 @@ class SegmentEncoder:
 _encoders: dict[str, SegmentEncoder] = {}
 
 
+def encoder_of(path: str) -> SegmentEncoder:
+    """The worker's encoder for that file; a module's function, so that tasks share it."""
+    if path not in _encoders:
+        _encoders[path] = SegmentEncoder(path)
+    return _encoders[path]
+
+
 def _encode(path: str, end_id: int, most: int):
     def run(batches):
         from pyspark import TaskContext
 
-        encoder = _encoders.get(path) or _encoders.setdefault(path, SegmentEncoder(path))
+        encoder = encoder_of(path)
         part, nth, size = TaskContext.get().partitionId(), 0, 0
         docs: list = []
         ids: list[np.ndarray] = []

@@ -11,7 +11,6 @@ import ctypes
 import numpy as np
 import pyarrow as pa
 
-_LIBC = ctypes.CDLL(None)
 U64 = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -44,17 +43,23 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def tidy() -> None:
+    """Gives back what a Python worker holds; workers outlive their tasks."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def tidied(run):
-    """run, a function of Arrow batches, after which the worker gives back what it holds: workers outlive their tasks."""
+    """run, a function of Arrow batches, with tidy() after its last batch."""
 
     def inner(batches):
         try:
             yield from run(batches)
         finally:
-            _powers.clear()
-            pa.default_memory_pool().release_unused()
-            if hasattr(_LIBC, "malloc_trim"):
-                _LIBC.malloc_trim(0)
+            tidy()
 
     return inner
 
