@@ -146,7 +146,7 @@ def remix(docs: DataFrame, **how) -> DataFrame:
     # Whole takes of a piece and of its block's prefix; a document's least whole count is a whole copy, the rest are pieces.
     spans = pieces.select("rank", "doc_id", "mark", "start", "first", "words", "times", of_part.alias("more"))
     own = spans.groupBy("rank", "start", "doc_id", "mark").agg(F.min(F.col("times") + F.when(F.col("more") == F.col("words"), 1).otherwise(0)).alias("_copies"), F.sum("words").alias("covered"), F.sort_array(F.collect_list(F.struct("first", "words", "times", "more"))).alias("_spans"))
-    own = own.join(rows.select("rank", "start", "size"), ["rank", "start"]).withColumn("_copies", F.when(F.col("covered") == F.col("size"), F.col("_copies")).otherwise(F.lit(0)))
+    own = own.join(rows.where("size > 0").select("rank", "start", "size"), ["rank", "start"]).withColumn("_copies", F.when(F.col("covered") == F.col("size"), F.col("_copies")).otherwise(F.lit(0)))
     key = lambda df, mark: df.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1 << 63))).withColumn("_none", F.col("doc_id").isNull()).withColumn("_mark", mark)
     own = key(own, F.col("mark")).groupBy("_id", "_none", "_mark").agg(F.collect_list(F.struct("_copies", "_spans")).alias("_takes"))
     both = key(docs, F.xxhash64("text")).dropDuplicates(["_id", "_none", "_mark"]).join(own, ["_id", "_none", "_mark"])

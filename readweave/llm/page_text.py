@@ -140,6 +140,18 @@ def _hash_text(values: list[str]) -> np.ndarray:
     return words.hash
 
 
+def _stream(blocks: list[tuple[str, int]], mark: int) -> list[tuple[str, int]]:
+    """Blocks that are not declared main text; where chrome and open text meet, a token of the page's own keeps
+    substrings from running from one into the other."""
+    out: list[tuple[str, int]] = []
+    for text, state in blocks:
+        if state < 2:
+            if out and out[-1][1] != state:
+                out.append((f"\x01{mark}", 0))
+            out.append((text, state))
+    return out
+
+
 def _parse(depth: int):
     host_of = re.compile(r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", re.I)
 
@@ -150,9 +162,9 @@ def _parse(depth: int):
                 parsed = [blocks_of(r["html"] or "") for r in rows]
                 hosts = [(host_of.match(r["url"] or "") or ["", ""])[1].lower() for r in rows]
                 # A page's stream is all of its text that no element declares to be main text.
-                streams = [[b for b in p if b[1] < 2] for p in parsed]
-                words = Words(pa.array([" ".join(b[0] for b in s) for s in streams], pa.string()))
                 prints = _hash_text(["\n".join(b[0] for b in p) for p in parsed])
+                streams = [_stream(p, int(x)) for p, x in zip(parsed, prints, strict=True)]
+                words = Words(pa.array([" ".join(b[0] for b in s) for s in streams], pa.string()))
                 place = words.first[words.doc + 1] if len(words.hash) else np.zeros(0, np.int64)
                 salt = _hash_text(hosts)
                 order, cls = suffix_classes(words.hash ^ salt[words.doc], place, depth) if len(words.hash) else (np.zeros(0, int),) * 2
@@ -210,7 +222,7 @@ def _unique(depth: int):
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                n = sum(b["n"] for b in r["open"])
+                n = max(b["first"] + b["n"] for b in r["open"])
                 edge = np.zeros(n + 1, np.int64)
                 for at in r["shared"]:
                     edge[at] += 1
