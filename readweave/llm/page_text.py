@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .words import U64, Words, mix, tidied
+from .words import U64, Words, hash_ranges, mix, tidied
 
 _PIECE = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -136,8 +136,10 @@ _PAGE = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.st
 
 
 def _hash_text(values: list[str]) -> np.ndarray:
-    words = Words(pa.array([v.replace(" ", "_") or "_" for v in values], pa.string()))
-    return words.hash
+    """A hash of each whole string."""
+    raw = [v.encode() for v in values]
+    ends = np.cumsum([len(v) for v in raw])
+    return hash_ranges(np.frombuffer(b"".join(raw), np.uint8), ends - [len(v) for v in raw], ends)
 
 
 def _stream(blocks: list[tuple[str, int]], mark: int) -> list[tuple[str, int]]:
