@@ -56,26 +56,28 @@ def _is_chrome(name: str, attributes: str, in_article: bool) -> bool:
 
 def blocks_of(page: str) -> list[tuple[str, int]]:
     """(text, state) of each block in page order; state 2: declared main text, 1: open, 0: chrome."""
-    stack: list[tuple[str, bool, int]] = []  # element, whether chrome encloses it, articles that enclose it
+    # element, whether chrome encloses it, articles that enclose it, whether a chrome block encloses it
+    stack: list[tuple[str, bool, int, bool]] = []
     out: list[tuple[str, int]] = []
     run: list[str] = []
-    state = [False, 0]
+    state = [False, 0, False]
 
     def close():
         text = " ".join(html.unescape("".join(run)).split())
         run.clear()
         if text:
-            out.append((text, 0 if state[0] else 2 if state[1] else 1))
+            out.append((text, 0 if state[2] else 2 if state[1] else 1))
 
     def enter():
-        state[0], state[1] = stack[-1][1:] if stack else (False, 0)
+        state[:] = stack[-1][1:] if stack else (False, 0, False)
 
     for m in _PIECE.finditer(page):
         name = (m[3] or "").lower()
         if not name:
             piece = m[0]
             if piece[0] != "<" or piece == "<":
-                run.append(piece)
+                # An inline element that is chrome leaves its block whole but for its own text.
+                run.append(" " if state[0] and not state[2] else piece)
             elif m[1]:
                 run.append(" ")
             continue
@@ -87,8 +89,6 @@ def blocks_of(page: str) -> list[tuple[str, int]]:
         if m[2]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    if name not in _BLOCK and stack[k][1] != (stack[k - 1][1] if k else False):
-                        close()  # an inline element that was chrome ends
                     del stack[k:]
                     enter()
                     break
@@ -105,11 +105,9 @@ def blocks_of(page: str) -> list[tuple[str, int]]:
                     if stack[k][0] in _BLOCK:
                         break
             chrome = state[0] or _is_chrome(name, m[4], state[1] > 0)
-            if chrome != state[0] and name not in _BLOCK:
-                close()
             inside = state[1] + (name in ("article", "main") or bool(re.search(r"""role\s*=\s*["']?main|articleBody""", m[4])))
             if not m[4].endswith("/"):
-                stack.append((name, chrome, inside))
+                stack.append((name, chrome, inside, chrome if name in _BLOCK else state[2]))
                 enter()
     close()
     return out
