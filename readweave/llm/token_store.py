@@ -45,9 +45,9 @@ class WaveletMatrix:
         kind = np.uint16 if bits <= 16 else np.uint32
         planes, row = [], ids.astype(kind)
         for k in range(bits - 1, -1, -1):
-            ones = (row >> kind(k)) & kind(1) != 0
+            ones = (row & kind(1 << k)).astype(bool)
             planes.append(np.packbits(ones, bitorder="little"))
-            row = np.concatenate([row[~ones], row[ones]])
+            row = np.concatenate([row.take(np.flatnonzero(~ones)), row.take(np.flatnonzero(ones))])
         return cls(planes, len(ids), lengths)
 
     def dump(self) -> bytes:
@@ -131,7 +131,7 @@ class WaveletMatrix:
         for k, plane in enumerate(reversed(self.planes)):
             ones = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
             zeros, before = self.zeros[len(self.planes) - 1 - k], np.empty(self.n, kind)
-            before[~ones], before[ones] = value[:zeros], value[zeros:] | kind(1 << k)
+            before[np.flatnonzero(~ones)], before[np.flatnonzero(ones)] = value[:zeros], value[zeros:] | kind(1 << k)
             value = before
         return value
 
@@ -145,18 +145,24 @@ _SHARD = pa.schema([("part", pa.int32()), ("nth", pa.int32()), ("n_ids", pa.int6
 
 #: Bytes that are, or may begin, white space inside a segment, and a space at its end.
 _ODD = re.compile(rb"[\x00-\x1f\x7f\xc2\xe1-\xe3]|[^\x00]\x20|\x20\Z|\A\Z")
+#: A word of letters (ASCII and U+00C0-U+00FF), with a leading space or none, then a sentence mark or none: the
+#: splitting pattern makes a token of the word with its space and one of the mark.
+_LEAN = re.compile(rb"\x20?(?:[A-Za-z]++|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++[,.;:!?]?\Z")
+#: Where a byte-level tokenizer writes bytes that have no printable Latin-1 character: 256 on, in their order.
+_HIGH = re.compile("[^\x00-\x7f]")
+_BYTE_LEVEL = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE))}
 
 
 class SegmentEncoder:
     """Encodes whole texts with a byte-level BPE tokenizer, each distinct segment of a slice once.
 
-    A segment begins at a text's start or at a single space between two characters that are no white space.  The
-    tokenizer's splitting pattern always cuts there, and merges never cross a cut, so the ids of a text are those of
+    A segment begins at a text's start, at a single space between two characters that are no white space, and before
+    and after a single line end between two such characters.  The tokenizer's splitting pattern always cuts there, and merges never cross a cut, so the ids of a text are those of
     its segments one after the other.  Bytes that may belong to other Unicode white space never make a cut.
     """
 
     #: Segments kept between slices: the first ones met, which holds the frequent ones.
-    KEPT = 80_000
+    KEPT = 300_000
     #: New segments encoded as the lines of one text.
     LINES = 24
 
@@ -176,12 +182,63 @@ class SegmentEncoder:
         self.begins = self.ends | self.two | (byte >= 0xE4)
 
         self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.lean = self._lean_tokenizer()
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept as 16 bits")
 
+    def _lean_tokenizer(self):
+        """The same merges behind a split at white space, for segments that are cut here; None for another kind of tokenizer."""
+        import json
+
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        made = json.loads(self.tokenizer.to_str())
+        cut = made["pre_tokenizer"] or {}
+        known = cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space")
+        if not known or made["normalizer"] is not None or made["model"].get("type") != "BPE" or made["model"].get("dropout") or len(self.line) != 1:
+            return None
+        lean = Tokenizer(self.tokenizer.model)
+        lean.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        return lean
+
+    def _lines(self, batch, texts: list[str], n: int) -> list[bytes] | None:
+        """Ids of the n lines of all texts; None if line ends don't come out as one token each."""
+        between = np.array(self.line, np.uint16)
+        ids = np.concatenate([x for e in batch(texts, add_special_tokens=False) for x in (np.array(e.ids, np.uint16), between)])
+        cuts = np.flatnonzero(ids == between[0]).tolist()
+        if len(between) != 1 or len(cuts) != n:
+            return None
+        own = ids.tobytes()
+        return [own[2 * a : 2 * b] for a, b in zip([0, *[c + 1 for c in cuts[:-1]]], cuts, strict=True)]
+
     def _encoded(self, segments: list[bytes]) -> list[bytes]:
         """Ids of each segment, as bytes of 16-bit numbers.
 
+        Lean segments are cut and spelled in byte-level characters here and go to the merges as they are; others
+        pass the tokenizer's own splitting pattern.
+        """
+        lean = [_LEAN.match(x) is not None for x in segments] if self.lean is not None else [False] * len(segments)
+        words = [x for x, is_lean in zip(segments, lean, strict=True) if is_lean]
+        found = None
+        if words:
+            spelled = b"\n".join(words).decode()
+            if not spelled.isascii():
+                high = {c: c.encode().decode("latin-1").translate(_BYTE_LEVEL) for c in set(spelled) if not c.isascii()}
+                spelled = _HIGH.sub(lambda m: high[m[0]], spelled)
+            spelled = spelled.replace(" ", chr(_BYTE_LEVEL[0x20]))
+            for mark in ",.;:!?":
+                spelled = spelled.replace(mark, " " + mark)
+            lines, between = spelled.split("\n"), f" {chr(_BYTE_LEVEL[0x0A])} "
+            texts = [between.join(lines[k : k + self.LINES]) for k in range(0, len(lines), self.LINES)]
+            found = self._lines(getattr(self.lean, "encode_batch_fast", self.lean.encode_batch), texts, len(words))
+        if found is None:
+            return self._patterned(segments)
+        rest, word = iter(self._patterned([x for x, is_lean in zip(segments, lean, strict=True) if not is_lean])), iter(found)
+        return [next(word) if is_lean else next(rest) for is_lean in lean]
+
+    def _patterned(self, segments: list[bytes]) -> list[bytes]:
+        """Ids of segments by the tokenizer's own splitting pattern.
+
         Segments without line ends are encoded as lines of one text: the pattern gives each line end a token of its own,
         which leaves the next line's leading space to its word.
         """
@@ -191,14 +248,7 @@ class SegmentEncoder:
         texts = [b"\n".join(plain[k : k + self.LINES]).decode() for k in range(0, len(plain), self.LINES)]
         lines: list[bytes] = []
         if texts:
-            between = np.array(self.line, np.uint16)
-            ids = np.concatenate([x for e in encode(texts) for x in (e, between)])
-            cuts = np.flatnonzero(ids == between[0]).tolist()
-            if len(between) != 1 or len(cuts) != len(plain):
-                lines = [x.tobytes() for x in encode([x.decode() for x in plain])]
-            else:
-                own = ids.tobytes()
-                lines = [own[2 * a : 2 * b] for a, b in zip([0, *[c + 1 for c in cuts[:-1]]], cuts, strict=True)]
+            lines = self._lines(self.batch, texts, len(plain)) or [x.tobytes() for x in encode([x.decode() for x in plain])]
         if len(plain) == len(segments):
             return lines
         other, line = iter([x.tobytes() for x in encode([x.decode() for x, o in zip(segments, odd, strict=True) if o])]), iter(lines)
@@ -216,8 +266,11 @@ class SegmentEncoder:
         if not len(data):
             return np.zeros(0, np.uint16), np.zeros(n, np.int64)
         cut = np.zeros(len(data), bool)
-        cut[2:-1] = (data[2:-1] == 0x20) & (self.ends[data[1:-2]] | (self.two[data[:-3]] & (data[1:-2] >= 0x80))) & self.begins[data[3:]]
-        # A space at either end of a text has no neighbour inside it.
+        between = (self.ends[data[1:-2]] | (self.two[data[:-3]] & (data[1:-2] >= 0x80))) & self.begins[data[3:]]
+        line = (data[2:-1] == 0x0A) & between
+        cut[2:-1] = (data[2:-1] == 0x20) & between | line
+        cut[3:] |= line
+        # White space at either end of a text has no neighbour inside it.
         edges = offsets[:-1][offsets[1:] > offsets[:-1]]
         cut[offsets[1:][offsets[1:] > offsets[:-1]] - 1] = False
         cut[edges] = True

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -273,3 +274,18 @@ def test_pipeline(spark):
         docs = stage(spark, docs, sf)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"] and docs.count() > 0, name
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_segments_match_whole_texts():
+    import random
+
+    import public_tokenizers
+
+    encoder = token_store.SegmentEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    parts = ["a", "word", "À", "Ã", "é", "Â", "×", "÷", ",", ".", "!", " ", "  ", "\n", "\r\n", "\t", "'s", "9", "漢", " ", "\u0085", "　", "Ċ", "Ġ", "€", "<|endoftext|>", "\u0000"]
+    rng = random.Random(5)
+    texts = ["", None, "\n", " ", "a\nb", "\na", "a\n"] + ["".join(rng.choices(parts, k=rng.randint(0, 40))) for _ in range(2000)]
+    ids, many = encoder(pa.array(texts))
+    whole = [e.ids for e in encoder.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert many.tolist() == [len(w) for w in whole]
+    assert ids.tolist() == [i for w in whole for i in w]
