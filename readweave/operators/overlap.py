@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from ..functions.alphabet import edge_type
 
 
-def candidates(oriented: DataFrame, read_len: int, min_overlap: int) -> DataFrame:
+def candidates(oriented: DataFrame, read_len: int, min_overlap: int, heads_of: DataFrame | None = None) -> DataFrame:
     """n, ns, d, ds, k, ext: the suffix of length k of oriented n is the prefix of oriented d; ext is the rest of d.
 
     Seeds of n (its min_overlap-mers, but the one that all of n begins with) meet heads of d in an equi-join, which Spark
     may split where a seed is frequent; the rest of the overlap is a residual.  A read overlaps itself too.
+    heads_of: other oriented reads to stand for d.
     """
     last = read_len - min_overlap + 1
     seeds = oriented.select(F.col("read_id").alias("n"), F.col("strand").alias("ns"), F.explode(F.transform(F.sequence(F.lit(2), F.lit(last)), lambda s: F.struct(F.substr("seq", s, F.lit(min_overlap)).alias("seed"), F.substr("seq", s).alias("suffix")))).alias("x"))
     seeds = seeds.select("n", "ns", "x.seed", "x.suffix")
-    heads = oriented.select(F.col("read_id").alias("d"), F.col("strand").alias("ds"), F.substring("seq", 1, min_overlap).alias("seed"), F.col("seq").alias("dseq"))
+    heads = (oriented if heads_of is None else heads_of).select(F.col("read_id").alias("d"), F.col("strand").alias("ds"), F.substring("seq", 1, min_overlap).alias("seed"), F.col("seq").alias("dseq"))
     joined = seeds.join(heads, "seed").where(F.startswith("dseq", "suffix"))
     return joined.select("n", "ns", "d", "ds", F.length("suffix").alias("k"), F.substr("dseq", F.length("suffix") + 1).alias("ext"))
 

@@ -21,15 +21,17 @@ def record_count(spark: SparkSession, path: str) -> DataFrame:
 def read_fasta(spark: SparkSession, path: str, read_len: int) -> DataFrame:
     """file_ord, header, seq (upper case).  A line without header, of another length or with other symbols raises.
 
-    Lines keep their order by file and byte block: each partition of the text scan is numbered apart, and partition
-    sizes, one row each, turn these numbers into line numbers.  CRLF and a missing last newline are accepted.
+    Lines keep their order by file and byte block, whichever task reads a block: within one, Spark's row ids follow each
+    other, and block sizes, one row each, turn them into line numbers.  No line is sorted.  CRLF and a missing last
+    newline are accepted.
     """
-    lines = spark.read.text(path).select(F.rtrim(F.translate("value", "\r", "")).alias("line"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("mono"))
-    lines = written(lines)
-    own = Window.partitionBy("part").orderBy("mono")
-    sizes = lines.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    numbered = lines.withColumn("own", F.row_number().over(own) - 1).join(before, "part").withColumn("nr", F.col("own") + F.col("before"))
+    block = ("file", "offset")
+    meta = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("offset")]
+    lines = written(spark.read.text(path).select(F.rtrim(F.translate("value", "\r", "")).alias("line"), *meta, F.monotonically_increasing_id().alias("mono")))
+    sizes = lines.groupBy(*block).agg(F.count(F.lit(1)).alias("n"), F.min("mono").alias("first"))
+    earlier = Window.orderBy(*block).rowsBetween(Window.unboundedPreceding, -1)
+    base = sizes.select(*block, (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("base"))
+    numbered = lines.join(base, [*block]).select("line", (F.col("mono") + F.col("base")).alias("nr"))
     rec = numbered.groupBy(F.expr("nr div 2").alias("file_ord")).agg(F.max(F.when(F.col("nr") % 2 == 0, F.col("line"))).alias("header"), F.max(F.when(F.col("nr") % 2 == 1, F.col("line"))).alias("seq"))
     seq = F.upper("seq")
     fault = (

@@ -8,11 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from readweave import AssemblyConfig, assemble
+from readweave import AssemblyConfig, assemble, cli
 from readweave.functions.alphabet import canonical, rc
 from readweave.operators import clean, contigs, graph, overlap, paths, reads
 from readweave.plans import queries as Q
 from readweave.sources.fasta import FastaDataSource, read_fasta, record_count, write_fasta
+from readweave.streaming import ingest
 
 SF = "/root/testdata/sf0.001"
 
@@ -178,6 +179,51 @@ def test_bad_fasta(spark, tmp_path, text):
         read_fasta(spark, _fasta(tmp_path, text), 5).collect()
 
 
+def test_fasta_keeps_order_over_files_and_blocks(spark, tmp_path):
+    reads = [turned(_genome(20, seed=i)) for i in range(300)]
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for name, low, high in (("a", 0, 130), ("b", 130, 150), ("c", 150, 300)):
+        (folder / f"{name}.fa").write_text("".join(f">r{i}\n{reads[i]}\n" for i in range(low, high)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "999b")
+    try:
+        rows = read_fasta(spark, str(folder), 20).orderBy("file_ord").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [(r.file_ord, r.header, r.seq) for r in rows] == [(i, f"r{i}", s) for i, s in enumerate(reads)]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    genome = _genome(400, seed=2)
+    text = "".join(f">r{i}\n{genome[i : i + 50]}\n" for i in range(0, 351, 3))
+    out, dump = str(tmp_path / "contigs"), str(tmp_path / "dump")
+    assert cli.main(["-l", "50", "-t", "31", "--singlereads", _fasta(tmp_path, text), "--out", out, "--keep-dead-ends", "--dump", dump]) == 0
+    lines = [r.value for r in spark.read.text(out).collect()]
+    assert lines[0] == ">contig 0" and lines[1] in (genome[: len(lines[1])], turned(genome)[: len(lines[1])])
+    assert spark.read.parquet(f"{dump}/reads").count() == 117
+    assert "contigs: 1," in capsys.readouterr().out
+    for wrong in (["-l", "50", "-t", "9", "--singlereads", "x"], ["-l", "50", "--singlereads", "x"], ["-l", "50", "-t", "31", "--singlereads", "x", "more"]):
+        with pytest.raises(SystemExit):
+            cli.main(wrong)
+
+
+def test_stream_of_reads(spark, tmp_path):
+    stored = [(0, _genome(50, seed=4))]
+    new = stored[0][1]
+    genome = _genome(10, seed=5) + new
+    arriving = [(10, genome[:50]), (11, turned(genome[:50])), (12, "N" * 50)]
+    schema = "read_id long, file_ord long, seq string"
+    spark.createDataFrame([(i, i, s) for i, s in arriving], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    found = ingest.overlaps_with(ingest.distinct_reads(source), spark.createDataFrame(stored, "read_id long, seq string"), 50, 31)
+    query = found.writeStream.format("memory").queryName("stream_overlaps").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    rows = spark.table("stream_overlaps").select("n", "ns", "d", "ds", "k").collect()
+    # One of the two equal arriving reads stays; read either way, it overlaps the stored read by 40 bases.
+    assert len({r.n for r in rows}) == 1 and {(r.d, r.ds, r.k) for r in rows} == {(0, 0, 40)}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
