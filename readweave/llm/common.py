@@ -36,6 +36,12 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_key(df: DataFrame) -> Column:
+    """A hash of a row's columns and of which of them are null; maps, which have no hash, do not count."""
+    names = [F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()]
+    return F.xxhash64(*names, *[c.isNull() for c in names])
+
+
 def words_of(text: Column) -> Column:
     """Array of the words of a text; empty for null and blank texts."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\f\r"))

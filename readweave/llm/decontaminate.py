@@ -52,10 +52,15 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = 10) -> DataFr
     and blank texts have no words, null item_ids count as no item; an empty benchmark hits nothing.  Repeated
     rows and equal ids are judged by their own text.  Other columns are not read.
     """
+    return _judged(docs, bench, window).drop("mark")
+
+
+def _judged(docs: DataFrame, bench: DataFrame, window: int) -> DataFrame:
+    """decontaminate's rows, each with the mark of its text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    docs = docs.withColumn("key", F.coalesce("doc_id", F.lit(-1))).withColumn("mark", F.xxhash64("text"))
+    docs = docs.withColumn("key", F.coalesce("doc_id", F.lit(-1))).withColumn("mark", _mark(F.col("text")))
     windows = written(item_windows(bench, window))
-    out = ["doc_id", F.regexp_count("text", F.lit(_WORD)).cast("long").alias("n_words")]
+    out = ["doc_id", "mark", F.regexp_count("text", F.lit(_WORD)).cast("long").alias("n_words")]
 
     # Shingles of all windows: their size is what the shortest window allows.
     shingles = windows.withColumn("w", F.split("words", " ")).withColumn("k", F.least(F.lit(SHINGLE), F.size("w")))
@@ -89,14 +94,22 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = 10) -> DataFr
     both = docs.join(found, ["key", "mark"], "left")
     both = fixed(both.select(*out, "found", F.when(F.col("found").isNotNull(), folded_words(F.col("text"))).alias("w")))
     true = F.filter("found", lambda c: (c["start"] + c["length"] <= F.size("w")) & (F.array_join(F.slice("w", c["start"] + 1, c["length"]), " ") == c["words"]))
-    both = fixed(both.select("doc_id", "n_words", F.when(F.col("found").isNotNull(), true).alias("found")))
+    both = fixed(both.select("doc_id", "mark", "n_words", F.when(F.col("found").isNotNull(), true).alias("found")))
     hit = F.size(F.array_distinct(F.flatten(F.transform("found", lambda c: F.sequence(c["start"], c["start"] + c["length"] - 1)))))
     items = F.array_distinct(F.flatten(F.transform("found", lambda c: c["items"])))
     none = F.array().cast(windows.schema["items"].dataType)
-    return fixed(both.select("doc_id", "n_words", F.when(F.col("found").isNull(), 0).otherwise(hit).cast("long").alias("n_hit"), F.coalesce(items, none).alias("items")))
+    return fixed(both.select("doc_id", "mark", "n_words", F.when(F.col("found").isNull(), 0).otherwise(hit).cast("long").alias("n_hit"), F.coalesce(items, none).alias("items")))
+
+
+def _mark(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
 def uncontaminated(docs: DataFrame, bench: DataFrame, window: int = 10, most: float = 0.0) -> DataFrame:
-    """docs without those of whose words more than the share `most` stands inside item windows."""
-    judged = decontaminate(docs, bench, window).where(F.col("n_hit") > F.col("n_words") * F.lit(most)).select(F.col("doc_id").alias("_out")).distinct()
-    return docs.join(judged, docs.doc_id.cast("long").eqNullSafe(judged._out), "left_anti")
+    """docs without those of whose words more than the share `most` stands inside item windows.
+
+    Each row goes or stays by its own text, whatever other rows of its doc_id, or without one, hold.
+    """
+    judged = _judged(docs, bench, window).where(F.col("n_hit") > F.col("n_words") * F.lit(most)).select(F.col("doc_id").alias("_out"), F.col("mark").alias("_out_mark")).distinct()
+    own = docs.withColumn("_mark", _mark(F.col("text")))
+    return own.join(judged, own.doc_id.cast("long").eqNullSafe(judged._out) & (own._mark == judged._out_mark), "left_anti").select(*docs.columns)

@@ -15,10 +15,10 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, row_key, written
 from .words import U64, Words, mix, slices, tidied
 
 _NODE = 16
@@ -72,7 +72,7 @@ def _sign(size: int, count: int):
                 raw, wide = np.ascontiguousarray(sig.T).tobytes(), 4 * count
                 nodes = _nodes(prints, bounds)
                 sigs = [None if x is None else raw[wide * i : wide * i + wide] for i, x in enumerate(nodes)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nodes, pa.binary()), pa.array(np.diff(bounds)), pa.array(sigs, pa.binary())], names=["doc_id", "node", "n", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(nodes, pa.binary()), pa.array(np.diff(bounds)), pa.array(sigs, pa.binary())], names=["doc_id", "row", "node", "n", "sig"])
 
     return run
 
@@ -233,13 +233,18 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, size: int = 5, trees: in
     doc_id count as documents; a null doc_id is never a class_id unless the whole class has none.
     Other columns are not read.
     """
+    return _classified(docs, F.xxhash64("text"), threshold, size, trees, recall, block).select("doc_id", "class_id", "n_links")
+
+
+def _classified(docs: DataFrame, row: Column, threshold: float = 0.8, size: int = 5, trees: int = 24, recall: float = 0.9999, block: int = 1024) -> DataFrame:
+    """One row per document: doc_id, row (equal for rows of equal text only), node (null without shingles), root (of its class), class_id, n_links."""
     limit = Fraction(threshold).limit_denominator(1000)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row.alias("row"))
     depth = forest_depth(threshold, trees, recall)
     count = trees * depth
-    signed = written(docs.mapInArrow(tidied(_sign(size, count)), "doc_id long, node binary, n long, sig binary"))
-    nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    nodes = written(nodes)
+    signed = written(docs.mapInArrow(tidied(_sign(size, count)), "doc_id long, row long, node binary, n long, sig binary"))
+    nodes = signed.where("node is not null").groupBy("node").agg(F.min(_first("doc_id", "row")).alias("of"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    nodes = written(nodes.select("node", F.col("of.doc_id").alias("doc_id"), F.col("of.row").alias("row"), "copies", "n", "sig"))
 
     # Tries: a cell is a tree and a prefix.
     prefix = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, F.substring(F.col("sig"), F.lit(1) + t * (4 * depth), F.lit(4 * depth))))
@@ -253,10 +258,10 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, size: int = 5, trees: in
     families = components(proposed, "u", "v").select("node", F.col("root").alias("family"))
 
     # Exact verification within families.
-    known = written(families.join(nodes.select("node", "doc_id", "copies", "n"), "node"))
-    wanted = known.select("node", "family", "copies", F.col("doc_id").alias("of"))
+    known = written(families.join(nodes.select("node", "doc_id", "row", "copies", "n"), "node"))
+    wanted = known.select("node", "family", "copies", F.col("doc_id").alias("of"), F.col("row").alias("of_row"))
     # The hint keeps the plan alike at every size; which documents are wanted grows with the corpus.
-    texts = docs.hint("merge").join(wanted, wanted.of.eqNullSafe(docs.doc_id)).select("node", "family", "copies", "text")
+    texts = docs.hint("merge").join(wanted, wanted.of.eqNullSafe(docs.doc_id) & (wanted.of_row == docs.row)).select("node", "family", "copies", "text")
     sets = texts.mapInArrow(tidied(_sets(size)), "node binary, family binary, copies long, shingles binary")
     blocks = known.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / (block * 1024))).alias("n_blocks"))
     cells = _cells(sets, "family", blocks).select("cell", "side", "node", "copies", "shingles")
@@ -267,13 +272,29 @@ def ngram_join(docs: DataFrame, threshold: float = 0.8, size: int = 5, trees: in
     about = nodes.join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "doc_id")
     about = written(about)
     classes = about.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    about = about.drop("doc_id").join(classes, "root").select("node", "class_id", "n_links")
-    rows = signed.select("doc_id", "node")
-    return rows.join(about, "node", "left").select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    about = about.drop("doc_id").join(classes, "root").select("node", "root", "class_id", "n_links")
+    rows = signed.select("doc_id", "row", "node")
+    return rows.join(about, "node", "left").select("doc_id", "row", "node", "root", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def _first(doc_id: str, row: str) -> Column:
+    """What the first row of a group is least by: its doc_id, null last, and among equal ids the row key."""
+    return F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("doc_id"), F.col(row).alias("row"))
 
 
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """docs without near-duplicates: of each class the row with the least doc_id, and of rows that repeat that id one."""
-    stays = ngram_join(docs, **how).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_stays")).distinct()
-    kept = docs.join(stays, docs.doc_id.eqNullSafe(stays._stays), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """docs without near-duplicates: of each class one row, that of the least doc_id (null last; of equal ids, the least row key).
+
+    Rows are told apart by all of their columns, so rows that share an id, or have none, are kept or dropped by their
+    own text.  Rows without shingles are classes of their own and all stay.
+    """
+    rows = written(_classified(docs, row_key(docs), **how).select("doc_id", "row", "root"))
+    of_class = rows.where("root is not null").groupBy("root").agg(F.min(_first("doc_id", "row")).alias("of"))
+    of_class = of_class.select(F.col("of.doc_id").alias("_id"), F.col("of.row").alias("_key"), F.lit(True).alias("_one"))
+    bare = rows.where("root is null").select(F.col("doc_id").alias("_id"), F.col("row").alias("_key"), F.lit(False).alias("_one")).distinct()
+    stays = of_class.unionByName(bare)
+    own = docs.withColumn("_row", row_key(docs))
+    kept = own.join(stays, own.doc_id.cast("long").eqNullSafe(stays._id) & (own._row == stays._key))
+    # Rows that still share a key are equal in all columns, so it does not matter which of them stays.
+    one = kept.where("_one").dropDuplicates(["_id", "_key"])
+    return one.unionByName(kept.where("not _one")).select(*docs.columns)

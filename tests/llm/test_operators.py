@@ -289,3 +289,21 @@ def test_segments_match_whole_texts():
     whole = [e.ids for e in encoder.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
     assert many.tolist() == [len(w) for w in whole]
     assert ids.tolist() == [i for w in whole for i in w]
+
+
+def test_stages_judge_rows_without_or_with_repeated_ids(spark):
+    rnd = random.Random(11)
+    say = lambda: " ".join(f"v{rnd.randint(0, 9999)}" for _ in range(60))
+    a, b, c, d, e = (say() for _ in range(5))
+    rows = [(3, a, "x"), (5, a + " tail", "x"), (5, b, "x"), (None, c, "x"), (None, d, "x"), (None, c + " end", "y"), (None, a, "x"), (7, b, "x"), (7, e, "x"), (7, e, "x"), (None, "", "x"), (None, " ", "x"), (8, None, "x"), (8, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = ngram_join.one_of_each(df)
+    assert got.columns == df.columns
+    kept = collections.Counter(tuple(r) for r in got.collect())
+    either = {(None, c, "x"), (None, c + " end", "y")}
+    assert sum(kept[r] for r in either) == 1
+    want = collections.Counter([(3, a, "x"), (5, b, "x"), (None, d, "x"), (7, e, "x"), (None, "", "x"), (None, " ", "x"), (8, None, "x"), (8, None, "x")])
+    assert {r: n for r, n in kept.items() if r not in either} == want
+    bench = spark.createDataFrame([(1, " ".join(c.split()[10:25])), (2, " ".join(e.split()[:12]))], "item_id long, text string")
+    clean = collections.Counter(tuple(r) for r in decontaminate.uncontaminated(df, bench).collect())
+    assert clean == collections.Counter(r for r in rows if not (r[1] or "").startswith((c, e)))
