@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import count_words, words_of, written
+from .common import count_words, row_key, words_of, written
 
 WEIGHTS = (5, 2, 1)
 #: Documents per chunk; chunks bound what one task sorts, however large a source is.
@@ -66,7 +66,7 @@ def _laid_out(sized: DataFrame) -> DataFrame:
     """start: words of a row's source before it, in order of chunk, doc_id and text."""
     chunks = max(1, -(-sized.count() // CHUNK))
     sized = sized.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(chunks)))
-    own = Window.partitionBy("source", "chunk").orderBy("doc_id", "mark").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("source", "chunk").orderBy("doc_id", "mark", "row").rowsBetween(Window.unboundedPreceding, -1)
     sums = sized.groupBy("source", "chunk").agg(F.sum("size").alias("chunk_size"))
     earlier = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("_s"), F.col("chunk").alias("_c"), F.coalesce(F.sum("chunk_size").over(earlier), F.lit(0)).alias("base"))
@@ -93,13 +93,13 @@ def slots(plan: DataFrame, block: int, n_shards: int, seed: int) -> DataFrame:
     return each.withColumn("index", index).select("rank", "slot", shard.alias("shard"), "pass_", "index", F.least(length, left).alias("take"))
 
 
-def mixture(docs: DataFrame, block: int = 512, n_shards: int = 64, seed: int = 17) -> tuple[DataFrame, DataFrame]:
-    """(rows, pieces): a row's doc_id, mark, source, size, start, source_size, target; and by block, what is taken of it.
+def mixture(docs: DataFrame, block: int = 512, n_shards: int = 64, seed: int = 17, row: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, pieces): a row's doc_id, mark, source, size, row, start, source_size, target; and by block, what is taken of it.
 
-    pieces: rank, doc_id, mark, start, first, words (of the row, in the block), offset (in the block), times, part:
-    the block is taken whole `times` times and its first `part` words once more.
+    pieces: rank, doc_id, row, start, first, words (of the row, in the block), offset (in the block), times, part:
+    the block is taken whole `times` times and its first `part` words once more.  row: a key carried along by both.
     """
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("source").cast("string").alias("source"), count_words(F.col("text")).alias("size"))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("source").cast("string").alias("source"), count_words(F.col("text")).alias("size"), (F.lit(0) if row is None else row).cast("long").alias("row"))
     sized = written(sized)
     plan = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))))
     laid = _laid_out(sized)
@@ -108,9 +108,9 @@ def mixture(docs: DataFrame, block: int = 512, n_shards: int = 64, seed: int = 1
     takes = slots(plan, block, n_shards, seed).groupBy("rank", "index").agg(
         F.sum(F.when(F.col("take") == F.lit(block), 1).otherwise(0)).cast("long").alias("whole"), F.sort_array(F.collect_list(F.when(F.col("take") < block, F.col("take"))), asc=False).alias("shorter")
     )
-    each = rows.where("size > 0").select("rank", "doc_id", "mark", "start", "size", "source_size", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))).alias("index"))
+    each = rows.where("size > 0").select("rank", "doc_id", "row", "start", "size", "source_size", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))).alias("index"))
     low, high = F.greatest("start", F.col("index") * block), F.least(F.col("start") + F.col("size"), (F.col("index") + 1) * block)
-    each = each.select("rank", "index", "doc_id", "mark", "start", "source_size", (low - F.col("start")).alias("first"), (high - low).alias("words"), (low - F.col("index") * block).alias("offset"))
+    each = each.select("rank", "index", "doc_id", "row", "start", "source_size", (low - F.col("start")).alias("first"), (high - low).alias("words"), (low - F.col("index") * block).alias("offset"))
     joined = each.join(takes, ["rank", "index"])
     length = F.least(F.lit(block).cast("long"), F.col("source_size") - F.col("index") * block)
     joined = joined.withColumn("times", F.col("whole") + F.size(F.filter("shorter", lambda t: t == length)))
@@ -139,17 +139,17 @@ def remix(docs: DataFrame, **how) -> DataFrame:
     """The mixed corpus in the columns of docs: a row for each whole pass over a document, and one for what the last,
     partial pass takes of it (its words, joined by single spaces).  Documents that no slot takes are absent.
 
-    `n_chars`, if a column, is counted anew for a partial row; repeated rows of one doc_id and text stand for each other.
+    `n_chars`, if a column, is counted anew for a partial row; only rows that are equal in all columns stand for each other.
     """
-    rows, pieces = mixture(docs, **how)
+    rows, pieces = mixture(docs, row=row_key(docs), **how)
     of_part = F.greatest(F.lit(0).cast("long"), F.least(F.col("words"), F.col("part") - F.col("offset")))
     # Whole takes of a piece and of its block's prefix; a document's least whole count is a whole copy, the rest are pieces.
-    spans = pieces.select("rank", "doc_id", "mark", "start", "first", "words", "times", of_part.alias("more"))
-    own = spans.groupBy("rank", "start", "doc_id", "mark").agg(F.min(F.col("times") + F.when(F.col("more") == F.col("words"), 1).otherwise(0)).alias("_copies"), F.sum("words").alias("covered"), F.sort_array(F.collect_list(F.struct("first", "words", "times", "more"))).alias("_spans"))
+    spans = pieces.select("rank", "doc_id", "row", "start", "first", "words", "times", of_part.alias("more"))
+    own = spans.groupBy("rank", "start", "doc_id", "row").agg(F.min(F.col("times") + F.when(F.col("more") == F.col("words"), 1).otherwise(0)).alias("_copies"), F.sum("words").alias("covered"), F.sort_array(F.collect_list(F.struct("first", "words", "times", "more"))).alias("_spans"))
     own = own.join(rows.where("size > 0").select("rank", "start", "size"), ["rank", "start"]).withColumn("_copies", F.when(F.col("covered") == F.col("size"), F.col("_copies")).otherwise(F.lit(0)))
-    key = lambda df, mark: df.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1 << 63))).withColumn("_none", F.col("doc_id").isNull()).withColumn("_mark", mark)
-    own = key(own, F.col("mark")).groupBy("_id", "_none", "_mark").agg(F.collect_list(F.struct("_copies", "_spans")).alias("_takes"))
-    both = key(docs, F.xxhash64("text")).dropDuplicates(["_id", "_none", "_mark"]).join(own, ["_id", "_none", "_mark"])
+    key = lambda df, row: df.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1 << 63))).withColumn("_none", F.col("doc_id").isNull()).withColumn("_row", row)
+    own = key(own, F.col("row")).groupBy("_id", "_none", "_row").agg(F.collect_list(F.struct("_copies", "_spans")).alias("_takes"))
+    both = key(docs, row_key(docs)).dropDuplicates(["_id", "_none", "_row"]).join(own, ["_id", "_none", "_row"])
     both = both.withColumn("_take", F.explode("_takes")).withColumns({"_copies": F.col("_take._copies"), "_spans": F.col("_take._spans")})
     # Pass c (from 0) takes the words of each span that it still covers: all if c < times, a prefix if c = times.
     last = F.array_max(F.transform("_spans", lambda s: s["times"] + F.when(s["more"] > 0, 1).otherwise(0)))

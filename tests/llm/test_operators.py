@@ -307,3 +307,18 @@ def test_stages_judge_rows_without_or_with_repeated_ids(spark):
     bench = spark.createDataFrame([(1, " ".join(c.split()[10:25])), (2, " ".join(e.split()[:12]))], "item_id long, text string")
     clean = collections.Counter(tuple(r) for r in decontaminate.uncontaminated(df, bench).collect())
     assert clean == collections.Counter(r for r in rows if not (r[1] or "").startswith((c, e)))
+
+
+def test_remix_keeps_the_source_of_each_row(spark):
+    rows = [(1, "a b c d e f", s, g) for s in ("s", "t", None) for g in ("en", "de")] + [(2, " ".join("xyz" * 4), "t", "en"), (None, "k l m", "s", "en"), (None, "k l m", "t", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").repartition(2)
+    sizes, found = collections.Counter(), collections.Counter()
+    for _, t, s, _ in rows:
+        sizes[s] += len(t.split())
+    out = mixing.remix(df, block=2).collect()
+    for r in out:
+        found[r.source] += len(r.text.split())
+    want = _targets(sizes)
+    assert all(abs(found[s] - want[s]) <= 1 for s in sizes)
+    again = mixing.remix(df.repartition(3, "lang"), block=2).collect()
+    assert collections.Counter(map(tuple, again)) == collections.Counter(map(tuple, out))
