@@ -1,9 +1,10 @@
 """HTML extraction: page structure, and a suffix array of each host for what structure leaves open.
 
-Markup decides first: elements that are chrome by name or class are dropped, and an article (or main) element, if a
-page has one, is its main text.  All other text of the pages of a host forms token streams.  Suffixes of the
-concatenated streams are sorted to the depth of a long substring; a substring that distinct pages share is
-boilerplate, and blocks that such substrings cover are removed from pages whose main text no element declares.
+Markup is read first: elements that are chrome by name or class are dropped, and article (or main) elements declare main
+text.  All text of the pages of a host forms token streams.  Suffixes of the concatenated streams are sorted to the
+depth of a long substring; a substring that distinct pages share is boilerplate, and blocks that such substrings cover
+are removed.  Structure guards two cases by size: declared text of which half or more would go is an article that
+recurs and stays whole, and text outside it counts only where it is longer than the declared text or none is declared.
 """
 
 from __future__ import annotations
@@ -95,6 +96,11 @@ def blocks_of(page: str) -> list[tuple[str, int]]:
                 if name == "p" and stack[k][0] in _BLOCK:
                     break
         elif name not in _VOID:
+            if stack and any(e[0] == "head" for e in stack) and (name == "body" or stack[-1][0] == "head"):
+                # The head ends at the body, or at the first element that cannot stand in it.
+                close()
+                del stack[next(k for k, e in enumerate(stack) if e[0] == "head") :]
+                enter()
             if name in _BLOCK:
                 # A block ends an open paragraph, with what stands open inside it.
                 for k in range(len(stack) - 1, -1, -1):
@@ -130,7 +136,7 @@ def suffix_classes(tokens: np.ndarray, stop: np.ndarray, depth: int) -> tuple[np
     return np.argsort(rank, kind="stable"), rank
 
 
-_PAGE = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("print", pa.int64()), ("open", pa.list_(pa.struct([("text", pa.string()), ("first", pa.int32()), ("n", pa.int32()), ("kept", pa.bool_())]))), ("keys", pa.list_(pa.int64())), ("heads", pa.list_(pa.int64()))])
+_PAGE = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("print", pa.int64()), ("blocks", pa.list_(pa.struct([("text", pa.string()), ("first", pa.int32()), ("n", pa.int32()), ("state", pa.int32())]))), ("keys", pa.list_(pa.int64())), ("heads", pa.list_(pa.int64()))])
 
 
 def _hash_text(values: list[str]) -> np.ndarray:
@@ -141,14 +147,13 @@ def _hash_text(values: list[str]) -> np.ndarray:
 
 
 def _stream(blocks: list[tuple[str, int]], mark: int) -> list[tuple[str, int]]:
-    """Blocks that are not declared main text; where chrome and open text meet, a token of the page's own keeps
-    substrings from running from one into the other."""
+    """All blocks; where chrome, open and declared text meet, a token of the page's own keeps substrings from running
+    from one into the other."""
     out: list[tuple[str, int]] = []
     for text, state in blocks:
-        if state < 2:
-            if out and out[-1][1] != state:
-                out.append((f"\x01{mark}", 0))
-            out.append((text, state))
+        if out and out[-1][1] != state:
+            out.append((f"\x01{mark}", 0))
+        out.append((text, state))
     return out
 
 
@@ -161,8 +166,7 @@ def _parse(depth: int):
                 rows = batch.slice(low, 256).to_pylist()
                 parsed = [blocks_of(r["html"] or "") for r in rows]
                 hosts = [(host_of.match(r["url"] or "") or ["", ""])[1].lower() for r in rows]
-                # A page's stream is all of its text that no element declares to be main text.
-                prints = _hash_text(["\n".join(b[0] for b in p) for p in parsed])
+                prints = _hash_text(["\n".join([h, *(b[0] for b in p)]) for h, p in zip(hosts, parsed, strict=True)])
                 streams = [_stream(p, int(x)) for p, x in zip(parsed, prints, strict=True)]
                 words = Words(pa.array([" ".join(b[0] for b in s) for s in streams], pa.string()))
                 place = words.first[words.doc + 1] if len(words.hash) else np.zeros(0, np.int64)
@@ -182,16 +186,16 @@ def _parse(depth: int):
                     heads[words.doc[i]].append(int(keys[place_of[i]]))
                 out = []
                 bounds = np.searchsorted(words.doc[start], np.arange(len(rows) + 1))
-                for k, (r, p) in enumerate(zip(rows, parsed, strict=True)):
-                    declared = any(s == 2 for _, s in p)
+                for k, r in enumerate(rows):
                     blocks, at = [], 0
-                    for text, s in streams[k]:
+                    for text, state in streams[k]:
                         n = len(re.findall(r"[^\x20\x09-\x0D]+", text))
-                        blocks.append({"text": text, "first": at, "n": n, "kept": s == 1})
+                        if state:
+                            blocks.append({"text": text, "first": at, "n": n, "state": state})
                         at += n
-                    text = "\n".join(t for t, s in p if s == 2) if declared else None if any(s == 1 for _, s in p) else ""
-                    need = text is None
-                    out.append((r["page_id"], r["url"], text, int(prints[k].view(np.int64)), blocks if need else None, keys[bounds[k] : bounds[k + 1]].tolist() if need else None, heads[k]))
+                    own = keys[bounds[k] : bounds[k + 1]].tolist()
+                    # Heads are named only where they are fewer than the keys.
+                    out.append((r["page_id"], r["url"], int(prints[k].view(np.int64)), blocks, own, heads[k] if len(heads[k]) < len(own) else None))
                 yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], f.type) for i, f in enumerate(_PAGE)], schema=_PAGE)
 
     return run
@@ -201,20 +205,20 @@ def page_text(pages: DataFrame, depth: int = LONG) -> DataFrame:
     """One row per page: page_id, url, text (main text; blocks joined by newlines), n_chars.
 
     White space inside a block becomes one space.  Null and empty html give an empty text; a null url is a host of
-    its own kind.  Pages with equal text count as one page when shared substrings are sought, so a page that was
+    its own kind.  Pages of a host with equal text count as one page when shared substrings are sought, so a page that was
     fetched twice keeps its text.  Repeated rows give repeated rows; other columns are not read.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    schema = "page_id long, url string, text string, print long, open array<struct<text:string,first:int,n:int,kept:boolean>>, keys array<long>, heads array<long>"
+    schema = "page_id long, url string, print long, blocks array<struct<text:string,first:int,n:int,state:int>>, keys array<long>, heads array<long>"
     parsed = written(pages.mapInArrow(tidied(_parse(depth)), schema))
-    done = parsed.where("text is not null").select("page_id", "url", "text")
-    left = parsed.where("text is null").select("page_id", "url", "print", "open", "keys")
-    # Substrings that pages of different text share, wanted only where a page is open.
-    heads = parsed.select("print", F.explode("heads").alias("key")).groupBy("key").agg(F.min("print").alias("a"), F.max("print").alias("b")).where("a <> b").select("key")
-    shared = left.select("print", F.posexplode("keys").alias("at", "key")).join(heads, "key", "left_semi")
+    # Substrings that pages of different text share.
+    heads = parsed.select("print", F.explode(F.coalesce("heads", "keys")).alias("key")).groupBy("key").agg(F.min("print").alias("a"), F.max("print").alias("b")).where("a <> b").select("key")
+    # Pages of one print have the same blocks and keys; each place counts once.
+    shared = parsed.select("print", F.posexplode("keys").alias("at", "key")).join(heads, "key", "left_semi")
     shared = shared.groupBy("print").agg(F.collect_set("at").alias("shared"))
-    both = left.join(shared, "print", "left").withColumn("shared", F.coalesce("shared", F.array().cast("array<int>")))
-    return done.unionByName(both.mapInArrow(_unique(depth), "page_id long, url string, text string")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    both = parsed.select("page_id", "url", "print", "blocks").join(shared, "print", "left").withColumn("shared", F.coalesce("shared", F.array().cast("array<int>")))
+    both = both.select("page_id", "url", "blocks", "shared").mapInArrow(_unique(depth), "page_id long, url string, text string")
+    return both.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def _unique(depth: int):
@@ -222,13 +226,19 @@ def _unique(depth: int):
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                n = max(b["first"] + b["n"] for b in r["open"])
+                n = max((b["first"] + b["n"] for b in r["blocks"]), default=0)
                 edge = np.zeros(n + 1, np.int64)
                 for at in r["shared"]:
-                    edge[at] += 1
-                    edge[min(at + depth, n)] -= 1
+                    if at < n:
+                        edge[at] += 1
+                        edge[min(at + depth, n)] -= 1
                 covered = np.cumsum(edge[:-1]) > 0
-                kept = [b["text"] for b in r["open"] if b["kept"] and not covered[b["first"] : b["first"] + b["n"]].all()]
+                gone = [bool(covered[b["first"] : b["first"] + b["n"]].all()) for b in r["blocks"]]
+                words = lambda state, out: sum(b["n"] for b, g in zip(r["blocks"], gone, strict=True) if b["state"] == state and g == out)  # noqa: B023, E731
+                if 2 * words(2, True) >= words(2, True) + words(2, False):
+                    gone = [g and b["state"] != 2 for b, g in zip(r["blocks"], gone, strict=True)]
+                least = 1 if words(1, False) > words(2, False) else 2
+                kept = [b["text"] for b, g in zip(r["blocks"], gone, strict=True) if b["state"] >= least and not g]
                 out.append((r["page_id"], r["url"], "\n".join(kept)))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=["page_id", "url", "text"])
 

@@ -322,3 +322,16 @@ def test_remix_keeps_the_source_of_each_row(spark):
     assert all(abs(found[s] - want[s]) <= 1 for s in sizes)
     again = mixing.remix(df.repartition(3, "lang"), block=2).collect()
     assert collections.Counter(map(tuple, again)) == collections.Counter(map(tuple, out))
+
+
+def test_shared_substrings_decide_beside_declared_text(spark):
+    notice = "Please support our newsroom with a small gift today"
+    say = lambda i: " ".join(f"p{i}x{k}" for k in range(30))
+    pages = [(i, "http://n.example/", f"<body><article><p>{say(i)}</p><div class=zz>{notice}</div></article></body>") for i in range(3)]
+    pages += [(i, "http://r.example/", f"<body><article><p>{say(99)}</p></article><div>only {i}</div></body>") for i in (10, 11)]
+    pages += [(20, "http://t.example/", f"<body><div>{say(20)}</div><article><p>Small card</p></article></body>")]
+    pages += [(30, "http://h.example/", f"<html><head><title>t</title><meta charset=x><body><p>{say(30)}</p></body>"), (31, "http://h.example/", f"<head><link rel=x><p>{say(31)}</p>")]
+    pages += [(40, "http://n.example/", f"<body><article><p>{say(40)}</p></article></body>"), (41, "http://m.example/", f"<body><article><p>{say(40)}</p></article></body>")]
+    found = page_text.page_text(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()
+    want = {i: say(i) for i in (0, 1, 2, 30, 31, 40)} | {10: say(99), 11: say(99), 20: say(20) + "\nSmall card", 41: say(40)}
+    assert {r.page_id: r.text for r in found} == want
