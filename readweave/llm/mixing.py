@@ -2,8 +2,8 @@
 
 A source's documents lie end to end on a line of words, which is cut into blocks.  Its output is a row of
 slots; passes over the source follow each other, and in each pass a keyed permutation of block indexes says
-which block a slot takes.  A slot's output shard is drawn uniformly, so the counts of sources in a shard are
-multinomial, given the totals that the targets fix.  Blocks are joined by (source, index).
+which block a slot takes.  Each slot has an output shard, drawn uniformly, but mix and remix sum over shards:
+counts of sources per shard and packed blocks are in no output.  Blocks are joined by (source, index).
 """
 
 from __future__ import annotations
