@@ -1,9 +1,9 @@
-"""N-gram Jaccard join: a MinHash LSH forest proposes, exact shingle sets decide.
+"""N-gram Jaccard join: MinHash bands propose, exact shingle sets decide.
 
 1. Documents with equal shingle sets share a node; a node's signature has `trees` runs of `depth` minima.
-2. In each tree the nodes are sorted by signature; those that agree on the prefix form a cell of the trie.
-   The prefix is the longest at which the forest still reaches `recall` at the threshold: starting at the
-   full run and shortening it finds nested candidate sets, so only the last depth has to be looked at.
+2. In each tree the nodes that agree on the whole run form a cell, found by a hash of it: banded LSH with `trees` bands.
+   `depth` is the longest run at which the bands still reach `recall` at the threshold, fixed before any signature is
+   read; longer runs, shortened per query to that depth, would only find subsets of the same candidates.
 3. Within a cell, sketches discard chance matches; what passes is sent on as a spanning forest, not as pairs.
 4. Each family so connected gets its members' exact shingle sets and every pair of it is verified.
 Cells of more than a block of members are cut into block-by-block cells, so no task holds a whole family.
@@ -25,7 +25,7 @@ _NODE = 16
 
 
 def forest_depth(threshold: float, trees: int, recall: float, most: int = 32) -> int:
-    """The longest prefix at which a pair of that similarity meets in one of the trees with the wanted probability."""
+    """The longest run at which a pair of that similarity meets in one of the trees with the wanted probability."""
     for depth in range(most, 1, -1):
         if 1 - (1 - threshold**depth) ** trees >= recall:
             return depth
@@ -246,7 +246,7 @@ def _classified(docs: DataFrame, row: Column, threshold: float = 0.8, size: int
     nodes = signed.where("node is not null").groupBy("node").agg(F.min(_first("doc_id", "row")).alias("of"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     nodes = written(nodes.select("node", F.col("of.doc_id").alias("doc_id"), F.col("of.row").alias("row"), "copies", "n", "sig"))
 
-    # Tries: a cell is a tree and a prefix.
+    # Bands: a cell is a tree and its whole run.
     prefix = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, F.substring(F.col("sig"), F.lit(1) + t * (4 * depth), F.lit(4 * depth))))
     keys = nodes.select("node", F.explode(prefix).alias("key"))
     crowded = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key", F.ceil(F.col("m") / (2 * block)).alias("n_blocks"))
