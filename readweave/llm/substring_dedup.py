@@ -11,10 +11,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import OTHER_BASE, U64, Words, mix, slices, tidied
+from .words import OTHER_BASE, U64, Words, mix, slices, sums_by_place, tidied
 
-#: Text bytes for which one bucket of fingerprints and one group of documents are made.
-BUCKET_BYTES = 8 << 20
+#: Text bytes for which one bucket of fingerprints, and one group of documents, are made.
+BUCKET_BYTES, HOME_BYTES = 8 << 20, 4 << 20
+#: Parts into which one slice, or one bucket, deals its windows; where more buckets or groups than this are due, each
+#: part is dealt again by its own task, so that packed runs stay long at every size.
+PARTS = 4096
 #: A fingerprint is this many bytes besides the bucket, which an independent hash chooses.
 KEY_BYTES = 7
 _LAST = np.iinfo(np.int64).max
@@ -43,7 +46,7 @@ def _pack(doc: np.ndarray, mark: np.ndarray, pos: np.ndarray) -> bytes:
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     runs, n = (int(x) for x in np.frombuffer(blob[:8], np.uint32))
     raw, at, out = zstandard.ZstdDecompressor().decompress(blob[8:]), 0, []
-    for dtype, many in ((np.int64, runs), (np.uint32, runs), (np.uint32, runs), (np.uint32, n)):
+    for dtype, many in ((np.int64, runs), (U64, runs), (np.uint32, runs), (np.uint32, n)):
         size = np.dtype(dtype).itemsize * many
         out.append(_unplanes(raw[at : at + size], dtype))
         at += size
@@ -55,21 +58,21 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _marks(words: Words) -> np.ndarray:
-    """32 bits of each text, which tell rows of one doc_id apart."""
-    first = words.first[:-1]
-    sums = np.concatenate([np.zeros(1, U64), np.cumsum(words.hash * (np.arange(len(words.hash)).astype(U64) * U64(2) + U64(1)), dtype=U64)])
-    shift = sums[words.first[1:]] - sums[first]
-    plain = np.concatenate([np.zeros(1, U64), np.cumsum(words.hash, dtype=U64)])
-    shift = shift - (plain[words.first[1:]] - plain[first]) * (first.astype(U64) * U64(2))
-    return (mix(shift) >> U64(32)).astype(np.uint32)
+    """64 bits of each text's words, which tell rows of one doc_id apart."""
+    return sums_by_place(words.hash, words.count)
 
 
 def _ids(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.fill_null(int(_LAST)).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _home(doc: np.ndarray, groups: int) -> np.ndarray:
-    return (mix(doc.astype(U64)) % U64(groups)).astype(np.int32)
+def _row(doc: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """A hash of the row: its doc_id and its text's mark, so that rows of one id, or of none, do not meet in one group."""
+    return mix(mix(doc.astype(np.int64).view(U64)) ^ mark)
+
+
+def _home(row: np.ndarray, homes: int) -> np.ndarray:
+    return (row % U64(homes)).astype(np.int64)
 
 
 def _by(key: np.ndarray):
@@ -81,10 +84,10 @@ def _by(key: np.ndarray):
             yield key[part[0]], part
 
 
-_FOUND = pa.schema([("bucket", pa.int32()), ("kind", pa.int8()), ("keys", pa.binary()), ("body", pa.binary())])
+_FOUND = pa.schema([("bucket", pa.int64()), ("kind", pa.int8()), ("keys", pa.binary()), ("body", pa.binary())])
 
 
-def _scan(window: int, groups: int):
+def _scan(window: int, groups: int, homes: int):
     def run(batches):
         for batch in batches:
             for at, to in slices(batch.column(1), 4 << 20):
@@ -105,13 +108,13 @@ def _scan(window: int, groups: int):
                 gone[order] = of[order] > least
                 out = []
                 rest = np.flatnonzero(gone)
-                for home, i in _by(_home(of[rest], groups)) if len(rest) else ():
+                for home, i in _by(_home(_row(of[rest], mark[rest]), homes)) if len(rest) else ():
                     i = rest[i]
                     i = i[np.lexsort((pos[i], mark[i], of[i]))]
                     out.append((int(home), 1, b"", _pack(of[i], mark[i], pos[i])))
                 rest = np.flatnonzero(~gone)
                 second = words.windows(window, OTHER_BASE)[1]
-                for bucket, i in _by((second[rest] % U64(groups)).astype(np.int32)):
+                for bucket, i in _by((second[rest] % U64(groups)).astype(np.int64)):
                     i = rest[i]
                     i = i[np.lexsort((pos[i], mark[i], of[i]))]
                     keys = np.ascontiguousarray(key[i].view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES])
@@ -121,10 +124,10 @@ def _scan(window: int, groups: int):
     return run
 
 
-_GONE = pa.schema([("home", pa.int32()), ("body", pa.binary())])
+_GONE = pa.schema([("home", pa.int64()), ("body", pa.binary())])
 
 
-def _decide(groups: int):
+def _decide(homes: int):
     def run(table: pa.Table) -> pa.Table:
         out, found = [], []
         for kind, bucket, keys, body in zip(*(table.column(c).to_pylist() for c in ("kind", "bucket", "keys", "body")), strict=True):
@@ -142,7 +145,7 @@ def _decide(groups: int):
             new[1:] = key[order][1:] != key[order][:-1]
             least = doc[order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
             gone = order[doc[order] > least]
-            for home, i in _by(_home(doc[gone], groups)) if len(gone) else ():
+            for home, i in _by(_home(_row(doc[gone], mark[gone]), homes)) if len(gone) else ():
                 i = gone[i]
                 i = i[np.lexsort((pos[i], mark[i], doc[i]))]
                 out.append((int(home), _pack(doc[i], mark[i], pos[i])))
@@ -164,23 +167,23 @@ def _remove(window: int, with_text: bool):
     def run(docs: pa.Table, gone: pa.Table) -> pa.Table:
         rows = []
         if docs.num_rows:
-            # Entries become sorted (doc, mark) keys with their positions.
+            # Entries become sorted row hashes with their positions.
+            row, pos = np.zeros(0, U64), np.zeros(0, np.uint32)
             if gone.num_rows:
                 doc, mark, pos = (np.concatenate(x) for x in zip(*(_unpack(b) for b in gone.column("body").to_pylist()), strict=True))
-                order = np.lexsort((mark, doc))
-                doc, mark, pos = doc[order], mark[order], pos[order]
-            else:
-                doc, mark, pos = np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+                row = _row(doc, mark)
+                order = np.argsort(row, kind="stable")
+                row, pos = row[order], pos[order]
             texts = docs.column("text").combine_chunks()
             texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
             ids = _ids(docs.column("doc_id").combine_chunks())
             for at, to in slices(texts):
                 part = texts.slice(at, to - at)
-                marks = _marks(Words(part))
+                mine_of = _row(ids[at:to], _marks(Words(part)))
+                low, high = np.searchsorted(row, mine_of), np.searchsorted(row, mine_of, "right")
                 for k, text in enumerate(part.to_pylist()):
                     own = (text or "").encode().split()
-                    i, j = np.searchsorted(doc, ids[at + k]), np.searchsorted(doc, ids[at + k], "right")
-                    mine = pos[i:j][mark[i:j] == marks[k]].astype(np.int64)
+                    mine = pos[low[k] : high[k]].astype(np.int64)
                     out = _intervals(window, mine, len(own)) if len(mine) else np.zeros(len(own), bool)
                     kept = b" ".join(compress(own, ~out) if len(mine) else own)
                     rows.append((None if ids[at + k] == _LAST else int(ids[at + k]), len(own), int(out.sum()), hashlib.sha256(kept).hexdigest(), *[kept.decode()] * with_text))
@@ -190,7 +193,7 @@ def _remove(window: int, with_text: bool):
     return run
 
 
-def substring_dedup(docs: DataFrame, window: int = 13, with_text: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 13, with_text: bool = False, bucket_bytes: int = BUCKET_BYTES, home_bytes: int = HOME_BYTES, parts: int = PARTS) -> DataFrame:
     """Removes every word covered by a window of `window` words that also starts in a document of smaller id.
 
     Input: doc_id, text; other columns are not read.  Output: doc_id, n_words, n_removed, kept_sha256
@@ -198,23 +201,82 @@ def substring_dedup(docs: DataFrame, window: int = 13, with_text: bool = False)
     Null and blank texts have no words; texts shorter than a window lose nothing.  A null doc_id counts
     as larger than any other.  Repeated rows are judged alike, and equal doc_ids never remove each other.
 
+    Windows are compared by 56 bits of a Rabin-Karp hash besides an independent bucket, rows by 64 bits of id and text.
     Each task sends a window's least document per slice of text, so a window that is everywhere arrives
     once a slice.  Buckets and document groups grow in number, not in size, with the input.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = int(max(8, min(2**31 - 1, -(-total // BUCKET_BYTES))))
-    found = docs.mapInArrow(tidied(_scan(window, groups)), "bucket int, kind tinyint, keys binary, body binary")
-    gone = found.groupBy("bucket").applyInArrow(_decide(groups), "home int, body binary")
-    homes = docs.mapInArrow(tidied(_with_home(groups)), "home int, doc_id long, text string")
+    groups, homes = max(8, -(-total // bucket_bytes)), max(8, -(-total // home_bytes))
+    found = docs.mapInArrow(tidied(_scan(window, min(groups, parts), min(homes, parts))), "bucket long, kind tinyint, keys binary, body binary")
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if groups > parts:
+        found = found.repartition(max(width, parts), "bucket").mapInArrow(tidied(_again(-(-groups // parts), parts)), "bucket long, kind tinyint, keys binary, body binary")
+    gone = found.groupBy("bucket").applyInArrow(_decide(min(homes, parts)), "home long, body binary")
+    if homes > parts:
+        gone = gone.repartition(max(width, parts), "home").mapInArrow(tidied(_homes_again(homes)), "home long, body binary")
+    rows = docs.mapInArrow(tidied(_with_home(homes)), "home long, doc_id long, text string")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return homes.groupBy("home").cogroup(gone.groupBy("home")).applyInArrow(_remove(window, with_text), schema)
+    return rows.groupBy("home").cogroup(gone.groupBy("home")).applyInArrow(_remove(window, with_text), schema)
 
 
-def _with_home(groups: int):
+def _with_home(homes: int):
     def run(batches):
         for batch in batches:
-            home = pa.array(_home(_ids(batch.column(0)), groups), pa.int32())
-            yield pa.RecordBatch.from_arrays([home, batch.column(0), batch.column(1)], names=["home", "doc_id", "text"])
+            for at, to in slices(batch.column(1)):
+                part = batch.slice(at, to - at)
+                home = pa.array(_home(_row(_ids(part.column(0)), _marks(Words(part.column(1)))), homes), pa.int64())
+                yield pa.RecordBatch.from_arrays([home, part.column(0), part.column(1)], names=["home", "doc_id", "text"])
+
+    return run
+
+
+def _gathered(batches, most: int = 16 << 20):
+    """Lists of rows of about `most` bytes."""
+    rows, size = [], 0
+    for batch in batches:
+        rows += batch.to_pylist()
+        size += batch.nbytes
+        if size >= most:
+            yield rows
+            rows, size = [], 0
+    if rows:
+        yield rows
+
+
+def _again(width: int, parts: int):
+    """Deals each bucket's windows into `width` finer buckets by their fingerprints."""
+
+    def run(batches):
+        for rows in _gathered(batches):
+            out = [(r["bucket"], 1, b"", r["body"]) for r in rows if r["kind"]]
+            of: dict[int, list] = {}
+            for r in rows:
+                if not r["kind"]:
+                    of.setdefault(r["bucket"], []).append(r)
+            for bucket, own in of.items():
+                keys = np.concatenate([np.frombuffer(r["keys"], np.uint8).reshape(-1, KEY_BYTES) for r in own])
+                doc, mark, pos = (np.concatenate(x) for x in zip(*(_unpack(r["body"]) for r in own), strict=True))
+                wide = np.zeros((len(keys), 8), np.uint8)
+                wide[:, :KEY_BYTES] = keys
+                for fine, i in _by((mix(wide.view(U64).ravel()) % U64(width)).astype(np.int64)):
+                    i = i[np.lexsort((pos[i], mark[i], doc[i]))]
+                    out.append((bucket + parts * int(fine), 0, np.ascontiguousarray(keys[i]).tobytes(), _pack(doc[i], mark[i], pos[i])))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(_FOUND)], schema=_FOUND)
+
+    return run
+
+
+def _homes_again(homes: int):
+    """Deals each group's entries into the `homes` finer groups."""
+
+    def run(batches):
+        for rows in _gathered(batches):
+            doc, mark, pos = (np.concatenate(x) for x in zip(*(_unpack(r["body"]) for r in rows), strict=True))
+            out = []
+            for home, i in _by(_home(_row(doc, mark), homes)):
+                i = i[np.lexsort((pos[i], mark[i], doc[i]))]
+                out.append((int(home), _pack(doc[i], mark[i], pos[i])))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(_GONE)], schema=_GONE)
 
     return run

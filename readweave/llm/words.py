@@ -1,7 +1,8 @@
-"""Vectorised word splitting and Rabin-Karp hashing over Arrow string arrays.
+"""Vectorised word splitting and hashing over Arrow string arrays.
 
-Words are maximal runs of bytes other than 0x20 and 0x09-0x0D.  All arithmetic is
-modulo 2**64 on whole byte buffers, so no Python object is made per word.
+Words are maximal runs of bytes other than 0x20 and 0x09-0x0D.  A word's hash sums a pseudorandom number for each
+(place, byte), which no regular text cancels out; hashes of windows are Rabin-Karp polynomials of word hashes.  All
+arithmetic is modulo 2**64 on whole byte buffers, so no Python object is made per word.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _BYTE_VALUE = mix(np.arange(1, 257, dtype=U64) * U64(BYTE_BASE))
 _powers: dict[int, np.ndarray] = {}
+_places: list[np.ndarray] = []
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -43,9 +45,17 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def places(n: int) -> np.ndarray:
+    """A pseudorandom number for each place 0 .. n-1, kept between calls."""
+    if not _places or len(_places[0]) < n:
+        _places[:] = [mix((np.arange(n + n // 8 + 64, dtype=U64) + U64(1)) * U64(OTHER_BASE))]
+    return _places[0][:n]
+
+
 def tidy() -> None:
     """Gives back what a Python worker holds; workers outlive their tasks."""
     _powers.clear()
+    _places.clear()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
@@ -75,9 +85,31 @@ def _between(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, base: int)
     return (prefix[end] - prefix[start]) * powers(inverse, len(prefix))[start]
 
 
+def sums_by_place(values: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A hash of each run of values; the runs, of these lengths, follow each other.  0 for an empty run."""
+    out = np.zeros(len(length), U64)
+    some = length > 0
+    if some.any():
+        first = np.cumsum(length) - length
+        place = np.arange(len(values), dtype=np.int32 if len(values) < 1 << 31 else np.int64)
+        place -= np.repeat(first.astype(place.dtype), length)
+        each = values ^ places(int(length.max()))[place]
+        each *= U64(WORD_BASE)
+        each ^= each >> U64(32)
+        out[some] = mix(np.add.reduceat(each, first[some]) + length[some].astype(U64))
+    return out
+
+
 def hash_ranges(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of each byte range of a buffer."""
-    return mix(_between(_prefix(_BYTE_VALUE[data], BYTE_BASE), start, end, BYTE_BASE) + (end - start).astype(U64))
+    """Hash of each byte range of a buffer; the ranges ascend and do not overlap."""
+    length = end - start
+    if int(length.sum()) < len(data):
+        edge = np.zeros(len(data) + 1, np.int8)
+        some = length > 0
+        edge[start[some]] = 1
+        edge[end[some]] -= 1
+        data = data[np.cumsum(edge[:-1], dtype=np.int8).view(bool)]
+    return sums_by_place(_BYTE_VALUE[data], length)
 
 
 def slices(texts: pa.Array, most: int = SLICE_BYTES):
