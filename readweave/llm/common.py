@@ -28,11 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, rows_in_file: int = 0) -> DataFrame:
     """The same rows, from a table in the shared folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/readweave-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_in_file).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,8 +1,10 @@
-"""Token-ID output: a wavelet matrix per shard, in one compressed image that answers by rank and select.
+"""Token-ID output: a wavelet matrix per shard, in one compressed file that answers by rank and select.
 
-Image: b"WVM1", a header of counts, then zstd frames: document lengths, and for each bit of the ids, highest
-first, its plane.  A plane's ranks are rebuilt on opening (one 64-bit count per 512 bits).  Images are rows of a
-table, so Spark's own commit protocol decides which attempt of a task counts, on any store that Spark can write.
+Image: b"WVM2" and counts, then a directory, then zstd frames.  The directory has for each bit of the ids, highest first,
+the zeros of its plane, and for each block of a plane the set bits before it and where its frame ends; so an access opens
+one block of each plane, and a rank counts within one block.  The frames are document lengths and the blocks, plane by
+plane.  An image is the one row of a Parquet file of its own, so Spark's commit protocol decides which attempt of a
+task counts, on any store that Spark can write.
 """
 
 from __future__ import annotations
@@ -20,102 +22,124 @@ from pyspark.sql import functions as F
 from .common import written
 from .words import hash_ranges, slices, tidied
 
-_MAGIC, _HEAD = b"WVM1", "<4sBQQ"
+_MAGIC, _HEAD = b"WVM2", "<4sBQQQ"
 #: Ids in a shard, but for a longer document; bounds the memory of a task.
 SHARD_IDS = 1_000_000
-#: Ranks are kept for every so many bits.
-_STEP = 512
+#: Bits of a block: what a rank, select or access opens of a plane.
+_BLOCK = 1 << 16
+
+
+def _kind(bits: int):
+    return np.uint16 if bits <= 16 else np.uint32
 
 
 class WaveletMatrix:
-    """Ids of a shard and its documents; access, rank, select and extraction from bit planes."""
+    """Ids of a shard and its documents; access, rank, select and extraction from the blocks of an image."""
+
+    #: Blocks kept open.
+    OPEN = 256
 
-    def __init__(self, planes: list[np.ndarray], n: int, lengths: np.ndarray):
-        self.planes, self.n, self.lengths = planes, n, lengths
-        self.starts = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-        self.zeros, self.ranks = [], []
-        for plane in planes:
-            ones = np.bitwise_count(np.concatenate([plane, np.zeros(-len(plane) % (_STEP // 8), np.uint8)]).reshape(-1, _STEP // 8)).sum(1, dtype=np.int64)
-            self.ranks.append(np.concatenate([[0], np.cumsum(ones)]))
-            self.zeros.append(n - int(self.ranks[-1][-1]))
+    def __init__(self, image: bytes):
+        magic, self.bits, self.n, docs, size = struct.unpack_from(_HEAD, image)
+        if magic != _MAGIC:
+            raise ValueError("not a wavelet matrix image")
+        self.image, self.blocks = image, -(-self.n // _BLOCK)
+        at = struct.calcsize(_HEAD)
+        table = np.frombuffer(image, "<u8", self.bits * (2 * self.blocks + 1), at).astype(np.int64).reshape(self.bits, -1)
+        at += 8 * table.size
+        self.zeros, self.before, ends = table[:, 0], table[:, 1 : 1 + self.blocks], table[:, 1 + self.blocks :].ravel()
+        self._open: dict[tuple[int, int], np.ndarray] = {}
+        self._unpack = zstandard.ZstdDecompressor().decompress
+        self.lengths = np.frombuffer(self._unpack(image[at : at + size]), "<u8").astype(np.int64)[:docs]
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths)]).astype(np.int64)
+        self.frames = at + size + np.concatenate([[0], ends]).astype(np.int64)
 
     @classmethod
     def build(cls, ids: np.ndarray, lengths: np.ndarray) -> WaveletMatrix:
+        pack = zstandard.ZstdCompressor(level=1).compress
         bits = max(1, int(ids.max()).bit_length()) if len(ids) else 1
-        kind = np.uint16 if bits <= 16 else np.uint32
-        planes, row = [], ids.astype(kind)
+        kind, row = _kind(bits), ids.astype(_kind(bits))
+        table, frames = [], []
         for k in range(bits - 1, -1, -1):
             ones = (row & kind(1 << k)).astype(bool)
-            planes.append(np.packbits(ones, bitorder="little"))
+            counts = np.add.reduceat(ones, np.arange(0, len(row), _BLOCK), dtype=np.int64) if len(row) else np.zeros(0, np.int64)
+            plane = np.packbits(ones, bitorder="little").tobytes()
+            frames += [pack(plane[i : i + _BLOCK // 8]) for i in range(0, len(plane), _BLOCK // 8)]
+            table.append(np.concatenate([[len(row) - counts.sum()], np.cumsum(counts) - counts]))
             row = np.concatenate([row.take(np.flatnonzero(~ones)), row.take(np.flatnonzero(ones))])
-        return cls(planes, len(ids), lengths)
+        documents = pack(lengths.astype("<u8").tobytes())
+        ends = np.cumsum([len(f) for f in frames]).reshape(bits, -1)
+        head = struct.pack(_HEAD, _MAGIC, bits, len(ids), len(lengths), len(documents))
+        return cls(head + np.concatenate([np.array(table), ends], axis=1).astype("<u8").tobytes() + documents + b"".join(frames))
 
     def dump(self) -> bytes:
-        pack = zstandard.ZstdCompressor(level=1).compress
-        frames = [pack(self.lengths.astype("<u8").tobytes()), *(pack(p.tobytes()) for p in self.planes)]
-        head = struct.pack(_HEAD, _MAGIC, len(self.planes), self.n, len(self.lengths))
-        return head + struct.pack(f"<{len(frames)}Q", *map(len, frames)) + b"".join(frames)
+        return self.image
 
     @classmethod
     def load(cls, image: bytes) -> WaveletMatrix:
-        magic, bits, n, docs = struct.unpack_from(_HEAD, image)
-        if magic != _MAGIC:
-            raise ValueError("not a wavelet matrix image")
-        sizes = struct.unpack_from(f"<{bits + 1}Q", image, at := struct.calcsize(_HEAD))
-        at += 8 * (bits + 1)
-        unpack, frames = zstandard.ZstdDecompressor().decompress, []
-        for size in sizes:
-            frames.append(unpack(image[at : at + size]))
-            at += size
-        return cls([np.frombuffer(f, np.uint8) for f in frames[1:]], n, np.frombuffer(frames[0], "<u8").astype(np.int64)[:docs])
+        return cls(image)
+
+    def _frame(self, plane: int, block: int) -> np.ndarray:
+        at = plane * self.blocks + block
+        return np.frombuffer(self._unpack(self.image[self.frames[at] : self.frames[at + 1]]), np.uint8)
+
+    def _block(self, plane: int, block: int) -> np.ndarray:
+        found = self._open.get((plane, block))
+        if found is None:
+            if len(self._open) >= self.OPEN:
+                self._open.pop(next(iter(self._open)))
+            found = self._open[plane, block] = self._frame(plane, block)
+        return found
 
     def _bit(self, plane: int, i: int) -> int:
-        return int(self.planes[plane][i >> 3]) >> (i & 7) & 1
+        return int(self._block(plane, i // _BLOCK)[i % _BLOCK >> 3]) >> (i & 7) & 1
 
     def _ones(self, plane: int, i: int) -> int:
         """Set bits before place i."""
-        at = i // _STEP * (_STEP // 8)
-        found = int(self.ranks[plane][i // _STEP]) + int(np.bitwise_count(self.planes[plane][at : i >> 3]).sum())
-        return found + ((int(self.planes[plane][i >> 3]) & ((1 << (i & 7)) - 1)).bit_count() if i & 7 else 0)
+        if i >= self.n:
+            return self.n - int(self.zeros[plane])
+        block, rest = self._block(plane, i // _BLOCK), i % _BLOCK
+        found = int(self.before[plane, i // _BLOCK]) + int(np.bitwise_count(block[: rest >> 3]).sum(dtype=np.int64))
+        return found + ((int(block[rest >> 3]) & ((1 << (i & 7)) - 1)).bit_count() if i & 7 else 0)
 
     def access(self, i: int) -> int:
         """The id at place i."""
         if not 0 <= i < self.n:
             raise IndexError(i)
         value = 0
-        for k in range(len(self.planes)):
+        for k in range(self.bits):
             bit, ones = self._bit(k, i), self._ones(k, i)
             value = value << 1 | bit
-            i = self.zeros[k] + ones if bit else i - ones
+            i = int(self.zeros[k]) + ones if bit else i - ones
         return value
 
     def _range(self, value: int, low: int, high: int) -> tuple[int, int]:
-        for k in range(len(self.planes)):
+        for k in range(self.bits):
             a, b = self._ones(k, low), self._ones(k, high)
-            low, high = (self.zeros[k] + a, self.zeros[k] + b) if value >> (len(self.planes) - 1 - k) & 1 else (low - a, high - b)
+            low, high = (int(self.zeros[k]) + a, int(self.zeros[k]) + b) if value >> (self.bits - 1 - k) & 1 else (low - a, high - b)
         return low, high
 
     def count(self, value: int, low: int = 0, high: int | None = None) -> int:
         """How often an id stands in places low .. high-1 (rank)."""
-        if value < 0 or value >> len(self.planes):
+        if value < 0 or value >> self.bits:
             return 0
         low, high = self._range(value, low, self.n if high is None else high)
         return high - low
 
     def _select(self, plane: int, bit: int, nth: int) -> int:
-        ranks = self.ranks[plane] if bit else np.minimum(np.arange(len(self.ranks[plane])) * _STEP, self.n) - self.ranks[plane]
-        block = int(np.searchsorted(ranks, nth, "right")) - 1
-        bits = np.unpackbits(self.planes[plane][block * _STEP // 8 : (block + 1) * _STEP // 8], bitorder="little")
-        return block * _STEP + int(np.flatnonzero(bits == bit)[nth - int(ranks[block])])
+        before = self.before[plane] if bit else np.arange(self.blocks) * _BLOCK - self.before[plane]
+        block = int(np.searchsorted(before, nth, "right")) - 1
+        bits = np.unpackbits(self._block(plane, block), bitorder="little")
+        return block * _BLOCK + int(np.flatnonzero(bits == bit)[nth - int(before[block])])
 
     def select(self, value: int, nth: int) -> int:
         """The place of the nth occurrence (from 0) of an id."""
         if not 0 <= nth < self.count(value):
             raise IndexError(nth)
         i = self._range(value, 0, self.n)[0] + nth
-        for k in range(len(self.planes) - 1, -1, -1):
-            bit = value >> (len(self.planes) - 1 - k) & 1
-            i = self._select(k, bit, i - self.zeros[k] if bit else i)
+        for k in range(self.bits - 1, -1, -1):
+            bit = value >> (self.bits - 1 - k) & 1
+            i = self._select(k, bit, i - int(self.zeros[k]) if bit else i)
         return i
 
     def occurrences(self, value: int) -> list[tuple[int, int]]:
@@ -126,12 +150,13 @@ class WaveletMatrix:
 
     def ids(self) -> np.ndarray:
         """All ids in order: from the last plane up, each plane says where the values of the next one stood before."""
-        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        kind = _kind(self.bits)
         value = np.zeros(self.n, kind)
-        for k, plane in enumerate(reversed(self.planes)):
+        for k in range(self.bits - 1, -1, -1):
+            plane = np.concatenate([self._frame(k, b) for b in range(self.blocks)] or [np.zeros(0, np.uint8)])
             ones = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
-            zeros, before = self.zeros[len(self.planes) - 1 - k], np.empty(self.n, kind)
-            before[np.flatnonzero(~ones)], before[np.flatnonzero(ones)] = value[:zeros], value[zeros:] | kind(1 << k)
+            zeros, before = int(self.zeros[k]), np.empty(self.n, kind)
+            before[np.flatnonzero(~ones)], before[np.flatnonzero(ones)] = value[:zeros], value[zeros:] | kind(1 << (self.bits - 1 - k))
             value = before
         return value
 
@@ -158,11 +183,12 @@ class SegmentEncoder:
 
     A segment begins at a text's start, at a single space between two characters that are no white space, and before
     and after a single line end between two such characters.  The tokenizer's splitting pattern always cuts there, and merges never cross a cut, so the ids of a text are those of
-    its segments one after the other.  Bytes that may belong to other Unicode white space never make a cut.
+    its segments one after the other.  Bytes that may belong to other Unicode white space never make a cut.  A text that
+    holds the string of an added token goes to the tokenizer whole.
     """
 
-    #: Segments kept between slices: the first ones met, which holds the frequent ones.
-    KEPT = 300_000
+    #: Bytes of segments, their ids and what holds them, kept between slices: the first ones met, among them the frequent ones.
+    KEPT_BYTES = 64 << 20
     #: New segments encoded as the lines of one text.
     LINES = 24
 
@@ -173,9 +199,12 @@ class SegmentEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         self.known: dict[bytes, bytes] = {}
+        self.held = 0
+        self.kind = np.uint16 if max(self.tokenizer.get_vocab().values(), default=0) < 1 << 16 else np.uint32
+        self.wide = np.dtype(self.kind).itemsize
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         byte = np.arange(256)
         self.ends = (byte > 0x20) & (byte < 0x80)
         self.two = (byte >= 0xC3) & (byte <= 0xDF)
@@ -183,8 +212,6 @@ class SegmentEncoder:
 
         self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.lean = self._lean_tokenizer()
-        if self.tokenizer.get_vocab_size() > 1 << 16:
-            raise ValueError("ids are kept as 16 bits")
 
     def _lean_tokenizer(self):
         """The same merges behind a split at white space, for segments that are cut here; None for another kind of tokenizer."""
@@ -203,16 +230,16 @@ class SegmentEncoder:
 
     def _lines(self, batch, texts: list[str], n: int) -> list[bytes] | None:
         """Ids of the n lines of all texts; None if line ends don't come out as one token each."""
-        between = np.array(self.line, np.uint16)
-        ids = np.concatenate([x for e in batch(texts, add_special_tokens=False) for x in (np.array(e.ids, np.uint16), between)])
+        between = np.array(self.line, self.kind)
+        ids = np.concatenate([x for e in batch(texts, add_special_tokens=False) for x in (np.array(e.ids, self.kind), between)])
         cuts = np.flatnonzero(ids == between[0]).tolist()
         if len(between) != 1 or len(cuts) != n:
             return None
         own = ids.tobytes()
-        return [own[2 * a : 2 * b] for a, b in zip([0, *[c + 1 for c in cuts[:-1]]], cuts, strict=True)]
+        return [own[self.wide * a : self.wide * b] for a, b in zip([0, *[c + 1 for c in cuts[:-1]]], cuts, strict=True)]
 
     def _encoded(self, segments: list[bytes]) -> list[bytes]:
-        """Ids of each segment, as bytes of 16-bit numbers.
+        """Ids of each segment, as bytes of numbers of `kind`.
 
         Lean segments are cut and spelled in byte-level characters here and go to the merges as they are; others
         pass the tokenizer's own splitting pattern.
@@ -244,7 +271,7 @@ class SegmentEncoder:
         """
         odd = [_ODD.search(x) is not None for x in segments]
         plain = [x for x, o in zip(segments, odd, strict=True) if not o] if any(odd) else segments
-        encode = lambda texts: [np.array(e.ids, np.uint16) for e in self.batch(texts, add_special_tokens=False)]
+        encode = lambda texts: [np.array(e.ids, self.kind) for e in self.batch(texts, add_special_tokens=False)]
         texts = [b"\n".join(plain[k : k + self.LINES]).decode() for k in range(0, len(plain), self.LINES)]
         lines: list[bytes] = []
         if texts:
@@ -256,15 +283,33 @@ class SegmentEncoder:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
-        import pandas as pd
+        import pyarrow.compute as pc
 
         texts = pa.concat_arrays([texts.cast(pa.large_string())]).fill_null("")
+        whole = np.zeros(len(texts), bool)
+        for token in self.added:
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            return self._cut(texts)
+        ids, many = self._cut(pc.if_else(pa.array(whole), pa.scalar("", pa.large_string()), texts))
+        parts, at = [], np.concatenate([[0], np.cumsum(many)])
+        low = 0
+        for i in np.flatnonzero(whole).tolist():
+            own = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, self.kind)
+            parts += [ids[at[low] : at[i]], own]
+            many[i], low = len(own), i
+        return np.concatenate([*parts, ids[at[low] :]]), many
+
+    def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        import pandas as pd
+
+        texts = pa.concat_arrays([texts])
         n, buffers = len(texts), texts.buffers()
         offsets = np.frombuffer(buffers[1], np.int64)[texts.offset : texts.offset + n + 1]
         data = np.frombuffer(buffers[2], np.uint8)[offsets[0] : offsets[-1]] if buffers[2] is not None else np.zeros(0, np.uint8)
         offsets = offsets - offsets[0]
         if not len(data):
-            return np.zeros(0, np.uint16), np.zeros(n, np.int64)
+            return np.zeros(0, self.kind), np.zeros(n, np.int64)
         cut = np.zeros(len(data), bool)
         between = (self.ends[data[1:-2]] | (self.two[data[:-3]] & (data[1:-2] >= 0x80))) & self.begins[data[3:]]
         line = (data[2:-1] == 0x0A) & between
@@ -276,9 +321,8 @@ class SegmentEncoder:
         cut[edges] = True
         start = np.flatnonzero(cut)
         end = np.append(start[1:], len(data))
-        code, unique = pd.factorize(hash_ranges(data, start, end))
-        first = np.empty(len(unique), np.int64)
-        first[code[::-1]] = np.arange(len(code))[::-1]
+        code = pd.factorize(hash_ranges(data, start, end))[0]
+        code, first = self._same(data, start, end, code)
         raw = data.tobytes()
         known, segments = self.known, [raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
         found = list(map(known.get, segments))
@@ -286,10 +330,12 @@ class SegmentEncoder:
         if new:
             for i, ids in zip(new, self._encoded([segments[i] for i in new]), strict=True):
                 found[i] = ids
-                if len(known) < self.KEPT:
+                size = len(segments[i]) + len(ids) + 200
+                if self.held + size <= self.KEPT_BYTES:
                     known[segments[i]] = ids
-        many = np.fromiter(map(len, found), np.int64, len(found)) >> 1
-        flat = np.frombuffer(b"".join(found), np.uint16)
+                    self.held += size
+        many = np.fromiter(map(len, found), np.int64, len(found)) // self.wide
+        flat = np.frombuffer(b"".join(found), self.kind)
         at = np.cumsum(many) - many
         each = many[code]
         total = np.concatenate([[0], np.cumsum(each)])
@@ -297,6 +343,28 @@ class SegmentEncoder:
         bounds = total[np.searchsorted(start, offsets)]
         return ids, np.diff(bounds)
 
+    @staticmethod
+    def _same(data: np.ndarray, start: np.ndarray, end: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(code, first segment of each code), where segments of a code are equal byte by byte: what only hashes alike gets a code of its own."""
+        first = np.empty(int(code.max()) + 1, np.int64)
+        first[code[::-1]] = np.arange(len(code))[::-1]
+        length, like = end - start, first[code]
+        other = np.arange(len(data)) + np.repeat(start[like] - start, length)
+        unlike = length != length[like]
+        differs = data != data[np.minimum(other, len(data) - 1, out=other)]
+        if differs.any():
+            unlike |= np.logical_or.reduceat(differs, start)
+        if unlike.any():
+            raw, names, more = data.tobytes(), {}, list(first)
+            for i in np.flatnonzero(unlike).tolist():
+                name = raw[start[i] : end[i]]
+                if name not in names:
+                    names[name] = len(more)
+                    more.append(i)
+                code[i] = names[name]
+            first = np.array(more)
+        return code, first
+
 
 _encoders: dict[str, SegmentEncoder] = {}
 
@@ -352,15 +420,18 @@ def _encode(path: str, end_id: int, most: int):
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, shard_ids: int = SHARD_IDS) -> DataFrame:
-    """Encodes whole texts, in order of doc_id (nulls first, ties by text), into the images of a written table.
+    """Encodes whole texts, in order of doc_id (nulls first, ties by a hash of the text), into the images of a written table.
 
     Columns: part, nth (order of shards), start (ids before the shard), n_ids, doc_ids, image.  A null text is
     empty; each document ends with end_id.  Repeated rows are documents of their own; other columns are not read.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    images = written(ordered.mapInArrow(tidied(_encode(tokenizer, end_id, shard_ids)), "part int, nth int, n_ids long, doc_ids array<long>, image binary"))
+    # Rows of one id, or of none, are spread by a hash of their text.
+    order = [F.col("doc_id").asc_nulls_first(), F.col("_mark")]
+    ordered = docs.withColumn("_mark", F.xxhash64("text")).repartitionByRange(n, *order).sortWithinPartitions(*order, "text").select("doc_id", "text")
+    images = ordered.mapInArrow(tidied(_encode(tokenizer, end_id, shard_ids)), "part int, nth int, n_ids long, doc_ids array<long>, image binary")
+    images = written(images, rows_in_file=1)
     # Offsets: one row per part is ordered in one task, the shards of a part in another.
     parts = images.groupBy("part").agg(F.sum("n_ids").alias("all"))
     parts = parts.select("part", F.coalesce(F.sum("all").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
