@@ -16,8 +16,8 @@ _CUT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SHINGLE = 3
-#: Benchmark rows up to which a side is broadcast; beyond, Spark shuffles both sides.
-BROADCAST_ROWS = 500_000
+#: Bytes of the benchmark's side, as counted, up to which it is broadcast; beyond, Spark shuffles both sides.
+BROADCAST_BYTES = 32 << 20
 
 
 def folded_words(text: Column) -> Column:
@@ -32,17 +32,29 @@ def _runs(words: Column, n: int) -> Column:
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if its counted rows are within the bound."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """df, marked for broadcast if its counted bytes (of strings, and 16 for each row and column) are within the bound."""
+    texts = [F.octet_length(c) for c, kind in df.dtypes if kind == "string"]
+    size = F.lit(16 * len(df.columns))
+    for t in texts:
+        size = size + t
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else df
 
 
 def item_windows(bench: DataFrame, window: int) -> DataFrame:
-    """window_id, words (joined by spaces), length, items (distinct item_ids), for each distinct window."""
+    """item_id, window_id, words (joined by spaces), length of each window of each item."""
     items = fixed(bench.select(F.col("item_id"), folded_words(F.col("text").cast("string")).alias("w"))).where(F.size("w") > 0)
     length = F.least(F.lit(window), F.size("w"))
-    each = items.select("item_id", length.alias("length"), F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - length + 1), lambda i: F.slice("w", i, length))).alias("w"))
-    grouped = each.groupBy("length", F.array_join("w", " ").alias("words")).agg(F.collect_set("item_id").alias("items"))
-    return grouped.withColumn("window_id", F.sha2("words", 256))
+    each = items.select("item_id", length.alias("length"), F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - length + 1), lambda i: F.array_join(F.slice("w", i, length), " "))).alias("words"))
+    return each.withColumn("window_id", F.sha2("words", 256))
+
+
+def _marks(text: Column) -> list[Column]:
+    """128 bits that stand for a text."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    return [F.xxhash64(text).alias("mark"), F.xxhash64(F.lit("other"), text).alias("mark2")]
+
+
+_TEXT = ["mark", "mark2"]
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, window: int = 10) -> DataFrame:
@@ -50,59 +62,61 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = 10) -> DataFr
 
     A window is `window` consecutive words of an item; an item of fewer, but not none, is one window.  Null
     and blank texts have no words, null item_ids count as no item; an empty benchmark hits nothing.  Repeated
-    rows and equal ids are judged by their own text.  Other columns are not read.
+    rows and equal ids are judged by their own text; equal texts are searched once.  Other columns are not read.
     """
-    return _judged(docs, bench, window).drop("mark")
-
-
-def _judged(docs: DataFrame, bench: DataFrame, window: int) -> DataFrame:
-    """decontaminate's rows, each with the mark of its text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    docs = docs.withColumn("key", F.coalesce("doc_id", F.lit(-1))).withColumn("mark", _mark(F.col("text")))
     windows = written(item_windows(bench, window))
-    out = ["doc_id", "mark", F.regexp_count("text", F.lit(_WORD)).cast("long").alias("n_words")]
+    hits = written(_hits(docs, windows, ["doc_id"]))
+    # Items come in only here, once for each text and window that holds.
+    held = hits.select(*_TEXT, F.explode("held").alias("window_id")).distinct()
+    of = windows.where("item_id is not null").select("window_id", "item_id").distinct()
+    items = held.join(of, "window_id").groupBy(*_TEXT).agg(F.collect_set("item_id").alias("items"))
+    none = F.array().cast(f"array<{windows.schema['item_id'].dataType.simpleString()}>")
+    return hits.join(items, _TEXT, "left").select("doc_id", "n_words", "n_hit", F.coalesce("items", none).alias("items"))
+
+
+def _hits(docs: DataFrame, windows: DataFrame, carried: list[str]) -> DataFrame:
+    """carried columns, mark, mark2, n_words, n_hit, held (window_ids) of each row of docs."""
+    docs = docs.select(*carried, "text", *_marks(F.col("text")))
+    windows = windows.select("window_id", "words", "length").distinct()
+    out = [*carried, *_TEXT, F.regexp_count("text", F.lit(_WORD)).cast("long").alias("n_words")]
+    no_window = F.array().cast("array<string>")
 
     # Shingles of all windows: their size is what the shortest window allows.
     shingles = windows.withColumn("w", F.split("words", " ")).withColumn("k", F.least(F.lit(SHINGLE), F.size("w")))
     sizes = sorted(r.k for r in shingles.select("k").distinct().collect())  # 1 to SHINGLE
+    if not sizes:
+        return docs.select(*out, F.lit(0).cast("long").alias("n_hit"), no_window.alias("held"))
     hashes = F.lit(None).cast("array<bigint>")
     for k in sizes:
         hashes = F.when(F.col("k") == k, _runs(F.col("w"), k)).otherwise(hashes)
     shingles = written(shingles.select("window_id", "length", "k", F.posexplode(hashes).alias("place", "shingle")))
     known = _small(shingles.select("k", "shingle").distinct())
 
-    # All places of documents where a benchmark shingle stands, and from these how rare each is.
+    # All places of distinct texts where a benchmark shingle stands, and from these how rare each is.
     seen = None
     for k in sizes:
-        runs = fixed(docs.select("key", "mark", folded_words(F.col("text")).alias("w"))).select("key", "mark", _runs(F.col("w"), k).alias("runs"))
-        each = runs.select("key", "mark", F.lit(k).alias("k"), F.posexplode("runs").alias("at", "shingle"))
-        each = each.join(known.where(F.col("k") == k).select("shingle"), "shingle", "left_semi").select("key", "mark", "k", "at", "shingle")
+        runs = fixed(docs.select(*_TEXT, folded_words(F.col("text")).alias("w"))).select(*_TEXT, F.size("w").alias("n"), _runs(F.col("w"), k).alias("runs"))
+        each = runs.select(*_TEXT, "n", F.lit(k).alias("k"), F.posexplode("runs").alias("at", "shingle"))
+        each = each.join(known.where(F.col("k") == k).select("shingle"), "shingle", "left_semi").select(*_TEXT, "n", "k", "at", "shingle")
         seen = each if seen is None else seen.unionByName(each)
-    if seen is None:
-        none = F.array().cast(windows.schema["items"].dataType)
-        return docs.select(*out, F.lit(0).cast("long").alias("n_hit"), none.alias("items"))
-    seen = written(seen)
+    seen = written(seen.distinct())
     counts = seen.groupBy("k", "shingle").agg(F.count(F.lit(1)).alias("many"))
     # Rarest shingle of each window; a window with one that no document has needs no search.
     ranked = shingles.join(counts, ["k", "shingle"], "left").groupBy("window_id", "length", "k")
     prefix = ranked.agg(F.min(F.struct(F.coalesce("many", F.lit(0)).alias("many"), "place", "shingle")).alias("p")).where("p.many > 0")
     prefix = prefix.select("window_id", "length", "k", F.col("p.place").alias("place"), F.col("p.shingle").alias("shingle"))
-    prefix = _small(written(prefix.join(windows.select("window_id", "words", "items"), "window_id")))
-    found = seen.join(prefix, ["k", "shingle"]).withColumn("start", F.col("at") - F.col("place")).where("start >= 0")
-    found = found.groupBy("key", "mark").agg(F.collect_list(F.struct("start", "length", "words", "items")).alias("found"))
+    prefix = _small(written(prefix.join(windows.select("window_id", "words"), "window_id")))
+    found = seen.join(prefix, ["k", "shingle"]).withColumn("start", F.col("at") - F.col("place")).where("start >= 0 and start + length <= n")
+    found = found.groupBy(*_TEXT).agg(F.collect_list(F.struct("start", "length", "words", "window_id")).alias("found"))
 
-    both = docs.join(found, ["key", "mark"], "left")
+    both = docs.join(found, _TEXT, "left")
     both = fixed(both.select(*out, "found", F.when(F.col("found").isNotNull(), folded_words(F.col("text"))).alias("w")))
-    true = F.filter("found", lambda c: (c["start"] + c["length"] <= F.size("w")) & (F.array_join(F.slice("w", c["start"] + 1, c["length"]), " ") == c["words"]))
-    both = fixed(both.select("doc_id", "mark", "n_words", F.when(F.col("found").isNotNull(), true).alias("found")))
+    true = F.filter("found", lambda c: F.array_join(F.slice("w", c["start"] + 1, c["length"]), " ") == c["words"])
+    both = fixed(both.select(*carried, *_TEXT, "n_words", F.when(F.col("found").isNotNull(), true).alias("found")))
     hit = F.size(F.array_distinct(F.flatten(F.transform("found", lambda c: F.sequence(c["start"], c["start"] + c["length"] - 1)))))
-    items = F.array_distinct(F.flatten(F.transform("found", lambda c: c["items"])))
-    none = F.array().cast(windows.schema["items"].dataType)
-    return fixed(both.select("doc_id", "mark", "n_words", F.when(F.col("found").isNull(), 0).otherwise(hit).cast("long").alias("n_hit"), F.coalesce(items, none).alias("items")))
-
-
-def _mark(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+    held = F.array_distinct(F.transform("found", lambda c: c["window_id"]))
+    return fixed(both.select(*carried, *_TEXT, "n_words", F.when(F.col("found").isNull(), 0).otherwise(hit).cast("long").alias("n_hit"), F.coalesce(held, no_window).alias("held")))
 
 
 def uncontaminated(docs: DataFrame, bench: DataFrame, window: int = 10, most: float = 0.0) -> DataFrame:
@@ -110,6 +124,7 @@ def uncontaminated(docs: DataFrame, bench: DataFrame, window: int = 10, most: fl
 
     Each row goes or stays by its own text, whatever other rows of its doc_id, or without one, hold.
     """
-    judged = _judged(docs, bench, window).where(F.col("n_hit") > F.col("n_words") * F.lit(most)).select(F.col("doc_id").alias("_out"), F.col("mark").alias("_out_mark")).distinct()
-    own = docs.withColumn("_mark", _mark(F.col("text")))
-    return own.join(judged, own.doc_id.cast("long").eqNullSafe(judged._out) & (own._mark == judged._out_mark), "left_anti").select(*docs.columns)
+    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    judged = _hits(texts, written(item_windows(bench, window)), []).where(F.col("n_hit") > F.col("n_words") * F.lit(most)).select(*_TEXT).distinct()
+    carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_marks(F.col("text")))
+    return carried.join(judged, _TEXT, "left_anti").select("row.*")

@@ -13,18 +13,23 @@ from pyspark.sql import functions as F
 from .common import written
 
 _ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-#: kind, pattern, group whose length counts, least length: fixed values of the base kinds, in their order.
-BASE = (("assign", _ASSIGN, 2, 12), ("access", r"AKIA[A-Z0-9]+", 0, 18), ("hex", r"[0-9a-f]+", 0, 16))
+#: kind, pattern, group whose length counts, least length: fixed values of the base kinds, in their order.  The least
+#: length of an identifier or hex run stands in the pattern too: a run that is too short holds no other match.
+BASE = (("assign", _ASSIGN, 2, 12), ("access", r"AKIA[A-Z0-9]{14,}", 0, 18), ("hex", r"[0-9a-f]{16,}", 0, 16))
 #: kind, pattern, group, least and most length, part: candidates too common to be reported alone.
 WEAK = (
-    ("weak_access", r"AKIA[A-Z0-9]+", 0, 12, 17, "access"),
+    ("weak_access", r"AKIA[A-Z0-9]{8,}", 0, 12, 17, "access"),
     ("weak_login", r"""((?i:user_?name|login|account|client_?id|access_?key_?id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.@=-]+)""", 2, 3, None, "access"),
     ("weak_assign", _ASSIGN, 2, 4, 11, "secret"),
-    ("weak_endpoint", r"""[a-z][a-z0-9+]*://[^\x00-\x20"'<>]+""", 0, 8, None, "endpoint"),
+    # A run of characters is tried from its start only, and never given back, so a long one takes linear time.
+    ("weak_mail", r"(?<![A-Za-z0-9._+-])[A-Za-z0-9._+-]++@[A-Za-z0-9][A-Za-z0-9._+-]*+", 0, 6, None, "access"),
+    ("weak_endpoint", r"""(?<![a-z0-9+])[a-z0-9+]++://[^\x00-\x20"'<>]++""", 0, 8, None, "endpoint"),
 )
 _PART = {"assign": "secret", "hex": "secret", "access": "access"} | {w[0]: w[5] for w in WEAK}
 _RANK = {k: i for i, k in enumerate([b[0] for b in BASE] + [w[0] for w in WEAK])}
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
+#: Matches whose places are summed up together.
+_MATCHES = 256
 
 
 def _spans(kind: str, pattern: str, group: int, least: int, most: int | None) -> Column:
@@ -41,7 +46,14 @@ def _spans(kind: str, pattern: str, group: int, least: int, most: int | None) ->
         new = F.array(F.struct(start.alias("start"), F.lit(_RANK[kind]).alias("kind"), (start + m["n"]).alias("end")))
         return F.struct((start + m["n"]).alias("at"), F.when(good, F.concat(state["out"], new)).otherwise(state["out"]).alias("out"))
 
-    return F.when(text.rlike(pattern), F.aggregate(each, empty, step)["out"]).otherwise(F.array().cast(_SPANS))
+    def shifted(state: Column, block: Column) -> Column:
+        moved = F.transform(block["out"], lambda s: F.struct((s["start"] + state["at"]).alias("start"), s["kind"].alias("kind"), (s["end"] + state["at"]).alias("end")))
+        return F.struct((state["at"] + block["at"]).alias("at"), F.concat(state["out"], F.array(moved)).alias("out"))
+
+    # Places are summed up within blocks of matches and then over blocks, so that no array grows by one span at a time.
+    blocks = lambda e: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(e) / _MATCHES).cast("int") - 1)), lambda b: F.aggregate(F.slice(e, b * _MATCHES + 1, _MATCHES), empty, step))
+    found = F.transform(F.array(each), lambda e: F.flatten(F.aggregate(blocks(e), F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPANS}>").alias("out")), shifted)["out"]))[0]
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_SPANS))
 
 
 def _named(kind: Column) -> Column:
