@@ -1,6 +1,6 @@
 """Quality classifier: importance resampling with hashed n-gram models and Gumbel top-k.
 
-Two bag-of-n-grams models are counted: of all texts (raw) and of the texts labelled good (target).  A text's
+Two bag-of-n-grams models are counted: of all texts (raw) and of texts labelled good (target; a bounded sample of labels).  A text's
 log importance weight is the sum over its words and word pairs of log target - log raw.  Adding Gumbel
 noise to the log weights and taking the k largest draws k texts without replacement in proportion to weight.
 """
@@ -19,6 +19,8 @@ from .words import U64, Words, mix, slices, tidied
 BUCKETS = 1 << 18
 #: Raw occurrences that a bucket is credited with in both models: rare n-grams then say little.
 PRIOR = 50.0
+#: Good labels that the target model is counted from, those of least hash; their ids are broadcast, 8 bytes each.
+MOST_LABELS = 100_000
 _CHUNK = 1 << 12
 
 
@@ -54,15 +56,16 @@ def _sum(batches):
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["chunk", "counts"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> np.ndarray:
-    """Log target - log raw of each bucket, from all documents and all labels.
+def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR, most_labels: int = MOST_LABELS) -> np.ndarray:
+    """Log target - log raw of each bucket: raw counts of all documents, target counts of the good ones.
 
-    Good: every label of the doc_id has quality 1 and toxic 0.  Only the model, `buckets` numbers, reaches the driver.
+    Good: every label of the doc_id has quality 1 and toxic 0; of more than `most_labels` good ids those of least hash are
+    taken.  Texts are read where they lie; only the model, `buckets` numbers, reaches the driver.
     """
-    good = labels.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min(F.coalesce("quality", F.lit(0))).alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("x")).where("q = 1 and x = 0").select("_id")
+    good = labels.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min(F.coalesce("quality", F.lit(0))).alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("x")).where("q = 1 and x = 0 and _id is not null").select("_id")
+    good = F.broadcast(good.orderBy(F.xxhash64("_id"), "_id").limit(most_labels))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # The hint keeps the plan alike at every size; labels grow with the corpus.
-    marked = docs.hint("merge").join(good, docs.doc_id == good._id, "left").select("text", F.col("_id").isNotNull().alias("good"))
+    marked = docs.join(good, docs.doc_id == good._id, "left").select("text", F.col("_id").isNotNull().alias("good"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = marked.mapInArrow(tidied(_count(buckets)), "chunk long, counts binary").repartition(n, "chunk").mapInArrow(_sum, "chunk long, counts binary").collect()
     total = np.zeros((2, buckets))

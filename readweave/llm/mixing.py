@@ -1,9 +1,9 @@
 """Mixing sources to target weights: fixed-length blocks, shards of slots, pseudorandom index permutations.
 
-A source's documents lie end to end on a line of words, which is cut into blocks.  Its output is a row of
-slots; passes over the source follow each other, and in each pass a keyed permutation of block indexes says
-which block a slot takes.  Each slot has an output shard, drawn uniformly, but mix and remix sum over shards:
-counts of sources per shard and packed blocks are in no output.  Blocks are joined by (source, index).
+A source's documents lie end to end on a line of words, which is cut into blocks.  Its target says how many slots it
+gets in the output; each output shard draws how many of them it holds, a multinomial count, and the shards' counts one
+after the other number the source's slots.  Passes over the source follow each other, and in each pass a keyed
+permutation of block indexes says which block a slot takes.  Blocks are joined by (source, index).
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .common import count_words, row_key, words_of, written
 
 WEIGHTS = (5, 2, 1)
-#: Documents per chunk; chunks bound what one task sorts, however large a source is.
-CHUNK = 50_000
+#: Distinct rows per chunk; chunks bound what one task sorts, however large a source is.
+CHUNK = 4_000
 #: Slots that one task makes at a time.
 SLOT_RANGE = 100_000
 
@@ -63,34 +63,64 @@ def permuted(x: Column, n: Column, key: Column) -> Column:
 
 
 def _laid_out(sized: DataFrame) -> DataFrame:
-    """start: words of a row's source before it, in order of chunk, doc_id and text."""
-    chunks = max(1, -(-sized.count() // CHUNK))
-    sized = sized.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(chunks)))
+    """start: words of a row's source before it, in order of chunk, doc_id and text.  Equal rows are laid out as one and dealt out after."""
+    same = written(sized.groupBy("source", "doc_id", "mark", "row", "size").agg(F.count(F.lit(1)).alias("times")))
+    chunks = max(1, -(-same.count() // CHUNK))
+    same = same.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "mark", "row"), F.lit(chunks)))
     own = Window.partitionBy("source", "chunk").orderBy("doc_id", "mark", "row").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sized.groupBy("source", "chunk").agg(F.sum("size").alias("chunk_size"))
+    words = F.col("size") * F.col("times")
+    sums = same.groupBy("source", "chunk").agg(F.sum(words).alias("chunk_size"))
+    # One row for each chunk of a source is ordered in a task.
     earlier = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("_s"), F.col("chunk").alias("_c"), F.coalesce(F.sum("chunk_size").over(earlier), F.lit(0)).alias("base"))
-    inside = sized.withColumn("inside", F.coalesce(F.sum("size").over(own), F.lit(0)))
-    return inside.join(sums, inside.source.eqNullSafe(sums._s) & (inside.chunk == sums._c)).withColumn("start", F.col("base") + F.col("inside")).drop("_s", "_c", "base", "inside", "chunk")
+    inside = same.withColumn("inside", F.coalesce(F.sum(words).over(own), F.lit(0)))
+    laid = inside.join(sums, inside.source.eqNullSafe(sums._s) & (inside.chunk == sums._c))
+    each = laid.withColumn("_nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
+    return each.withColumn("start", F.col("base") + F.col("inside") + F.col("_nth") * F.col("size")).drop("_s", "_c", "base", "inside", "chunk", "times", "_nth")
 
 
-def slots(plan: DataFrame, block: int, n_shards: int, seed: int) -> DataFrame:
-    """rank, slot, shard, pass_, index, take: what each output slot takes (the first `take` words of block `index`)."""
+def _dues(plan: DataFrame, block: int) -> DataFrame:
+    """rank, source_size, n (blocks), passes, rest (words of the last, partial pass), n_slots."""
     n = F.ceil(F.col("source_size") / block)
     plan = plan.where("source_size > 0").select("rank", "source_size", n.cast("long").alias("n"), F.least(F.round("target").cast("long"), F.col("source_size") * 3).alias("due"))
     plan = plan.withColumn("passes", F.expr("due div source_size")).withColumn("rest", F.col("due") - F.col("passes") * F.col("source_size"))
-    plan = plan.withColumn("n_slots", F.col("passes") * F.col("n") + F.ceil(F.col("rest") / block).cast("long")).where("n_slots > 0")
-    ranges = plan.withColumn("low", F.explode(F.expr(f"sequence(0L, n_slots - 1, {SLOT_RANGE}L)")))
+    return plan.withColumn("n_slots", F.col("passes") * F.col("n") + F.ceil(F.col("rest") / block).cast("long")).where("n_slots > 0")
+
+
+def shard_counts(plan: DataFrame, block: int, n_shards: int, seed: int) -> DataFrame:
+    """rank, shard, n_held, first: the multinomial draw of a source's slots over the shards, and the number of the shard's first.
+
+    Each of a source's slots is a draw among the shards; draws are counted where they are made, so a task sends one row
+    for each source and shard at most.
+    """
+    ranges = _dues(plan, block).select("rank", "n_slots", F.explode(F.expr(f"sequence(0L, n_slots - 1, {SLOT_RANGE}L)")).alias("low"))
+    width = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    draws = ranges.repartition(width, "rank", "low").select("rank", F.explode(F.sequence("low", F.least(F.col("low") + SLOT_RANGE, F.col("n_slots")) - 1)).alias("draw"))
+    counts = draws.groupBy("rank", F.pmod(F.xxhash64(F.lit(seed + 1), "rank", "draw"), F.lit(n_shards)).alias("shard")).agg(F.count(F.lit(1)).alias("n_held"))
+    earlier = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("first", F.coalesce(F.sum("n_held").over(earlier), F.lit(0)))
+
+
+def slots(plan: DataFrame, block: int, n_shards: int, seed: int) -> DataFrame:
+    """rank, shard, slot, pass_, index, take: what each slot of a shard takes (the first `take` words of block `index`)."""
+    held = shard_counts(plan, block, n_shards, seed).join(_dues(plan, block), "rank")
+    ranges = held.withColumn("low", F.explode(F.expr(f"sequence(first, first + n_held - 1, {SLOT_RANGE}L)")))
     width = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    each = ranges.repartition(width, "rank", "low").withColumn("slot", F.explode(F.sequence("low", F.least(F.col("low") + SLOT_RANGE, F.col("n_slots")) - 1)))
+    each = ranges.repartition(width, "rank", "low").withColumn("slot", F.explode(F.sequence("low", F.least(F.col("low") + SLOT_RANGE, F.col("first") + F.col("n_held")) - 1)))
     each = each.withColumn("pass_", F.expr("slot div n")).withColumn("k", F.col("slot") - F.col("pass_") * F.col("n"))
     # The last block, which may be short, closes every pass, so a pass has taken k * block words before slot k.
     key = F.xxhash64(F.lit(seed), "rank", "pass_")
     index = F.when(F.col("k") == F.col("n") - 1, F.col("k")).otherwise(permuted(F.col("k"), F.greatest(F.col("n") - 1, F.lit(1)), key))
     length = F.least(F.lit(block).cast("long"), F.col("source_size") - F.col("index") * block)
     left = F.when(F.col("pass_") < F.col("passes"), F.lit(block).cast("long")).otherwise(F.col("rest") - F.col("k") * block)
-    shard = F.pmod(F.xxhash64(F.lit(seed + 1), "rank", "slot"), F.lit(n_shards))
-    return each.withColumn("index", index).select("rank", "slot", shard.alias("shard"), "pass_", "index", F.least(length, left).alias("take"))
+    return each.withColumn("index", index).select("rank", "shard", "slot", "pass_", "index", F.least(length, left).alias("take"))
+
+
+def _pieces(rows: DataFrame, block: int) -> DataFrame:
+    """rank, index, doc_id, row, start, source_size, first, words, offset: the part of a row that lies in a block."""
+    each = rows.where("size > 0").select("rank", "doc_id", "row", "start", "size", "source_size", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))).alias("index"))
+    low, high = F.greatest("start", F.col("index") * block), F.least(F.col("start") + F.col("size"), (F.col("index") + 1) * block)
+    return each.select("rank", "index", "doc_id", "row", "start", "source_size", (low - F.col("start")).alias("first"), (high - low).alias("words"), (low - F.col("index") * block).alias("offset"))
 
 
 def mixture(docs: DataFrame, block: int = 512, n_shards: int = 64, seed: int = 17, row: Column | None = None) -> tuple[DataFrame, DataFrame]:
@@ -99,18 +129,11 @@ def mixture(docs: DataFrame, block: int = 512, n_shards: int = 64, seed: int = 1
     pieces: rank, doc_id, row, start, first, words (of the row, in the block), offset (in the block), times, part:
     the block is taken whole `times` times and its first `part` words once more.  row: a key carried along by both.
     """
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("source").cast("string").alias("source"), count_words(F.col("text")).alias("size"), (F.lit(0) if row is None else row).cast("long").alias("row"))
-    sized = written(sized)
-    plan = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))))
-    laid = _laid_out(sized)
-    p = plan.withColumnRenamed("source", "_s")
-    rows = written(laid.join(p, laid.source.eqNullSafe(p._s)).drop("_s"))
+    rows, plan = _rows_and_plan(docs, row)
     takes = slots(plan, block, n_shards, seed).groupBy("rank", "index").agg(
-        F.sum(F.when(F.col("take") == F.lit(block), 1).otherwise(0)).cast("long").alias("whole"), F.sort_array(F.collect_list(F.when(F.col("take") < block, F.col("take"))), asc=False).alias("shorter")
+        F.sum(F.when(F.col("take") == F.lit(block), 1).otherwise(0)).cast("long").alias("whole"), F.sort_array(F.collect_list(F.when(F.col("take") < block, F.col("take"))), asc=False).alias("shorter"), F.collect_set("shard").alias("shards")
     )
-    each = rows.where("size > 0").select("rank", "doc_id", "row", "start", "size", "source_size", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))).alias("index"))
-    low, high = F.greatest("start", F.col("index") * block), F.least(F.col("start") + F.col("size"), (F.col("index") + 1) * block)
-    each = each.select("rank", "index", "doc_id", "row", "start", "source_size", (low - F.col("start")).alias("first"), (high - low).alias("words"), (low - F.col("index") * block).alias("offset"))
+    each = _pieces(rows, block)
     joined = each.join(takes, ["rank", "index"])
     length = F.least(F.lit(block).cast("long"), F.col("source_size") - F.col("index") * block)
     joined = joined.withColumn("times", F.col("whole") + F.size(F.filter("shorter", lambda t: t == length)))
@@ -118,8 +141,35 @@ def mixture(docs: DataFrame, block: int = 512, n_shards: int = 64, seed: int = 1
     return rows, joined.withColumn("part", part).drop("whole", "shorter", "source_size", "index")
 
 
+def _rows_and_plan(docs: DataFrame, row: Column | None) -> tuple[DataFrame, DataFrame]:
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.col("source").cast("string").alias("source"), count_words(F.col("text")).alias("size"), (F.lit(0) if row is None else row).cast("long").alias("row"))
+    sized = written(sized)
+    plan = written(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))))
+    laid = _laid_out(sized)
+    p = plan.withColumnRenamed("source", "_s")
+    return written(laid.join(p, laid.source.eqNullSafe(p._s)).drop("_s")), plan
+
+
+def packed(docs: DataFrame, block: int = 512, n_shards: int = 64, seed: int = 17) -> DataFrame:
+    """The mixed corpus as blocks: shard, source, slot, index, n_words, text (the block's words, joined by single spaces).
+
+    A shard holds as many slots of each source as it drew; a slot's block is built once for each index and joined by it.
+    Blocks are of `block` words but the last of a source and the one that ends its last, partial pass.
+    """
+    key = row_key(docs)
+    rows, plan = _rows_and_plan(docs, key)
+    marked = docs.select(F.col("doc_id").cast("long").alias("_id"), key.alias("_row"), words_of(F.col("text").cast("string")).alias("_words")).dropDuplicates(["_id", "_row"])
+    pieces = _pieces(rows, block)
+    parts = pieces.join(marked, pieces.doc_id.eqNullSafe(marked._id) & (pieces.row == marked._row))
+    parts = parts.select("rank", "index", "offset", F.slice("_words", (F.col("first") + 1).cast("int"), F.col("words").cast("int")).alias("part"))
+    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("offset", "part"))), lambda p: p["part"]))
+    blocks = parts.groupBy("rank", "index").agg(whole.alias("_words"))
+    joined = slots(plan, block, n_shards, seed).join(blocks, ["rank", "index"]).join(plan.select("rank", "source"), "rank")
+    return joined.select("shard", "source", "slot", "index", F.col("take").alias("n_words"), F.array_join(F.slice("_words", F.lit(1), F.col("take").cast("int")), " ").alias("text"))
+
+
 def mix(docs: DataFrame, **how) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken (words that the mix takes of it, repeats counted).
+    """One row per document: doc_id, size, source_size, target, taken (words that the mix takes of it, repeats counted), n_shards (that hold some of it).
 
     Sizes are counts of words; a null text has none, a null source is a source, ordered last.  Sources weigh
     5, 2, 1, 5, ... in order of code points and share the sum of all sizes; no target exceeds 3 times its
@@ -128,10 +178,11 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     """
     rows, pieces = mixture(docs, **how)
     of_part = F.greatest(F.lit(0).cast("long"), F.least(F.col("words"), F.col("part") - F.col("offset")))
-    taken = pieces.groupBy("rank", "start").agg(F.sum(F.col("times") * F.col("words") + of_part).alias("taken"))
+    held = F.size(F.array_distinct(F.flatten(F.collect_list("shards"))))
+    taken = pieces.groupBy("rank", "start").agg(F.sum(F.col("times") * F.col("words") + of_part).alias("taken"), held.alias("n_shards"))
     some = rows.where("size > 0").join(taken, ["rank", "start"], "left")
-    none = rows.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    names = ["doc_id", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken")]
+    none = rows.where("size = 0").withColumns({"taken": F.lit(0).cast("long"), "n_shards": F.lit(0)})
+    names = ["doc_id", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("n_shards", F.lit(0)).cast("long").alias("n_shards")]
     return some.select(*names).unionByName(none.select(*names))
 
 
@@ -147,17 +198,25 @@ def remix(docs: DataFrame, **how) -> DataFrame:
     spans = pieces.select("rank", "doc_id", "row", "start", "first", "words", "times", of_part.alias("more"))
     own = spans.groupBy("rank", "start", "doc_id", "row").agg(F.min(F.col("times") + F.when(F.col("more") == F.col("words"), 1).otherwise(0)).alias("_copies"), F.sum("words").alias("covered"), F.sort_array(F.collect_list(F.struct("first", "words", "times", "more"))).alias("_spans"))
     own = own.join(rows.where("size > 0").select("rank", "start", "size"), ["rank", "start"]).withColumn("_copies", F.when(F.col("covered") == F.col("size"), F.col("_copies")).otherwise(F.lit(0)))
-    key = lambda df, row: df.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-1 << 63))).withColumn("_none", F.col("doc_id").isNull()).withColumn("_row", row)
-    own = key(own, F.col("row")).groupBy("_id", "_none", "_row").agg(F.collect_list(F.struct("_copies", "_spans")).alias("_takes"))
-    both = key(docs, row_key(docs)).dropDuplicates(["_id", "_none", "_row"]).join(own, ["_id", "_none", "_row"])
-    both = both.withColumn("_take", F.explode("_takes")).withColumns({"_copies": F.col("_take._copies"), "_spans": F.col("_take._spans")})
+    # The input's columns travel as one struct, so none of them meets a name used here.
+    carried = F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns])
+    own = own.select(F.coalesce("doc_id", F.lit(-1 << 63)).alias("id"), F.col("doc_id").isNull().alias("none"), "row", "_copies", "_spans")
+    own = own.groupBy("id", "none", "row").agg(F.collect_list(F.struct("_copies", "_spans")).alias("takes"))
+    both = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1 << 63)).alias("id"), F.col("doc_id").isNull().alias("none"), row_key(docs).alias("row"), F.col("text").cast("string").alias("whole"), carried.alias("given"))
+    both = both.dropDuplicates(["id", "none", "row"]).join(own, ["id", "none", "row"])
+    both = both.select("whole", "given", F.explode("takes").alias("take")).select("whole", "given", F.col("take._copies").alias("copies"), F.col("take._spans").alias("spans"))
     # Pass c (from 0) takes the words of each span that it still covers: all if c < times, a prefix if c = times.
-    last = F.array_max(F.transform("_spans", lambda s: s["times"] + F.when(s["more"] > 0, 1).otherwise(0)))
-    both = both.withColumn("_last", last).where("_last > 0").withColumn("_pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last") - 1)))
-    both = both.withColumn("_words", F.when(F.col("_pass") >= F.col("_copies"), words_of(F.col("text"))))
-    part = lambda s: F.slice(F.col("_words"), (s["first"] + 1).cast("int"), F.when(F.col("_pass") < s["times"], s["words"]).when(F.col("_pass") == s["times"], s["more"]).otherwise(0).cast("int"))
-    text = F.when(F.col("_pass") < F.col("_copies"), F.col("text")).otherwise(F.array_join(F.flatten(F.transform("_spans", part)), " "))
-    out = both.withColumn("text", text).where("text <> ''")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_pass") < F.col("_copies"), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    last = F.array_max(F.transform("spans", lambda s: s["times"] + F.when(s["more"] > 0, 1).otherwise(0)))
+    both = both.withColumn("last", last).where("last > 0").withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last") - 1)))
+    both = both.withColumn("words", F.when(F.col("pass") >= F.col("copies"), words_of(F.col("whole"))))
+    part = lambda s: F.slice(F.col("words"), (s["first"] + 1).cast("int"), F.when(F.col("pass") < s["times"], s["words"]).when(F.col("pass") == s["times"], s["more"]).otherwise(0).cast("int"))
+    out = both.withColumn("said", F.when(F.col("pass") < F.col("copies"), F.col("whole")).otherwise(F.array_join(F.flatten(F.transform("spans", part)), " "))).where("said <> ''")
+
+    def column(c: str) -> Column:
+        if c == "text":
+            return F.col("said").alias(c)
+        if c == "n_chars":
+            return F.when(F.col("pass") < F.col("copies"), F.col("given.n_chars")).otherwise(F.length("said")).cast(docs.schema[c].dataType).alias(c)
+        return F.col(f"given.`{c}`").alias(c)
+
+    return out.select(*[column(c) for c in docs.columns])

@@ -396,6 +396,79 @@ def test_remix_keeps_the_source_of_each_row(spark):
     assert collections.Counter(map(tuple, again)) == collections.Counter(map(tuple, out))
 
 
+def test_packed_shards_follow_the_drawn_counts(spark):
+    rnd = random.Random(6)
+    texts = {i: (" ".join(f"d{i}w{k}" for k in range(rnd.randint(0, 90))), "st"[i % 2]) for i in range(40)}
+    df = spark.createDataFrame([(i, t, s) for i, (t, s) in texts.items()], "doc_id long, text string, source string").repartition(3)
+    taken = {n: by_id(mixing.mix(df, block=8, n_shards=n)) for n in (1, 5)}
+    assert {i: r.taken for i, r in taken[1].items()} == {i: r.taken for i, r in taken[5].items()}
+    blocks = mixing.packed(df, block=8, n_shards=5).collect()
+    held, shards = collections.Counter(), collections.defaultdict(set)
+    for b in blocks:
+        words = b.text.split()
+        assert len(words) == b.n_words <= 8 and all(texts[int(w[1:].split("w")[0])][1] == b.source for w in words)
+        for w in words:
+            held[int(w[1:].split("w")[0])] += 1
+            shards[int(w[1:].split("w")[0])].add(b.shard)
+    assert all(held[i] == r.taken and len(shards[i]) == r.n_shards for i, r in taken[5].items())
+    rows, plan = mixing._rows_and_plan(df, None)
+    drawn = {(r["rank"], r.shard): r.n_held for r in mixing.shard_counts(plan, 8, 5, 17).collect()}
+    names = {r["rank"]: r.source for r in plan.collect()}
+    assert collections.Counter((b.source, b.shard) for b in blocks) == {(names[k], shard): n for (k, shard), n in drawn.items()}
+    # Each source's slots are numbered without gaps, shard after shard, and a full pass takes every block once.
+    for source in "st":
+        own = sorted((b.slot, b.shard, b["index"]) for b in blocks if b.source == source)
+        assert [x[0] for x in own] == list(range(len(own))) and [x[1] for x in own] == sorted(x[1] for x in own)
+        n = -(-sum(len(t.split()) for t, s in texts.values() if s == source) // 8)
+        assert len(own) < n or sorted(x[2] for x in own[:n]) == list(range(n))
+
+
+def test_remix_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a b c", "s", 7, "keep", 9, 3), (2, "d e", "t", 8, "too", 9, 2), (None, "f", "t", 8, "three", 9, 1)], "doc_id long, text string, source string, _id int, _words string, pass int, last int")
+    out = mixing.remix(df, block=2)
+    assert out.dtypes == df.dtypes
+    given = {r.text: r for r in df.collect()}
+    for r in out.collect():
+        src = next(g for t, g in given.items() if set(r.text.split()) <= set(t.split()))
+        assert (r.doc_id, r.source, r._id, r._words, r["pass"], r["last"]) == (src.doc_id, src.source, src._id, src._words, src["pass"], src["last"])
+    assert mixing.remix(df.limit(0)).count() == 0
+
+
+def test_importance_weights_match_direct_counts(spark):
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(30)]
+    data = [(i, " ".join(rnd.choices(words[: 10 + i % 20], k=rnd.randint(0, 40)))) for i in range(80)] + [(None, "w1 w2"), (5, "w3 w3"), (90, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    marks = [(i, int(i % 3 > 0), int(i % 7 == 0)) for i in range(0, 60)] + [(4, 0, 0), (None, 1, 0)]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    good = {i for i, _, _ in marks if i is not None and all(q and not x for j, q, x in marks if j == i)}
+    buckets, prior = 257, 3.0
+    grams = lambda t: importance._grams(pa.array([t], pa.string()), buckets)[2].tolist()
+    assert len(grams("a b c")) == 5 and len(grams(None)) == 0
+    raw, target = collections.Counter(), collections.Counter()
+    for i, t in data:
+        raw.update(grams(t))
+        if i in good:
+            target.update(grams(t))
+    share = sum(target.values()) / sum(raw.values())
+    weight = [np.log(target[b] + prior * share) - np.log(raw[b] + prior) - np.log(share) for b in range(buckets)]
+    found = importance.importance_resample(df, labels, share=0.4, buckets=buckets, prior=prior).collect()
+    want = collections.defaultdict(list)
+    for i, t in data:
+        want[i].append(sum(weight[b] for b in grams(t)))
+    assert all(any(abs(r.log_weight - w) < 1e-9 for w in want[r.doc_id]) for r in found) and len(found) == len(data)
+    # The kept ones are those of the largest perturbed weights, and the noise is Gumbel's: its mean is Euler's constant.
+    some = sorted((r for r in found if r.n_words), key=lambda r: -r.perturbed)
+    k = round(0.4 * len(some))
+    assert all(r.kept == (n < k) for n, r in enumerate(some)) and not any(r.kept for r in found if not r.n_words)
+    big = spark.range(4000).select("id", F.concat(F.lit("w"), "id").alias("text")).toDF("doc_id", "text")
+    noise = [r.perturbed - r.log_weight for r in importance.importance_resample(big, labels).collect()]
+    assert abs(np.mean(noise) - 0.5772) < 0.08 and abs(np.var(noise) - np.pi**2 / 6) < 0.2
+    # A bound on labels takes that many of them, the same in every run.
+    few = [importance.fit(df, labels, buckets, prior, most_labels=10).tolist() for _ in range(2)]
+    assert few[0] == few[1] != weight
+
+
 def test_shared_substrings_decide_beside_declared_text(spark):
     notice = "Please support our newsroom with a small gift today"
     say = lambda i: " ".join(f"p{i}x{k}" for k in range(30))
