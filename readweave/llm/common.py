@@ -70,10 +70,11 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     pairs = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     before = None
     while True:
+        # The least neighbours are written, so that the joins with them stand alone and Spark may split a hub's rows.
         both = pairs.union(pairs.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small_min = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        small_min = written(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(small_min, "u")
         pairs = written(small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select("v", "m")).distinct())
         now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -1,16 +1,20 @@
-"""N-gram Jaccard join: MinHash bands propose, exact shingle sets decide.
-
-1. Documents with equal shingle sets share a node; a node's signature has `trees` runs of `depth` minima.
-2. In each tree the nodes that agree on the whole run form a cell, found by a hash of it: banded LSH with `trees` bands.
-   `depth` is the longest run at which the bands still reach `recall` at the threshold, fixed before any signature is
-   read; longer runs, shortened per query to that depth, would only find subsets of the same candidates.
-3. Within a cell, sketches discard chance matches; what passes is sent on as a spanning forest, not as pairs.
+"""N-gram Jaccard join: a MinHash LSH forest proposes, exact shingle sets decide.
+
+1. Documents with equal shingle sets share a node; a node's signature has a run of DEPTH minima for each of `trees` trees.
+2. A tree is the sorted runs of all nodes, a trie of prefixes.  From the longest run a node's prefix is shortened until
+   the target recall is reached: until a partner at the least similarity that a set of its size can have with another
+   one, at the threshold or above, shares the prefix in one of the trees with the wanted probability.  Small sets have
+   few attainable similarities, so theirs stay longer; no prefix is ever longer than its recall allows.
+3. The nodes that share a prefix form a cell.  Within it runs are sorted and matched prefixes shortened from the longest
+   common one down; sketches discard chance matches, and what is connected by a longer prefix is not compared again.
+   What passes is sent on as a spanning forest, not as pairs.
 4. Each family so connected gets its members' exact shingle sets and every pair of it is verified.
 Cells of more than a block of members are cut into block-by-block cells, so no task holds a whole family.
 """
 
 from __future__ import annotations
 
+import math
 from fractions import Fraction
 
 import numpy as np
@@ -21,10 +25,13 @@ from pyspark.sql import functions as F
 from .common import components, row_key, written
 from .words import U64, Words, mix, slices, tidied
 
-_NODE = 16
+#: Minima of a tree's run, of 16 bits each; those of the first SKETCH levels lend a byte to a node's sketch.
+DEPTH, SKETCH = 8, 5
+#: Set sizes for which attainable similarities are listed; for larger ones they lie at the threshold.
+_LISTED = 80
 
 
-def forest_depth(threshold: float, trees: int, recall: float, most: int = 32) -> int:
+def forest_depth(threshold: float, trees: int, recall: float, most: int = DEPTH) -> int:
     """The longest run at which a pair of that similarity meets in one of the trees with the wanted probability."""
     for depth in range(most, 1, -1):
         if 1 - (1 - threshold**depth) ** trees >= recall:
@@ -32,6 +39,33 @@ def forest_depth(threshold: float, trees: int, recall: float, most: int = 32) ->
     return 1
 
 
+def least_similarity(n: int, threshold: Fraction) -> Fraction | None:
+    """The least similarity, of the threshold at least, that a set of n can have with a different one; None if there is none."""
+    found = []
+    for m in range(math.ceil(threshold * n), math.floor(n / threshold) + 1):
+        both = math.ceil(threshold * (n + m) / (1 + threshold))
+        if both <= min(n, m) and not both == n == m:
+            found.append(Fraction(both, n + m - both))
+    return min(found, default=None)
+
+
+def prefix_lengths(threshold: Fraction, trees: int, recall: float) -> list[list[int]]:
+    """By size of a set (from 0, the last for all larger ones): the prefix lengths at which it stands in cells, its own and those of sets that may be its partners."""
+    own = []
+    for n in range(_LISTED + 1):
+        least = least_similarity(n, threshold) if n else None
+        own.append(None if least is None else forest_depth(float(least), trees, recall))
+    beyond = forest_depth(float(threshold), trees, recall)
+    length = lambda n: own[n] if n <= _LISTED else beyond
+    out = []
+    for n in range(_LISTED + 2):
+        partners = range(math.ceil(threshold * n), math.floor(n / threshold) + 1) if n <= _LISTED else range(math.ceil(threshold * n), _LISTED + 2)
+        out.append(sorted({length(m) for m in (n, *partners) if length(m) is not None}) if length(n) is not None else [])
+    # Beyond the list, partners may still be listed ones up to 1 / threshold times smaller.
+    last = sorted({beyond, *(length(m) for m in range(math.ceil(threshold * (_LISTED + 1)), _LISTED + 1))} - {None})
+    return out[: _LISTED + 1] + [last]
+
+
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingle hashes of all texts, sorted within each; their bounds; a 16-byte fingerprint of each set."""
     words = Words(texts)
@@ -56,8 +90,10 @@ def _nodes(prints: np.ndarray, bounds: np.ndarray) -> list:
     return [raw[16 * i : 16 * i + 16] if some[i] else None for i in range(len(some))]
 
 
-def _sign(size: int, count: int):
+def _sign(size: int, trees: int):
+    count = trees * DEPTH
     factors = (mix(np.arange(1, count + 1, dtype=U64)) | U64(1)).tolist()
+    sketched = [t * DEPTH + k for t in range(trees) for k in range(SKETCH)]
 
     def run(batches):
         for batch in batches:
@@ -69,10 +105,11 @@ def _sign(size: int, count: int):
                 if len(some):
                     for i, a in enumerate(factors):
                         sig[i, some] = np.minimum.reduceat(((h * U64(a)) >> U64(32)).astype(np.uint32), bounds[some])
-                raw, wide = np.ascontiguousarray(sig.T).tobytes(), 4 * count
                 nodes = _nodes(prints, bounds)
-                sigs = [None if x is None else raw[wide * i : wide * i + wide] for i, x in enumerate(nodes)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(nodes, pa.binary()), pa.array(np.diff(bounds)), pa.array(sigs, pa.binary())], names=["doc_id", "row", "node", "n", "sig"])
+                # Low bits of a minimum, those that depend on the set least.
+                runs, sketch = np.ascontiguousarray(sig.T.astype(">u2")), np.ascontiguousarray(sig[sketched].T.astype(np.uint8))
+                sigs, sketches = ([None if x is None else row.tobytes() for x, row in zip(nodes, of, strict=True)] for of in (runs, sketch))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(nodes, pa.binary()), pa.array(np.diff(bounds)), pa.array(sigs, pa.binary()), pa.array(sketches, pa.binary())], names=["doc_id", "row", "node", "n", "sig", "sketch"])
 
     return run
 
@@ -86,9 +123,9 @@ def _cells(members: DataFrame, key: str, blocks: DataFrame) -> DataFrame:
     return each.withColumn("cell", F.xxhash64(key, low, high)).withColumn("side", side.cast("tinyint")).drop("own", "other", "n_blocks")
 
 
-def _dealt(cells: DataFrame) -> DataFrame:
+def _dealt(cells: DataFrame, *order: str) -> DataFrame:
     n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cells.repartition(n, "cell").sortWithinPartitions("cell", "node")
+    return cells.repartition(n, "cell").sortWithinPartitions("cell", *order, "node")
 
 
 def _groups(batches, most: int = 200_000):
@@ -140,28 +177,61 @@ def _spans(cell: np.ndarray) -> np.ndarray:
 _EDGE = pa.schema([("u", pa.binary()), ("v", pa.binary())])
 
 
+def _tree_edges(root: np.ndarray) -> list[tuple[int, int]]:
+    """(member, parent) that connect the members of each root; no member is the parent of more than eight."""
+    out = []
+    order = np.argsort(root, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(root[order])) + 1):
+        out += [(int(own[k]), int(own[(k - 1) // 8])) for k in range(1, len(own))]
+    return out
+
+
+def trie_roots(runs: np.ndarray, alike) -> np.ndarray:
+    """The least member connected with each of the members of a cell.
+
+    runs: their sorted runs.  alike(k, others) says which others a member passes with.  Subtries are walked from the
+    longest common prefix down; at each length those members are compared that meet there first and are not connected yet.
+    """
+    n, depth = runs.shape
+    differ = runs[1:] != runs[:-1]
+    common = np.where(differ.any(1), differ.argmax(1), depth)
+    root, child = np.arange(n), np.arange(n)
+    for length in sorted(set(common.tolist()), reverse=True):
+        part = np.concatenate([[0], np.cumsum(common < length)])
+        edges = np.concatenate([[0], np.flatnonzero(common < length) + 1, [n]])
+        for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if high - low < 2 or child[low] == child[high - 1]:
+                continue
+            for k in range(low, high - 1):
+                if (root[low:high] == root[k]).all():
+                    break
+                others = k + 1 + np.flatnonzero((root[k + 1 : high] != root[k]) & (child[k + 1 : high] != child[k]))
+                found = others[alike(k, others)] if len(others) else others
+                if len(found):
+                    joined = np.unique(np.append(root[found], root[k]))
+                    root[np.isin(root, joined)] = joined[0]
+        child = part
+    return root
+
+
 def _sketch_edges(count: int, least: int):
-    """Spanning forest of the pairs of each cell whose sketches agree in at least `least` of `count` places."""
+    """Spanning forest of the members of each cell whose sketches agree in at least `least` of `count` places."""
 
     def run(batches):
         for table in _groups(batches):
             sketch, side = _binary(table.column("sketch"), count), table.column("side").to_numpy()
+            runs = _binary(table.column("run"), 2 * DEPTH).view(">u2")
             nodes, bounds = table.column("node").to_pylist(), _spans(table.column("cell").to_numpy())
             size = np.diff(bounds)
             out = []
             at = bounds[:-1][size == 2]
             good = (sketch[at] == sketch[at + 1]).sum(1) >= least
             out += [(nodes[i + 1], nodes[i]) for i in at[good]]
-            for i, n in zip(bounds[:-1][size > 2], size[size > 2], strict=True):
-                own, kind = sketch[i : i + n], side[i : i + n]
-                a, b = [], []
-                for k in range(n - 1):
-                    j = k + 1 + np.flatnonzero((own[k + 1 :] == own[k]).sum(1) >= least)
-                    j = j[(kind[j] == 2) | (kind[j] != kind[k])]
-                    a += [k] * len(j)
-                    b.append(j)
-                root = _roots(n, np.array(a, int), np.concatenate(b)) if a else np.arange(n)
-                out += [(nodes[i + k], nodes[i + root[k]]) for k in np.flatnonzero(root != np.arange(n))]
+            for i, n in zip(bounds[:-1].tolist(), size.tolist(), strict=True):
+                if n > 2:
+                    own, kind = sketch[i : i + n], side[i : i + n]
+                    alike = lambda k, j: ((own[j] == own[k]).sum(1) >= least) & ((kind[j] == 2) | (kind[j] != kind[k]))  # noqa: B023, E731
+                    out += [(nodes[i + a], nodes[i + b]) for a, b in _tree_edges(trie_roots(runs[i : i + n], alike))]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.binary()) for k in range(2)], schema=_EDGE)
 
     return run
@@ -186,7 +256,7 @@ _LINK = pa.schema([("node", pa.binary()), ("hub", pa.binary()), ("links", pa.int
 
 
 def _verify(threshold: Fraction):
-    """Per cell and member: how many documents it is linked to, and the least member of the cell that links connect it with."""
+    """Per cell and member: how many documents it is linked to, and another member of the cell that links connect it with."""
     up, down = threshold.numerator, threshold.denominator
 
     def run(batches):
@@ -217,7 +287,10 @@ def _verify(threshold: Fraction):
                     a += [k] * len(with_)
                     b.append(with_)
                 root = _roots(len(own), np.array(a, int), np.concatenate(b).astype(int)) if a else np.arange(len(own))
-                out += [(nodes[k], nodes[root[k]], int(links[k])) for k in np.flatnonzero(links)]
+                parent = np.arange(len(own))
+                for k, up_to in _tree_edges(root):
+                    parent[k] = up_to
+                out += [(nodes[k], nodes[parent[k]], int(links[k])) for k in np.flatnonzero(links)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(_LINK)], schema=_LINK)
 
     return run
@@ -240,21 +313,22 @@ def _classified(docs: DataFrame, row: Column, threshold: float = 0.8, size: int
     """One row per document: doc_id, row (equal for rows of equal text only), node (null without shingles), root (of its class), class_id, n_links."""
     limit = Fraction(threshold).limit_denominator(1000)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row.alias("row"))
-    depth = forest_depth(threshold, trees, recall)
-    count = trees * depth
-    signed = written(docs.mapInArrow(tidied(_sign(size, count)), "doc_id long, row long, node binary, n long, sig binary"))
-    nodes = signed.where("node is not null").groupBy("node").agg(F.min(_first("doc_id", "row")).alias("of"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    nodes = written(nodes.select("node", F.col("of.doc_id").alias("doc_id"), F.col("of.row").alias("row"), "copies", "n", "sig"))
-
-    # Bands: a cell is a tree and its whole run.
-    prefix = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, F.substring(F.col("sig"), F.lit(1) + t * (4 * depth), F.lit(4 * depth))))
-    keys = nodes.select("node", F.explode(prefix).alias("key"))
+    signed = written(docs.mapInArrow(tidied(_sign(size, trees)), "doc_id long, row long, node binary, n long, sig binary, sketch binary"))
+    nodes = signed.where("node is not null").groupBy("node").agg(F.min(_first("doc_id", "row")).alias("of"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
+    nodes = written(nodes.select("node", F.col("of.doc_id").alias("doc_id"), F.col("of.row").alias("row"), "copies", "n", "sig", "sketch"))
+
+    # Cells: a tree, a length and the prefix of that length.
+    lengths = prefix_lengths(limit, trees, recall)
+    allowed = F.element_at(F.array(*[F.array(*[F.lit(x) for x in own]).cast("array<int>") for own in lengths]), F.least(F.col("n"), F.lit(_LISTED + 1)).cast("int") + 1)
+    prefix = lambda d, t: F.struct(t.cast("tinyint").alias("tree"), F.xxhash64(t, d, F.substr(F.col("sig"), t * (2 * DEPTH) + 1, d * 2)).alias("key"))
+    every = F.flatten(F.transform(allowed, lambda d: F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: prefix(d, t))))
+    keys = nodes.select("node", F.explode(every).alias("k")).select("node", "k.tree", "k.key")
     crowded = keys.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key", F.ceil(F.col("m") / (2 * block)).alias("n_blocks"))
-    # One byte of each minimum is sketch enough.
-    sketch = nodes.select("node", F.concat(*[F.substring(F.col("sig"), 4 * i + 1, 1) for i in range(count)]).alias("sketch"))
-    members = _cells(keys, "key", crowded).drop("key").join(sketch, "node").select("cell", "side", "node", "sketch")
+    members = _cells(keys, "key", crowded).drop("key").join(nodes.select("node", "sig", "sketch"), "node")
+    members = members.select("cell", "side", "node", "sketch", F.substr("sig", F.col("tree") * (2 * DEPTH) + 1, F.lit(2 * DEPTH)).alias("run"))
+    count = trees * SKETCH
     sure = threshold - 4.5 * (threshold * (1 - threshold) / count) ** 0.5
-    proposed = _dealt(members).mapInArrow(tidied(_sketch_edges(count, int(sure * count))), "u binary, v binary")
+    proposed = _dealt(members, "run").mapInArrow(tidied(_sketch_edges(count, int(sure * count))), "u binary, v binary")
     families = components(proposed, "u", "v").select("node", F.col("root").alias("family"))
 
     # Exact verification within families.

@@ -182,6 +182,44 @@ def test_ngram_join(spark, docs, rows):
     assert ngram_join.one_of_each(df).count() == 1
 
 
+def test_prefixes_shorten_to_the_recall():
+    third = ngram_join.least_similarity
+    assert [third(n, ngram_join.Fraction(4, 5)) for n in (1, 3, 4, 6, 7)] == [None, None, ngram_join.Fraction(4, 5), ngram_join.Fraction(5, 6), ngram_join.Fraction(6, 7)]
+    lengths = ngram_join.prefix_lengths(ngram_join.Fraction(4, 5), 24, 0.9999)
+    assert lengths[0] == lengths[3] == [] and lengths[-1] == [5] and 7 in lengths[7] and lengths[4][0] == 5
+    # Whichever two sizes may be partners, the one's own length is among the other's.
+    own = [ngram_join.forest_depth(float(third(n, ngram_join.Fraction(4, 5))), 24, 0.9999) if third(n, ngram_join.Fraction(4, 5)) else None for n in range(1, 81)]
+    assert all(own[n - 1] in lengths[m] for n in range(4, 81) for m in range(-(-4 * n // 5), min(80, 5 * n // 4) + 1) if own[n - 1] and own[m - 1])
+    rnd = np.random.default_rng(3)
+    for _ in range(30):
+        runs = rnd.integers(0, 3, (25, 8)).astype(">u2")
+        runs = runs[np.lexsort(runs.T[::-1])]
+        like = rnd.random((25, 25)) < 0.08
+        like |= like.T
+        a, b = np.nonzero(like)
+        assert (ngram_join.trie_roots(runs, lambda k, j: like[k, j]) == ngram_join._roots(25, a, b)).all()
+
+
+def test_recall_of_planted_pairs(spark):
+    rnd = random.Random(12)
+    texts = {}
+    for g in range(3400):
+        n = rnd.choice([5, 8, 12, 30, 60, 150])
+        base = [f"q{rnd.randint(0, 40_000)}" for _ in range(n)]
+        for c in range(3):
+            w = list(base)
+            if c:
+                w[rnd.choice([0, -1, n // 2])] = f"z{rnd.randint(0, 99_999)}"
+            texts[len(texts)] = " ".join(w)
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in texts.items() for w in [t.split()]}
+    near = {frozenset((i, j)) for g in range(0, len(texts), 3) for i in range(g, g + 3) for j in range(i) if j >= g and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    found = {r.doc_id: r for r in ngram_join.ngram_join(df).collect()}
+    assert len(texts) >= 10_000 and len(near) > 2000
+    assert sum(r.n_links for r in found.values()) >= 2 * 0.999 * len(near) and all(r.n_links <= 2 for r in found.values())
+    assert sum(found[i].class_id == found[j].class_id for i, j in map(tuple, near)) >= 0.999 * len(near)
+
+
 def test_decontaminate(spark, docs, rows):
     bench = [(1, " ".join(_words(rows[7])[5:25])), (2, "ONE"), (3, None), (4, ""), (5, "a b, C"), (6, " ".join(_words(rows[5])[100:111])), (6, "the the the"), (7, "ONE")]
     df = spark.createDataFrame(bench, "item_id long, text string")
