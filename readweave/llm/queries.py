@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import chat_format, decontaminate, importance, mixing, ngram_join, page_text, quality_rules, secret_scan, substring_dedup, token_store
 from .common import table
+from .oracles import ORACLES  # noqa: F401
 
 
 def tokenizer_path(spark: SparkSession) -> str:

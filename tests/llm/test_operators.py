@@ -376,6 +376,20 @@ def test_page_text(spark):
     assert page_text.page_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_matches_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    con, sf = duckdb.connect(), "/root/testdata/sf0.001"
+    for t in ("documents", "benchmark", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    theirs = con.execute(queries.ORACLES[name]).df()
+    ours = queries.QUERIES[name](spark, sf).toPandas()
+    columns = sorted(ours.columns)
+    assert columns == sorted(theirs.columns) and len(ours)
+    rows = lambda df: sorted(map(repr, df[columns].astype(str).itertuples(index=False)))
+    assert rows(ours) == rows(theirs)
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
