@@ -28,7 +28,7 @@ def main() -> None:
     # Stages are written tables, so each later one starts from the one before.
     for name in ("raw", "reads", "cands", "edges", "nodes", "paths"):
         timed(f"stage_{name}", lambda: Q.stage(spark, SF_DIR, name).count())
-    for name in ("kmer_count", "substring_locate", "edge_support", "missing_mirror", "tips_pass1", "bubbles_pass1", "tips_fixpoint", "unitigs"):
+    for name in ("kmer_count", "substring_locate", "edge_support", "missing_mirror", "tips_pass1", "bubbles_pass1", "suffix_rank", "tips_fixpoint", "cleaned_graph", "dead_end_walk", "unitigs", "contigs"):
         timed(name, lambda: Q.QUERIES[name](spark, SF_DIR).write.format("noop").mode("overwrite").save())
     print(json.dumps({"metric": "total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": os.path.basename(SF_DIR)}))
     spark.stop()

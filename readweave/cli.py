@@ -29,7 +29,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--bloomlen", type=int, default=36, help="filter bits for each read, with --dedup bloom")
     p.add_argument("--nhashfunc", type=int, default=2, help="filter hashes, 1 to 5, with --dedup bloom")
     p.add_argument("--keep-dead-ends", action="store_true", help="leave the ends of chains untrimmed")
-    p.add_argument("--dump", metavar="FOLDER", help="also write reads, nodes and edges after cleaning, and import counts, as Parquet")
+    p.add_argument("--dump", metavar="FOLDER", help="also write as Parquet: reads, import metrics, candidate counts and overlaps before cleaning, reads that each cleaning stage removed, nodes and edges after it, reads of each contig")
     return p
 
 
@@ -51,7 +51,7 @@ def main(argv: list[str] | None = None) -> int:
     result = assemble(read_fasta(spark, args.singlereads, config.read_len), config)
     write_fasta(result.contigs, args.out)
     if args.dump:
-        for name in ("reads", "nodes", "edges", "metrics"):
+        for name in ("reads", "metrics", "counts", "overlaps", "audit", "nodes", "edges", "members"):
             getattr(result, name).write.mode("overwrite").parquet(f"{args.dump}/{name}")
     counts, found = result.metrics.first(), contig_stats(result.contigs).first()
     print(f"reads: {counts.n_raw} read, {counts.n_with_n} with N, {counts.n_duplicate} repeated, {counts.n_kept} kept")

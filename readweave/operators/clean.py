@@ -64,28 +64,54 @@ def removable_tips(tips: DataFrame, tip_limit: int, tip_len: int) -> DataFrame:
     return tips.where((F.col("tip_bp") < tip_limit) & (F.col("tip_len") <= tip_len))
 
 
+def spent_tips(tips: DataFrame, read_len: int, tip_limit: int) -> DataFrame:
+    """n, ns, d, ds of tips that leave the race in the pass that sees them: too long in bases for a read, or in reads for the limit."""
+    return tips.where((F.col("tip_bp") >= read_len) | (F.col("tip_len") > tip_limit)).select("n", "ns", "d", "ds")
+
+
+def inherited_tails(graph: Graph, gone: DataFrame) -> DataFrame:
+    """n, ns, tail_bp: what a lost edge leaves on the side of a read that stays and is no junction: the lost read's tail and the hop to it."""
+    lost = graph.edges.join(gone.select(F.col("read_id").alias("d")), "d", "left_semi")
+    stays = graph.nodes.where(~G.is_junction()).select(F.col("read_id").alias("n")).join(gone.select(F.col("read_id").alias("n")), "n", "left_anti")
+    own = graph.tails.select(F.col("n").alias("d"), F.col("ns").alias("ds"), "tail_bp")
+    bp = F.coalesce("tail_bp", F.lit(0)) + F.lit(graph.read_len) - F.col("k")
+    return lost.join(stays, "n").join(own, ["d", "ds"], "left").groupBy("n", "ns").agg(F.max(bp).cast("long").alias("tail_bp"))
+
+
 def remove_tips(graph: Graph, tip_limit: int, schedule: list[int]) -> Graph:
-    """Removes short dead-end branches, the shortest first, until the schedule of lengths is through."""
+    """Removes short dead-end branches, the shortest first, until the schedule of lengths is through.
+
+    A removed tip leaves its length on the side that bore it: what ends there later counts as so much longer.  Reads at
+    whose removed neighbours a walk would have gone on inherit their tails when all passes are through.
+    """
     key = ["n", "ns", "d", "ds"]
-    done, allowed = graph.edges.sparkSession.createDataFrame([], "n long, ns int, d long, ds int"), 0
+    spark, at = graph.edges.sparkSession, 0
+    done = spark.createDataFrame([], "n long, ns int, d long, ds int")
+    late = spark.createDataFrame([], "n long, ns int, tail_bp long")
     while True:
         jumps = chains(graph.nodes, graph.edges, graph.read_len)
         tips = written(tip_paths(paths(graph.nodes, graph.edges, graph.read_len, jumps), graph.tails, graph.read_len).join(done, key, "left_anti"))
-        out = removable_tips(tips, tip_limit, schedule[allowed])
+        out = written(removable_tips(tips, tip_limit, schedule[at]))
+        done = written(done.union(spent_tips(tips.join(out, key, "left_anti"), graph.read_len, tip_limit)))
         if not out.count():
-            # Nothing at this length: long tips leave the race, and the next length with a tip to remove comes.
-            done = written(done.union(tips.where(f"end_len >= {graph.read_len} or len > {tip_limit}").select(*key)))
-            least = tips.join(done, key, "left_anti").where(F.col("tip_bp") < tip_limit).agg(F.min("tip_len")).first()[0]
-            later = [k for k in range(allowed + 1, len(schedule)) if least is not None and schedule[k] >= least]
+            # Nothing at this length: go to the next one at which a tip goes.
+            left = tips.join(done, key, "left_anti")
+            least = left.where(F.col("tip_bp") < tip_limit).agg(F.min("tip_len")).first()[0]
+            later = [k for k in range(at + 1, len(schedule)) if least is not None and schedule[k] >= least]
             if not later:
-                return graph
-            allowed = later[0]
-            out = removable_tips(tips.join(done, key, "left_anti"), tip_limit, schedule[allowed])
-        out = written(out)
-        gone = members(out, jumps).select(F.col("member").alias("read_id")).union(out.select("end")).distinct()
-        new = out.select("n", "ns", F.col("tip_len").alias("tail_nodes"), F.col("tip_bp").alias("tail_bp"))
-        tails = graph.tails.unionByName(new).groupBy("n", "ns").agg(F.max("tail_nodes").alias("tail_nodes"), F.max("tail_bp").alias("tail_bp"))
-        graph = without(graph, gone_nodes=gone, tails=tails)
+                break
+            at = later[0]
+            out = written(removable_tips(left, tip_limit, schedule[at]))
+        gone = written(members(out, jumps).select(F.col("member").alias("read_id")).union(out.select("end")).distinct())
+        late = written(late.unionByName(inherited_tails(graph, gone)))
+        new = out.select("n", "ns", F.col("tip_len").alias("tail_nodes"), (F.col("tip_bp") + F.lit(graph.read_len) - F.col("k")).alias("tail_bp"))
+        graph = without(graph, gone_nodes=gone, tails=_longest(graph.tails.unionByName(new)))
+    late = late.join(graph.nodes.select(F.col("read_id").alias("n")), "n", "left_semi").select("n", "ns", F.lit(0).cast("long").alias("tail_nodes"), "tail_bp")
+    return replace(graph, tails=written(_longest(graph.tails.unionByName(late))))
+
+
+def _longest(tails: DataFrame) -> DataFrame:
+    return tails.groupBy("n", "ns").agg(F.max("tail_nodes").alias("tail_nodes"), F.max("tail_bp").alias("tail_bp"))
 
 
 def bubble_siblings(paths_: DataFrame, bubblelen: int) -> DataFrame:
@@ -188,28 +214,23 @@ def remove_junctions(graph: Graph, bubblelen: int) -> Graph:
 def dead_end_walk(graph: Graph, limit: int) -> tuple[DataFrame, DataFrame]:
     """(gone, offsets): reads within `limit` bases of a dead end; read_id, side (1 B, 0 F) and offset where output then begins.
 
-    The frontier is one row per dead end; a walk takes a base at least per step, so `limit` bounds the rounds.
+    A dead end is left along each of its edges and goes if one hop fits; a walk goes on through reads with one edge on
+    each side and ends at others without an offset.  Walks are not followed hop by hop: a read's chain, seen backwards,
+    names the dead end it comes from and the bases between.
     """
-    spark, L = graph.edges.sparkSession, graph.read_len
+    L = graph.read_len
     kinds = graph.nodes.where(~G.is_isolated()).select("read_id", "b_type", "f_type")
-    front = kinds.where("b_type = 'ENDING'").select(F.col("read_id").alias("x"), F.lit(0).alias("xs")).union(kinds.where("f_type = 'ENDING'").select("read_id", F.lit(1)))
-    front = written(front.join(graph.tails.select(F.col("n").alias("x"), (1 - F.col("ns")).alias("xs"), "tail_bp"), ["x", "xs"], "left").select("x", "xs", F.coalesce("tail_bp", F.lit(0)).cast("long").alias("cum")))
-    gone = spark.createDataFrame([], "read_id long")
-    ends = spark.createDataFrame([], "read_id long, side int, offset long")
-    types = kinds.select(F.col("read_id"), "b_type", "f_type")
-    while front.count():
-        at = front.join(types, front.x == types.read_id).withColumn("exit", F.when(F.col("xs") == 0, F.col("f_type")).otherwise(F.col("b_type"))).select("x", "xs", "cum", "exit")
-        one = at.where("exit = 'ONE'").join(graph.edges.select(F.col("n").alias("x"), F.col("ns").alias("xs"), F.col("d").alias("y"), F.col("ds").alias("ys"), "k"), ["x", "xs"]).withColumn("next", F.col("cum") + L - F.col("k"))
-        offset = F.greatest(F.lit(0), F.least(F.lit(L), F.lit(L) - F.col("cum"))).cast("long")
-        stays = at.where("exit = 'BRANCH'").select("x", "xs", "cum").union(one.where(F.col("next") > limit).select("x", "xs", "cum"))
-        ends = ends.union(stays.select("x", 1 - F.col("xs"), offset))
-        on = one.where(F.col("next") <= limit)
-        gone = gone.union(on.select("x")).union(at.where("exit = 'ENDING'").select("x"))
-        y = types.select(F.col("read_id").alias("y"), F.col("b_type").alias("_b"), F.col("f_type").alias("_f"))
-        entered = F.when(F.col("ys") == 0, F.col("_b")).otherwise(F.col("_f"))
-        gone, ends = written(gone), written(ends)
-        front = written(on.join(y, "y").where(entered == "ONE").select(F.col("y").alias("x"), F.col("ys").alias("xs"), F.col("next").alias("cum")))
-    gone = gone.distinct()
+    ending = kinds.where("b_type = 'ENDING'").select(F.col("read_id").alias("x"), F.lit(0).alias("xs")).union(kinds.where("f_type = 'ENDING'").select("read_id", F.lit(1)))
+    tails = graph.tails.select(F.col("n").alias("x"), (1 - F.col("ns")).alias("xs"), "tail_bp")
+    starts = written(ending.join(tails, ["x", "xs"], "left").select("x", "xs", F.coalesce("tail_bp", F.lit(0)).cast("long").alias("cum")))
+    back = chains(graph.nodes, graph.edges, L).select(F.col("x").alias("m"), (1 - F.col("xs")).alias("ms"), F.col("y").alias("x"), (1 - F.col("ys")).alias("xs"), "bp")
+    inner = back.join(starts, ["x", "xs"]).select(F.col("m").alias("x"), F.col("ms").alias("xs"), (F.col("cum") + F.col("bp")).alias("cum")).where(F.col("cum") <= limit)
+    at = written(starts.union(inner))
+    hops = graph.edges.select(F.col("n").alias("x"), F.col("ns").alias("xs"), (F.lit(L) - F.col("k")).alias("bp"))
+    on = written(at.join(hops, ["x", "xs"]).where(F.col("cum") + F.col("bp") <= limit).select("x", "xs").distinct())
+    gone = on.select(F.col("x").alias("read_id")).distinct()
+    offset = F.greatest(F.lit(0), F.least(F.lit(L), F.lit(L) - F.col("cum"))).cast("long")
+    ends = at.join(on, ["x", "xs"], "left_anti").select(F.col("x").alias("read_id"), (1 - F.col("xs")).alias("side"), offset.alias("offset"))
     return gone, ends.join(gone, "read_id", "left_anti").groupBy("read_id", "side").agg(F.min("offset").alias("offset"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import canonical
+from ..functions.storage import written
 from .graph import max_overlap
 from .paths import doubled
 
@@ -24,11 +25,11 @@ def branch_split(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return ends.groupBy(F.col("n").alias("read_id")).agg(F.max(F.when(F.col("ns") == 1, F.col("e"))).alias("b_end"), F.max(F.when(F.col("ns") == 0, F.col("e"))).alias("f_end"))
 
 
-def spell(nodes: DataFrame, edges: DataFrame, reads: DataFrame, read_len: int, offsets: DataFrame | None = None, min_len: int = 0) -> DataFrame:
-    """contig_id, seq, length of every maximal unbranched chain, in order of its start read; rings are not emitted.
+def placed_reads(nodes: DataFrame, edges: DataFrame, reads: DataFrame, read_len: int, offsets: DataFrame | None = None) -> DataFrame:
+    """start, start_s, read_id, strand, place, piece: the reads of every maximal unbranched chain, seen from each of its ends; rings have none.
 
     A read gives what lies between its two ends: past an offset at a dead end, whole at an entry, without the overlap at an
-    exit.  Only contigs over read_len and of min_len at least are numbered.
+    exit.
     """
     spark = nodes.sparkSession
     live = nodes.where("deg_b + deg_f > 0")
@@ -53,14 +54,42 @@ def spell(nodes: DataFrame, edges: DataFrame, reads: DataFrame, read_len: int, o
     placed = placed.join(into, ["read_id", "strand"]).join(out, ["read_id", "strand"]).join(reads.select("read_id", "seq"), "read_id")
     seq = F.when(F.col("strand") == 0, F.col("seq")).otherwise(F.reverse(F.translate("seq", "ACGT", "TGCA")))
     piece = F.substr(seq, F.col("enter") + 1, F.greatest(F.lit(0), F.lit(read_len) - F.col("leave") - F.col("enter")))
-    rows = placed.select("start", "start_s", "read_id", "strand", "place", piece.alias("piece"))
+    return written(placed.select("start", "start_s", "read_id", "strand", "place", piece.alias("piece")))
+
+
+#: Reads by whose ids contigs are numbered together.
+_CHUNK = 1_000_000
+
+
+def numbered(placed: DataFrame, read_len: int, min_len: int = 0) -> DataFrame:
+    """contig_id, seq, length, start, start_s of every chain, in order of its start read; only contigs over read_len and of min_len at least."""
     last = F.max(F.struct("place", "read_id", "strand"))
-    chains = rows.groupBy("start", "start_s").agg(last.alias("last"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "piece"))), lambda p: p["piece"]), "").alias("seq"))
+    chains = placed.groupBy("start", "start_s").agg(last.alias("last"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "piece"))), lambda p: p["piece"]), "").alias("seq"))
     # Each chain is walked from both of its ends: the walk from the lesser read stays, from strand 0 if one read is both.
     chains = chains.where((F.col("start") < F.col("last.read_id")) | ((F.col("start") == F.col("last.read_id")) & (F.col("start_s") <= 1 - F.col("last.strand"))))
-    chains = chains.withColumn("length", F.length("seq")).where((F.col("length") > read_len) & (F.col("length") >= min_len))
-    number = F.row_number().over(Window.orderBy("start", "start_s")) - 1
-    return chains.withColumn("contig_id", number.cast("long")).select("contig_id", "seq", F.col("length").cast("long").alias("length"))
+    chains = written(chains.withColumn("length", F.length("seq").cast("long")).where((F.col("length") > read_len) & (F.col("length") >= min_len)).drop("last"))
+    # Starts are numbered without their sequences, by chunks of read ids that are offset by the sizes of earlier ones.
+    starts = chains.select("start", "start_s").withColumn("chunk", F.expr(f"start div {_CHUNK}"))
+    before = starts.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"))
+    before = before.select("chunk", F.coalesce(F.sum("n").over(Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("chunk").orderBy("start", "start_s")) - 1
+    ids = starts.withColumn("own", own).join(before, "chunk").select("start", "start_s", (F.col("own") + F.col("before")).cast("long").alias("contig_id"))
+    return chains.join(ids, ["start", "start_s"]).select("contig_id", "seq", "length", "start", "start_s")
+
+
+def members_of(contigs: DataFrame, placed: DataFrame) -> DataFrame:
+    """contig_id, place, read_id, strand: the reads of each contig in order."""
+    return contigs.select("contig_id", "start", "start_s").join(placed, ["start", "start_s"]).select("contig_id", "place", "read_id", "strand")
+
+
+def spell(nodes: DataFrame, edges: DataFrame, reads: DataFrame, read_len: int, offsets: DataFrame | None = None, min_len: int = 0) -> DataFrame:
+    """contig_id, seq, length of the graph's chains."""
+    return numbered(placed_reads(nodes, edges, reads, read_len, offsets), read_len, min_len).select("contig_id", "seq", "length")
+
+
+def contig_reads(nodes: DataFrame, edges: DataFrame, reads: DataFrame, read_len: int) -> DataFrame:
+    placed = placed_reads(nodes, edges, reads, read_len)
+    return members_of(numbered(placed, read_len), placed)
 
 
 def canonical_set(contigs: DataFrame) -> DataFrame:

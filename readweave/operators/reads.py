@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import canonical, has_n, rc
+from ..functions.storage import written
 
 _BASES = ("A", "C", "G", "T")
 
@@ -20,22 +21,52 @@ def dedup_exact(raw: DataFrame) -> DataFrame:
     return first.select("_r.file_ord", "_r.seq")
 
 
+_WORD = (1 << 32) - 1
+
+
+def _shift_xor(h, c):
+    return h.bitwiseXOR((F.shiftleft(h, 5) + F.shiftright(h, 2) + c).bitwiseAND(F.lit(_WORD)))
+
+
+#: The filter's hashes, each a fold of symbol codes 1 to 4 into 32 bits: fixed values.
+BLOOM_FOLDS = (
+    _shift_xor,
+    lambda h, c: (c + F.shiftleft(h, 6) + F.shiftleft(h, 16) - h).bitwiseAND(F.lit(_WORD)),
+    lambda h, c: (h + c).bitwiseAND(F.lit(_WORD)),
+    lambda h, c: h.bitwiseXOR(c),
+    lambda h, c: (h * 33 + c).bitwiseAND(F.lit(_WORD)),
+)
+
+
 def bloom_positions(seq, bits, n_hashes: int):
-    """Bit places of a sequence in a filter of `bits` bits."""
-    return F.array(*[F.pmod(F.xxhash64(F.lit(k), seq), bits) for k in range(n_hashes)])
+    """Bit places of a sequence in a filter of `bits` bits: its first n_hashes folds, modulo bits."""
+    codes = F.transform(F.split(seq, ""), lambda b: F.instr(F.lit("ACGT"), b).cast("long"))
+    folded = F.transform(F.array(codes), lambda c: F.array(*[F.aggregate(c, F.lit(0).cast("long"), f) for f in BLOOM_FOLDS[:n_hashes]]))[0]
+    return F.transform(folded, lambda h: F.pmod(h, bits))
 
 
 def dedup_bloom(raw: DataFrame, bits_per_read: int = 36, n_hashes: int = 2) -> DataFrame:
-    """Approximate dedup: drops exact repeats and, like a filter filled in file order, reads whose bits all come from
-    earlier reads.  A bit's first setter is an aggregate, so no filter is built by one task."""
+    """Dedup by a filter of bits_per_read bits a record, filled in file order: a read goes if all bits of it, or of its
+    reverse complement, were set by kept reads before it; a kept read sets the bits of its stored form.
+
+    Exact repeats go first, as their bits are always set.  Whether another read goes hangs on earlier ones only, so the
+    reads that seem to go are judged again by the setters that are left until nothing changes; a bit's first setter is
+    an aggregate, and no filter is built by one task.
+    """
     exact = dedup_exact(raw)
     m = F.lit(max(1, raw.count() * bits_per_read)).cast("long")
-    bits = exact.select("file_ord", F.explode(bloom_positions(F.col("seq"), m, n_hashes)).alias("bit"))
-    first = bits.groupBy("bit").agg(F.min("file_ord").alias("setter"))
     probes = exact.select("file_ord", F.explode(F.array(F.struct(F.lit(0).alias("strand"), bloom_positions(F.col("seq"), m, n_hashes).alias("b")), F.struct(F.lit(1).alias("strand"), bloom_positions(rc(F.col("seq")), m, n_hashes).alias("b")))).alias("p"))
-    probes = probes.select("file_ord", "p.strand", F.explode("p.b").alias("bit")).join(first, "bit", "left")
-    hit = probes.groupBy("file_ord", "strand").agg(F.min(F.coalesce(F.col("setter") < F.col("file_ord"), F.lit(False))).alias("hit")).where("hit").select("file_ord").distinct()
-    return exact.join(hit, "file_ord", "left_anti")
+    probes = written(probes.select("file_ord", "p.strand", F.explode("p.b").alias("bit")))
+    gone, before = None, None
+    while True:
+        own = probes.where("strand = 0")
+        setters = (own if gone is None else own.join(gone, "file_ord", "left_anti")).groupBy("bit").agg(F.min("file_ord").alias("setter"))
+        hit = probes.join(setters, "bit", "left").groupBy("file_ord", "strand").agg(F.min(F.coalesce(F.col("setter") < F.col("file_ord"), F.lit(False))).alias("hit"))
+        gone = written(hit.where("hit").select("file_ord").distinct())
+        now = gone.agg(F.count(F.lit(1)), F.sum(F.xxhash64("file_ord").cast("decimal(38,0)"))).first()
+        if now == before:
+            return exact.join(gone, "file_ord", "left_anti")
+        before = now
 
 
 def assign_ids(kept: DataFrame, chunk: int = 1_000_000) -> DataFrame:

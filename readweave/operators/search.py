@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _positions(seq, pattern, length):
-    return F.filter(F.sequence(F.lit(1), F.length(seq) - length + 1), lambda i: F.substr(seq, i, length) == pattern)
-
-
 def locate(reads: DataFrame, patterns: DataFrame) -> DataFrame:
     """pattern, read_id, pos (0-based), overlaps included: a join on equal k-mers for each pattern length."""
     out = None
@@ -31,14 +29,31 @@ def kmer_count(reads: DataFrame, k: int) -> DataFrame:
     return grams.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
 
 
-def suffix_rank(reads: DataFrame, prefix: int = 4) -> DataFrame:
+def suffix_rank(reads: DataFrame, most: int = 200_000) -> DataFrame:
     """read_id, pos, rank of each suffix by (suffix, read_id, pos).
 
-    Suffixes are ordered within groups of equal first symbols, and group sizes shift the ranks, so the order needs no single task.
+    Suffixes are ordered within groups of equal first symbols, and group sizes shift the ranks, so the order needs no single
+    task.  As many symbols make a group as hold it to about `most` suffixes where symbols are even.
     """
     all_ = reads.select("read_id", F.explode(F.sequence(F.lit(0), F.length("seq") - 1)).alias("pos"), "seq").select("read_id", "pos", F.substr("seq", F.col("pos") + 1).alias("suffix"))
+    n = reads.agg(F.sum(F.length("seq"))).first()[0] or 0
+    prefix = max(4, math.ceil(math.log(max(1, n / most), 4)))
     all_ = all_.withColumn("head", F.substring("suffix", 1, prefix))
     sizes = all_.groupBy("head").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("head", F.coalesce(F.sum("n").over(Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     own = F.row_number().over(Window.partitionBy("head").orderBy("suffix", "read_id", "pos")) - 1
     return all_.withColumn("own", own).join(before, "head").select("read_id", "pos", (F.col("own") + F.col("before")).alias("rank"))
+
+
+def bwt(reads: DataFrame) -> DataFrame:
+    """read_id, pos, rank, symbol: the base before each suffix in order of suffixes; $ before a whole read."""
+    ranked = suffix_rank(reads).join(reads.select("read_id", "seq"), "read_id")
+    return ranked.select("read_id", "pos", "rank", F.when(F.col("pos") == 0, "$").otherwise(F.substr("seq", F.col("pos"), F.lit(1))).alias("symbol"))
+
+
+def occ(transformed: DataFrame, step: int = 4096) -> DataFrame:
+    """block, base, n_before: how often a base stands in the transform before rank block * step."""
+    counts = transformed.groupBy(F.expr(f"rank div {step}").alias("block")).agg(*[F.count_if(F.col("symbol") == b).alias(b) for b in "ACGT"])
+    each = counts.select("block", F.explode(F.array(*[F.struct(F.lit(b).alias("base"), F.col(b).alias("n")) for b in "ACGT"])).alias("c")).select("block", "c.base", "c.n")
+    earlier = Window.partitionBy("base").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return each.select("block", "base", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n_before"))

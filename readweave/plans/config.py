@@ -42,13 +42,13 @@ class AssemblyConfig:
 
     @property
     def tip_schedule(self) -> list[int]:
-        """Node counts allowed to a tip, pass by pass."""
+        """Node counts allowed to a tip, one after the other: 1, and one stride more for each step."""
         steps = 2 * self.read_len // 5 if self.num_iters is None else self.num_iters
         stride = self.tip_limit // steps if steps else 1
         if stride < 1:
             warnings.warn("more steps than max_tiplen; a stride of 1 is used", stacklevel=2)
             stride = 1
-        return sorted({min(self.tip_limit, 1 + stride * k) for k in range(max(1, steps))})
+        return sorted({min(self.tip_limit, 1 + stride * k) for k in range(steps + 1)})
 
     @property
     def contig_limit(self) -> int:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import rc
+from ..functions.storage import written
 
 READ_LEN, MIN_OVERLAP, COVERAGE, STEP = 50, 31, 20, 7919
 
@@ -19,13 +20,96 @@ i2 AS (SELECT i, CASE
 raw AS (SELECT i AS file_ord, CASE WHEN i % 2 = 1 THEN reverse(translate(s, 'ACGTN', 'TGCAN')) ELSE s END AS seq FROM i2)"""
 
 
+_HAP = 30, 8, 6007
+HAPLOTYPES_SQL = f"""
+g0 AS (SELECT o_orderkey AS pos, substr('ACGT', CAST(1 + o_custkey % 4 AS BIGINT), 1) AS b FROM orders),
+g AS (SELECT string_agg(b, '' ORDER BY pos) AS one, string_agg(CASE WHEN pos % 400 = 200 THEN translate(b, 'ACGT', 'CGTA') ELSE b END, '' ORDER BY pos) AS two, CAST(count(*) AS BIGINT) AS n FROM g0),
+cut AS (SELECT i AS file_ord, i, substr(one, CAST((i * {STEP}) % (n - {READ_LEN} + 1) AS BIGINT) + 1, {READ_LEN}) AS s FROM g, (SELECT unnest(range(0, (SELECT n * {_HAP[0]} // {READ_LEN} FROM g))) AS i)
+  UNION ALL SELECT i + 1000000, i, substr(two, CAST((i * {_HAP[2]}) % (n - {READ_LEN} + 1) AS BIGINT) + 1, {READ_LEN}) FROM g, (SELECT unnest(range(0, (SELECT n * {_HAP[1]} // {READ_LEN} FROM g))) AS i)),
+raw AS (SELECT file_ord, CASE WHEN i % 2 = 1 THEN reverse(translate(s, 'ACGTN', 'TGCAN')) ELSE s END AS seq FROM cut)"""
+
+#: Bases of a piece of the genome; a read lies in a piece and the next one.
+_PIECE = 256
+
+
+def _genome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("pos"), F.substr(F.lit("ACGT"), (1 + F.col("o_custkey") % 4).cast("int"), F.lit(1)).alias("base"))
+
+
+def _cut(starts: DataFrame, genome: DataFrame) -> DataFrame:
+    """starts: columns and start -> the columns and s, the genome's READ_LEN bases from there; no row holds the genome."""
+    bases = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "base"))), lambda c: c["base"]), "")
+    pieces = written(genome.groupBy(F.expr(f"pos div {_PIECE}").alias("piece")).agg(bases.alias("bases")))
+    after = pieces.select((F.col("piece") - 1).alias("piece"), F.col("bases").alias("more"))
+    pairs = pieces.join(after, "piece", "left").select("piece", F.concat("bases", F.coalesce("more", F.lit(""))).alias("bases"))
+    at = starts.withColumn("piece", F.expr(f"start div {_PIECE}"))
+    return at.join(pairs, "piece").withColumn("s", F.substr("bases", (F.col("start") % _PIECE + 1).cast("int"), F.lit(READ_LEN))).drop("piece", "bases", "start")
+
+
+def _turned(s):
+    return F.when(F.col("i") % 2 == 1, rc(s)).otherwise(s).alias("seq")
+
+
 def raw_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """file_ord, seq: each read joins its bases by position, so no row holds the genome."""
-    genome = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("pos"), F.substr(F.lit("ACGT"), (1 + F.col("o_custkey") % 4).cast("int"), F.lit(1)).alias("base"))
+    """file_ord, seq."""
+    genome = _genome(spark, sf_dir)
     n = genome.count()
-    i = spark.range(n * COVERAGE // READ_LEN).select(F.col("id").alias("i"))
     j = F.when(F.col("i") % 20 == 19, F.col("i") - 1).otherwise(F.col("i"))
-    cells = i.select("i", ((j * STEP) % (n - READ_LEN + 1)).alias("start"), F.explode(F.sequence(F.lit(0), F.lit(READ_LEN - 1))).alias("at")).withColumn("pos", F.col("start") + F.col("at"))
-    base = F.when((F.col("i") % 50 == 7) & (F.col("at") == (F.col("i") * 31) % READ_LEN), F.translate("base", "ACGT", "CGTA")).when((F.col("i") % 50 != 7) & (F.col("i") % 97 == 5) & (F.col("at") == 10), F.lit("N")).otherwise(F.col("base"))
-    seqs = cells.join(genome, "pos").select("i", F.struct("at", base.alias("base")).alias("c")).groupBy("i").agg(F.array_join(F.transform(F.array_sort(F.collect_list("c")), lambda c: c["base"]), "").alias("s"))
-    return seqs.select(F.col("i").alias("file_ord"), F.when(F.col("i") % 2 == 1, rc(F.col("s"))).otherwise(F.col("s")).alias("seq"))
+    cut = _cut(spark.range(n * COVERAGE // READ_LEN).select(F.col("id").alias("i")).withColumn("start", (j * STEP) % (n - READ_LEN + 1)), genome)
+    at = ((F.col("i") * 31) % READ_LEN).cast("int")
+    swapped = F.concat(F.substr("s", F.lit(1), at), F.translate(F.substr("s", at + 1, F.lit(1)), "ACGT", "CGTA"), F.substr("s", at + 2))
+    unknown = F.concat(F.substring("s", 1, 10), F.lit("N"), F.substr("s", F.lit(12)))
+    s = F.when(F.col("i") % 50 == 7, swapped).when(F.col("i") % 97 == 5, unknown).otherwise(F.col("s"))
+    return cut.select("i", s.alias("s")).select(F.col("i").alias("file_ord"), _turned(F.col("s")))
+
+
+def haplotype_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file_ord, seq: 30-fold reads of the genome and 8-fold reads of one with a base in 400 exchanged."""
+    genome = _genome(spark, sf_dir)
+    n = genome.count()
+    starts = lambda cover, step: spark.range(n * cover // READ_LEN).select(F.col("id").alias("i"), ((F.col("id") * step) % (n - READ_LEN + 1)).alias("start"))
+    other = genome.select("pos", F.when(F.col("pos") % 400 == 200, F.translate("base", "ACGT", "CGTA")).otherwise(F.col("base")).alias("base"))
+    one = _cut(starts(_HAP[0], STEP), genome).select(F.col("i").alias("file_ord"), _turned(F.col("s")))
+    return one.unionByName(_cut(starts(_HAP[1], _HAP[2]), other).select((F.col("i") + 1000000).alias("file_ord"), _turned(F.col("s"))))
+
+
+def chain(*ids: int, k: int) -> list[tuple[int, int, int, int, int]]:
+    return [(a, 0, b, 0, k) for a, b in zip(ids, ids[1:])]
+
+
+#: Hand-built graphs: read length, least overlap, imbalanced reads, edges (their mirrors are added).  Values chosen so
+#: that every operator that removes something has something to remove, and something alike that stays.
+HAND = {
+    # Tips of one to three reads, one at the end of another's branch, one too long, and dead ends that branch.
+    "tips": (10, 5, (), [
+        *chain(*range(40), k=8), *chain(5, 50, 51, 60, k=8), (51, 0, 61, 0, 7), *chain(9, 52, 53, k=7), (14, 0, 54, 0, 6), (20, 0, 55, 0, 8), *chain(55, 56, 57, 58, 59, k=8),
+        (25, 0, 63, 0, 7), (63, 0, 64, 0, 7), (63, 0, 65, 0, 6), (64, 0, 66, 0, 7), (64, 0, 67, 0, 8), *chain(100, *range(101, 107), k=8), *chain(100, *range(111, 117), k=8), *chain(30, *range(70, 84), k=9),
+    ]),
+    # 99 bridges two chains and is imbalanced; 98 is balanced; 97 has an arm of three reads; 96 ends in a tip.
+    "bridges": (10, 5, (99, 97, 96), [
+        *chain(*range(40), k=8), *chain(*range(100, 140), k=8),
+        (5, 0, 99, 0, 7), (99, 0, 105, 0, 7), (99, 0, 108, 0, 7), (12, 0, 98, 0, 7), (98, 0, 112, 0, 7), (98, 0, 115, 0, 7),
+        (20, 0, 97, 0, 7), (97, 0, 120, 0, 7), *chain(97, 200, 201, 123, k=7), (28, 0, 96, 0, 7), (96, 0, 128, 0, 7), *chain(96, 202, 203, k=7),
+    ]),
+    # 50 joins three thin paths; 60 has an arm that another path outdoes; 70 keeps a path that is no bubble.
+    "thin": (20, 12, (), [*chain(*range(30), k=18), (3, 0, 50, 0, 12), (50, 0, 8, 0, 12), (50, 0, 9, 0, 13), (15, 0, 70, 0, 12), (70, 0, 20, 0, 12), *chain(70, 71, 72, k=12)]),
+    "longer": (20, 12, (), [*chain(*range(40), k=13), *chain(3, 61, 60, k=12), *chain(60, 62, 25, k=13), (60, 0, 63, 0, 13), (63, 0, 26, 0, 13)]),
+}
+
+
+def hand(spark: SparkSession, name: str) -> tuple[DataFrame, DataFrame]:
+    """(read_id and candidate counts that make the imbalanced ones so; edges with mirrors) of a hand-built graph."""
+    _, _, suspect, edges = HAND[name]
+    both = sorted({e for n, ns, d, ds, k in edges for e in ((n, ns, d, ds, k), (d, 1 - ds, n, 1 - ns, k))})
+    counts = [(i, 10 if i in suspect else 1, 1) for i in sorted({e[0] for e in both})]
+    return spark.createDataFrame(counts, "read_id long, olp_b long, olp_f long"), spark.createDataFrame(both, "n long, ns int, d long, ds int, k int")
+
+
+def hand_sql(name: str) -> str:
+    """CTEs edges0 and alive0 (read_id, suspect) of a hand-built graph."""
+    _, _, suspect, edges = HAND[name]
+    rows = ", ".join(map(str, edges))
+    return f"""
+given(n, ns, d, ds, k) AS (VALUES {rows}),
+edges0 AS MATERIALIZED (SELECT CAST(n AS BIGINT) AS n, ns, CAST(d AS BIGINT) AS d, ds, k FROM (SELECT * FROM given UNION SELECT d, 1 - ds, n, 1 - ns, k FROM given)),
+alive0 AS MATERIALIZED (SELECT DISTINCT n AS read_id, n IN ({", ".join(map(str, suspect or (-1,)))}) AS suspect FROM edges0)"""

@@ -6,12 +6,45 @@ import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.storage import written
 from ..operators import clean, contigs, graph, overlap, reads
 from .config import AssemblyConfig
 
 
+#: Cleaning steps in their order; dead ends are trimmed after them.
+STEPS = ("tips", "bubbles", "bridges", "bubbles", "junctions")
+
+
+def cleaned(g: clean.Graph, step: str, config: AssemblyConfig) -> clean.Graph:
+    if step == "tips":
+        return clean.remove_tips(g, config.tip_limit, config.tip_schedule)
+    if step == "bubbles":
+        return clean.remove_bubbles(g, config.bubblelen, config.keep_best_arm)
+    return clean.remove_bridges(g) if step == "bridges" else clean.remove_junctions(g, config.bubblelen)
+
+
+def removed_by(stage: str, before: clean.Graph, after: clean.Graph) -> DataFrame:
+    return before.nodes.select("read_id").join(after.nodes.select("read_id"), "read_id", "left_anti").select(F.lit(stage).alias("stage"), "read_id")
+
+
+def audited(g: clean.Graph, config: AssemblyConfig) -> tuple[clean.Graph, DataFrame, DataFrame | None]:
+    """(graph after all steps, stage and read_id of each read that a stage removed, offsets of trimmed dead ends)."""
+    removed, offsets = [], None
+    for k, step in enumerate((*STEPS, *["dead ends"] * config.trim_dead_ends)):
+        before = g
+        if step == "dead ends":
+            g, offsets = clean.trim_dead_ends(g, config.tip_limit)
+        else:
+            g = cleaned(g, step, config)
+        removed.append(removed_by(f"{k + 1} {step}", before, g))
+    audit = removed[0]
+    for more in removed[1:]:
+        audit = audit.unionByName(more)
+    return g, written(audit), offsets
+
+
 @dataclass
 class AssemblyResult:
     contigs: DataFrame
@@ -19,6 +52,11 @@ class AssemblyResult:
     nodes: DataFrame
     edges: DataFrame
     metrics: DataFrame
+    #: Candidate counts and edges of each read before cleaning, reads that each stage removed, reads of each contig.
+    counts: DataFrame
+    overlaps: DataFrame
+    audit: DataFrame
+    members: DataFrame
     seconds: dict[str, float] = field(default_factory=dict)
 
 
@@ -40,17 +78,10 @@ def assemble(raw: DataFrame, config: AssemblyConfig) -> AssemblyResult:
     kept = timed("import", load)
     cands = timed("overlap", lambda: written(overlap.candidates(reads.oriented(kept), config.read_len, config.min_overlap)))
     edges = timed("reduce", lambda: written(overlap.reduced(cands)))
-    nodes = written(graph.nodes(overlap.candidate_counts(cands, kept), edges))
-
-    def cleaned():
-        g = clean.start(nodes, edges, config.read_len, config.min_overlap)
-        g = clean.remove_tips(g, config.tip_limit, config.tip_schedule)
-        g = clean.remove_bubbles(g, config.bubblelen, config.keep_best_arm)
-        g = clean.remove_bridges(g)
-        g = clean.remove_bubbles(g, config.bubblelen, config.keep_best_arm)
-        g = clean.remove_junctions(g, config.bubblelen)
-        return clean.trim_dead_ends(g, config.tip_limit) if config.trim_dead_ends else (g, None)
-
-    g, offsets = timed("clean", cleaned)
-    found = timed("contigs", lambda: written(contigs.spell(g.nodes, g.edges, kept, config.read_len, offsets, config.contig_limit)))
-    return AssemblyResult(found, kept, g.nodes, g.edges, reads.import_metrics(raw, kept), seconds)
+    counts = written(overlap.candidate_counts(cands, kept))
+    nodes = written(graph.nodes(counts, edges))
+    g, audit, offsets = timed("clean", lambda: audited(clean.start(nodes, edges, config.read_len, config.min_overlap), config))
+    about = timed("contigs", lambda: contigs.placed_reads(g.nodes, g.edges, kept, config.read_len, offsets))
+    found = timed("spell", lambda: written(contigs.numbered(about, config.read_len, config.contig_limit)))
+    members = contigs.members_of(found, about)
+    return AssemblyResult(found.select("contig_id", "seq", "length"), kept, g.nodes, g.edges, reads.import_metrics(raw, kept), counts, edges, audit, members, seconds)

@@ -2,27 +2,32 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import canonical, edge_type, is_legal, rc
 from ..functions.storage import shared_dir, written
 from ..operators import clean, contigs, graph, overlap, paths, reads, search
+from ..sources.fasta import read_fasta, record_count, write_fasta
+from .cleaning_sql import Cleaning
 from .config import AssemblyConfig
+from .fixtures import HAND, HAPLOTYPES_SQL, RAW_SQL, hand, hand_sql, haplotype_reads, raw_reads
 from .fixtures import MIN_OVERLAP as T
-from .fixtures import RAW_SQL, raw_reads
 from .fixtures import READ_LEN as L
+from .pipeline import STEPS, assemble, cleaned, removed_by
 
 _tables: dict[tuple, DataFrame] = {}
 
 
-def stage(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A pipeline stage over the fixture, written once a session."""
-    key = (spark.sparkContext.applicationId, shared_dir(spark), sf_dir, name)
+def stage(spark: SparkSession, sf_dir: str, name: str, fixture: str = "base") -> DataFrame:
+    """A pipeline stage over a fixture's reads, written once a session."""
+    key = (spark.sparkContext.applicationId, shared_dir(spark), sf_dir, name, fixture)
     if key not in _tables:
-        s = lambda n: stage(spark, sf_dir, n)
+        s = lambda n: stage(spark, sf_dir, n, fixture)
         make = {
-            "raw": lambda: raw_reads(spark, sf_dir),
+            "raw": lambda: {"base": raw_reads, "haplotypes": haplotype_reads}[fixture](spark, sf_dir),
             "reads": lambda: reads.assign_ids(reads.dedup_exact(reads.drop_n(s("raw")))),
             "cands": lambda: overlap.candidates(reads.oriented(s("reads")), L, T),
             "edges": lambda: overlap.reduced(s("cands")),
@@ -101,8 +106,16 @@ def _of(name: str, f):
     return lambda spark, sf_dir: f(stage(spark, sf_dir, name))
 
 
-def _graph(spark: SparkSession, sf_dir: str) -> clean.Graph:
-    return clean.start(stage(spark, sf_dir, "nodes"), stage(spark, sf_dir, "edges"), L, T)
+def _graph(spark: SparkSession, sf_dir: str, fixture: str = "base") -> clean.Graph:
+    if fixture in HAND:
+        counts, edges = hand(spark, fixture)
+        edges = written(edges)
+        return clean.start(written(graph.nodes(counts, edges)), edges, *HAND[fixture][:2])
+    return clean.start(stage(spark, sf_dir, "nodes", fixture), stage(spark, sf_dir, "edges", fixture), L, T)
+
+
+def _paths(g: clean.Graph) -> DataFrame:
+    return written(paths.paths(g.nodes, g.edges, g.read_len))
 
 
 def _stages(*names: str):
@@ -116,29 +129,99 @@ def _tips_pass(spark, sf_dir):
     return clean.removable_tips(tips, config.tip_limit, config.tip_limit).select("n", "ns", "d", "ds", "end", "tip_len", "tip_bp")
 
 
-def _bubbles(spark, sf_dir):
-    return clean.judged_bubbles(_graph(spark, sf_dir), stage(spark, sf_dir, "paths"), 10).select("n", "ns", "d", "ds", "len", "match", F.round("depth", 6).alias("depth"), "b_len", "thin", "longer_sibling", "removed")
+def _bubbles(spark, sf_dir, fixture):
+    return clean.judged_bubbles(_graph(spark, sf_dir, fixture), stage(spark, sf_dir, "paths", fixture), 10).select("n", "ns", "d", "ds", "len", "match", F.round("depth", 6).alias("depth"), "b_len", "thin", "longer_sibling", "removed")
 
 
-def _after(*steps):
-    def run(spark, sf_dir):
-        g, c = _graph(spark, sf_dir), AssemblyConfig(L, T)
-        for s in steps:
-            g = {"tips": lambda: clean.remove_tips(g, c.tip_limit, c.tip_schedule), "bubbles": lambda: clean.remove_bubbles(g, 10), "bridges": lambda: clean.remove_bridges(g), "junctions": lambda: clean.remove_junctions(g, 10)}[s]()  # noqa: B023
-        return g
+_LIMIT = AssemblyConfig(L, T).tip_limit
+#: Limit of tips, and schedule of their lengths, on the hand-built graphs.
+_HAND_TIPS = 8, [1, 2, 3, 4, 6]
 
-    return run
 
+_graphs: dict[tuple, clean.Graph] = {}
 
-_ALL = ("tips", "bubbles", "bridges", "bubbles", "junctions")
+
+def _after(fixture, *steps):
+    """The graph of a fixture after cleaning steps; kept for the session, as the written tables are."""
+
+    def run(spark, sf_dir):
+        key = (spark.sparkContext.applicationId, shared_dir(spark), sf_dir, fixture, steps)
+        if key not in _graphs:
+            if not steps:
+                _graphs[key] = _graph(spark, sf_dir, fixture)
+            elif steps[-1] == "tips" and fixture in HAND:
+                _graphs[key] = clean.remove_tips(_after(fixture, *steps[:-1])(spark, sf_dir), *_HAND_TIPS)
+            else:
+                config = AssemblyConfig(HAND[fixture][0] * 5, HAND[fixture][1] * 3) if fixture in HAND else AssemblyConfig(L, T)
+                _graphs[key] = cleaned(_after(fixture, *steps[:-1])(spark, sf_dir), steps[-1], config)
+        return _graphs[key]
+
+    return run
 
 
 def _contigs(spark, sf_dir):
-    g, c = _after(*_ALL)(spark, sf_dir), AssemblyConfig(L, T)
+    g, c = _after("base", *STEPS)(spark, sf_dir), AssemblyConfig(L, T)
     g, offsets = clean.trim_dead_ends(g, c.tip_limit)
     return contigs.spell(g.nodes, g.edges, stage(spark, sf_dir, "reads"), L, offsets, c.contig_limit)
 
 
+def _walk(spark, sf_dir, fixture, limit):
+    gone, offsets = clean.dead_end_walk(_after(fixture, "tips")(spark, sf_dir), limit)
+    gone = gone.select("read_id", F.lit(-1).cast("long").alias("side"), F.lit(-1).cast("long").alias("offset"))
+    return gone.unionByName(offsets.select("read_id", *_long("side", "offset")))
+
+
+def _hand_votes(spark, sf_dir):
+    each = [clean.junction_votes(g, _paths(g), 10).select(F.lit(name).alias("graph"), *_long(*_EL, "votes", "opposite"), "removed") for name in ("thin", "longer") for g in [_graph(spark, sf_dir, name)]]
+    return each[0].unionByName(each[1])
+
+
+def _hand_left(*names, step):
+    def run(spark, sf_dir):
+        each = [_edges_of(_after(name, step)(spark, sf_dir)).select(F.lit(name).alias("graph"), *_long(*_EL)) for name in names]
+        out = each[0]
+        for more in each[1:]:
+            out = out.unionByName(more)
+        return out
+
+    return run
+
+
+def _audit(spark, sf_dir):
+    """stage and read_id of each read that a stage removes."""
+    graphs = [_after("haplotypes", *STEPS[:k])(spark, sf_dir) for k in range(len(STEPS) + 1)]
+    graphs.append(clean.trim_dead_ends(graphs[-1], _LIMIT)[0])
+    out = None
+    for k, step in enumerate((*STEPS, "dead ends")):
+        one = removed_by(f"{k + 1} {step}", graphs[k], graphs[k + 1])
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _fasta(spark, sf_dir):
+    """The fixture's raw reads as FASTA, written once, as read back."""
+    path = f"{shared_dir(spark)}/reads-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}.fa"
+    lines = stage(spark, sf_dir, "raw").orderBy("file_ord").select(F.concat(F.lit(">read "), "file_ord", F.lit("\n"), "seq").alias("value"))
+    lines.write.mode("overwrite").text(path)
+    return path
+
+
+def _fasta_contigs(spark, sf_dir):
+    return assemble(read_fasta(spark, _fasta(spark, sf_dir), L), AssemblyConfig(L, T)).contigs
+
+
+def _contig_lines(spark, sf_dir):
+    path = f"{shared_dir(spark)}/contigs-{uuid.uuid4().hex}"
+    write_fasta(_unitigs(spark, sf_dir), path)
+    return spark.read.text(path)
+
+
+def _dump(cands, reads_, edges):
+    """Candidate counts of each read before reduction, and its edges before cleaning; reads without edges stand alone."""
+    kinds = edges.select(F.col("n").alias("read_id"), "d", F.col("k").cast("long").alias("k"), edge_type(F.col("ns"), F.col("ds")).alias("type"))
+    return overlap.candidate_counts(cands, reads_).select("read_id", *_long("olp_b", "olp_f")).join(kinds, "read_id", "left").select("read_id", "olp_b", "olp_f", F.coalesce("d", F.lit(-1)).alias("d"), F.coalesce("k", F.lit(-1)).alias("k"), F.coalesce("type", F.lit("")).alias("type"))
+
+
 def _unitigs(spark, sf_dir):
     return contigs.spell(stage(spark, sf_dir, "nodes"), stage(spark, sf_dir, "edges"), stage(spark, sf_dir, "reads"), L)
 
@@ -184,19 +267,34 @@ QUERIES = {
     "paths": _of("paths", lambda p: p.withColumn("hop", F.coalesce("hop", F.lit(-1))).select(*_long("n", "ns", "d", "ds", "k", "end", "end_s", "hop", "len", "end_len", "bubble_len"), "type")),
     "path_types": _of("paths", lambda p: p.groupBy("type").agg(F.count(F.lit(1)).alias("n_paths"), F.max("len").alias("longest"))),
     "tips_pass1": lambda s, d: _tips_pass(s, d).select(*_long("n", "ns", "d", "ds", "end", "tip_len", "tip_bp")),
-    "bubbles_pass1": lambda s, d: _bubbles(s, d).select(*_long("n", "ns", "d", "ds", "len", "match"), "depth", *_long("b_len"), "thin", "longer_sibling", "removed"),
-    "bubble_siblings": _of("paths", lambda p: clean.bubble_siblings(p, 10).select(*_long("n", "ns", "end", "end_s", "d", "ds", "len", "sib_d", "sib_ds", "sib_len"))),
-    "bridges": _stages("nodes", "paths")(clean.bridges),
-    "junction_votes": lambda s, d: clean.junction_votes(_graph(s, d), stage(s, d, "paths"), 10).select(*_long(*_EL, "votes", "opposite"), "removed"),
-    "dead_end_walk": lambda s, d: clean.dead_end_walk(_graph(s, d), 2 * L)[0],
-    "tips_fixpoint": lambda s, d: _edges_of(_after("tips")(s, d)),
-    "bubbles_fixpoint": lambda s, d: _edges_of(_after("bubbles")(s, d)),
-    "cleaned_graph": lambda s, d: _edges_of(_after(*_ALL)(s, d)),
+    "bubbles_pass1": lambda s, d: _bubbles(s, d, "haplotypes").select(*_long("n", "ns", "d", "ds", "len", "match"), "depth", *_long("b_len"), "thin", "longer_sibling", "removed"),
+    "bubble_siblings": lambda s, d: clean.bubble_siblings(stage(s, d, "paths", "haplotypes"), 10).select(*_long("n", "ns", "end", "end_s", "d", "ds", "len", "sib_d", "sib_ds", "sib_len")),
+    "bridges": lambda s, d: (lambda g: clean.bridges(g.nodes, _paths(g)))(_graph(s, d, "bridges")),
+    "bridges_removed": _hand_left("bridges", step="bridges"),
+    "junction_votes": _hand_votes,
+    "junctions_fixpoint": _hand_left("thin", "longer", step="junctions"),
+    "tips_hand_graph": _hand_left("tips", step="tips"),
+    "tip_tails": lambda s, d: _after("tips", "tips")(s, d).tails.select(*_long("n", "ns", "tail_nodes", "tail_bp")),
+    "dead_end_walk": lambda s, d: _walk(s, d, "base", _LIMIT),
+    "dead_ends_hand_graph": lambda s, d: _walk(s, d, "tips", 4),
+    "tips_fixpoint": lambda s, d: _edges_of(_after("base", "tips")(s, d)).select(*_long(*_EL)),
+    "bubbles_fixpoint": lambda s, d: _edges_of(_after("haplotypes", "bubbles")(s, d)).select(*_long(*_EL)),
+    "cleaned_graph": lambda s, d: _edges_of(_after("haplotypes", *STEPS)(s, d)).select(*_long(*_EL)),
+    "cleaning_audit": _audit,
     "branch_split": lambda s, d: contigs.branch_split(stage(s, d, "nodes").where("deg_b + deg_f > 0"), stage(s, d, "edges")),
     "unitigs": lambda s, d: contigs.canonical_set(_unitigs(s, d)),
     "unitig_stats": lambda s, d: contigs.contig_stats(_unitigs(s, d)),
-    "contigs": lambda s, d: contigs.canonical_set(_contigs(s, d)),
+    "contigs": _contigs,
     "contig_stats": lambda s, d: contigs.contig_stats(_contigs(s, d)),
+    "contig_reads": lambda s, d: contigs.contig_reads(stage(s, d, "nodes"), stage(s, d, "edges"), stage(s, d, "reads"), L).select("contig_id", "place", "read_id", *_long("strand")),
+    "fasta_record_count": lambda s, d: record_count(s, _fasta(s, d)),
+    "fasta_reads": lambda s, d: read_fasta(s, _fasta(s, d), L),
+    "fasta_to_contigs": _fasta_contigs,
+    "fasta_contig_lines": _contig_lines,
+    "overlap_dump": _stages("cands", "reads", "edges")(_dump),
+    "bwt": _of("reads", lambda r: search.bwt(r).select("rank", "symbol")),
+    "occ_table": _of("reads", lambda r: search.occ(search.bwt(r)).select("block", "base", "n_before")),
+    "missing_mirror_cut": _of("edges", lambda e: graph.missing_mirror(e.where("not (n % 97 = 3 and ns = 0)")).select(*_long(*_EL))),
     "bloom_dedup": _of("raw", lambda r: reads.dedup_bloom(reads.drop_n(r))),
 }
 
@@ -204,6 +302,55 @@ _T = {"fb": (0, 0), "ff": (0, 1), "bb": (1, 0), "bf": (1, 1)}
 _SIB = f"""SELECT p.n, CAST(p.ns AS BIGINT) AS ns, p."end", CAST(p.end_s AS BIGINT) AS end_s, p.d, CAST(p.ds AS BIGINT) AS ds, p.len, q.d AS sib_d, CAST(q.ds AS BIGINT) AS sib_ds, q.len AS sib_len
 FROM paths p JOIN paths q ON p.n = q.n AND p.ns = q.ns AND p."end" = q."end" AND p.end_s = q.end_s WHERE p.type = 'BUBBLE' AND q.type = 'BUBBLE' AND q.len > p.len + 10"""
 
+#: Limit, schedule, and passes written out in SQL: the fixtures need fewer.
+_TIPS = _LIMIT, AssemblyConfig(L, T).tip_schedule, 8
+_VOTES = "SELECT '{}' AS graph, n, CAST(ns AS BIGINT) AS ns, d, CAST(ds AS BIGINT) AS ds, CAST(k AS BIGINT) AS k, votes, opposite, removed FROM {}"
+_BWT = f""", s AS (SELECT row_number() OVER (ORDER BY substr(seq, CAST(i + 1 AS BIGINT)), read_id, i) - 1 AS rank, CASE i WHEN 0 THEN '$' ELSE substr(seq, CAST(i AS BIGINT), 1) END AS symbol FROM reads, (SELECT unnest(range(0, {L})) AS i)),
+b AS MATERIALIZED (SELECT rank, symbol FROM s) """
+
+
+def _on(fixture: str, select) -> str:
+    """The SQL of select(Cleaning over the fixture), which may add to its CTEs."""
+    if fixture in HAND:
+        c = Cleaning(hand_sql(fixture), *HAND[fixture][:2])
+    else:
+        tables = _NODES if fixture == "base" else _NODES.replace(RAW_SQL, HAPLOTYPES_SQL)
+        c = Cleaning(tables + ",\nedges0 AS MATERIALIZED (SELECT n, ns, d, ds, k FROM edges),\nalive0 AS MATERIALIZED (SELECT read_id, suspect FROM nodes)", L, T)
+    return c.sql(select(c))
+
+
+def _left(c: Cleaning, name: str) -> str:
+    return f"SELECT '{name}' AS graph, {_E} FROM edges{c.i}"
+
+
+def _ends(c: Cleaning, limit: int) -> str:
+    gone, offsets = c.dead_ends(limit)
+    return f'SELECT read_id, CAST(-1 AS BIGINT) AS side, CAST(-1 AS BIGINT) AS "offset" FROM {gone} UNION ALL SELECT read_id, side, off FROM {offsets}'
+
+
+def _all(c: Cleaning) -> list[tuple[str, int]]:
+    """All steps on c: (step, generation after it)."""
+    out = []
+    for step, run in zip(STEPS, (lambda: c.tips(*_TIPS), lambda: c.bubbles(10, 4), c.bridges, lambda: c.bubbles(10, 1), lambda: c.junctions(10, 1)), strict=True):
+        run()
+        out.append((step, c.i))
+    return out
+
+
+def _spans(c: Cleaning) -> list[tuple[str, int, int]]:
+    """(stage, generation before, generation after) of all steps and the trim."""
+    ends = _all(c)
+    c.trim(_LIMIT)
+    ends.append(("dead ends", c.i))
+    return [(f"{k + 1} {name}", ends[k - 1][1] if k else 0, i) for k, (name, i) in enumerate(ends)]
+
+
+def _contig_select(c: Cleaning) -> str:
+    _all(c)
+    c.trim(_LIMIT)
+    return f"SELECT contig_id, seq, length FROM {c.spelled(2 * L, 'offsets')}"
+
+
 ORACLES = {
     "reads_raw_stats": _with(RAW_SQL, "SELECT count(*) AS n_reads, min(length(seq)) AS min_len, max(length(seq)) AS max_len FROM raw"),
     "reads_valid": _with(RAW_SQL, f"SELECT file_ord, seq FROM raw WHERE regexp_full_match(seq, '[ACGTN]+') AND length(seq) = {L}"),
@@ -237,9 +384,32 @@ ORACLES = {
     "paths": _with(_PATHS, 'SELECT n, CAST(ns AS BIGINT) AS ns, d, CAST(ds AS BIGINT) AS ds, CAST(k AS BIGINT) AS k, "end", CAST(end_s AS BIGINT) AS end_s, coalesce(hop, -1) AS hop, len, end_len, bubble_len, type FROM paths'),
     "path_types": _with(_PATHS, "SELECT type, count(*) AS n_paths, max(len) AS longest FROM paths GROUP BY type"),
     "tips_pass1": _with(_PATHS, f'SELECT n, CAST(ns AS BIGINT) AS ns, d, CAST(ds AS BIGINT) AS ds, "end", len AS tip_len, end_len - ({L} - k) AS tip_bp FROM paths WHERE type = \'TIP\' AND end_len - ({L} - k) < {2 * L} AND len <= {2 * L}'),
-    "bubbles_pass1": _with(_BUBBLES, f"SELECT n, CAST(ns AS BIGINT) AS ns, d, CAST(ds AS BIGINT) AS ds, len, CAST(match AS BIGINT) AS match, round(depth, 6) AS depth, CAST(b_len AS BIGINT) AS b_len, thin, longer_sibling, b_len < {L} AND match < {T} AND (thin OR longer_sibling) AS removed FROM arms"),
-    "bubble_siblings": _with(_PATHS, _SIB),
-    "bridges": _with(_PATHS, f"SELECT read_id FROM nodes WHERE suspect AND {_J} AND NOT EXISTS (SELECT 1 FROM paths WHERE n = read_id AND (type = 'TIP' OR len >= 3))"),
+    "bubbles_pass1": _on("haplotypes", lambda c: f"SELECT n, CAST(ns AS BIGINT) AS ns, d, CAST(ds AS BIGINT) AS ds, len, CAST(match AS BIGINT) AS match, round(depth, 6) AS depth, CAST(b_len AS BIGINT) AS b_len, thin, longer_sibling, b_len < {L} AND match < {T} AND (thin OR longer_sibling) AS removed FROM {c.arms(10)}"),
+    "bubble_siblings": _on("haplotypes", lambda c: _SIB.replace("paths ", c.paths() + " ")),
+    "bridges": _on("bridges", lambda c: f"SELECT read_id FROM {c.bridge_reads()}"),
+    "bridges_removed": _on("bridges", lambda c: _left(c.bridges(), "bridges")),
+    "tips_hand_graph": _on("tips", lambda c: _left(c.tips(*_HAND_TIPS, 8), "tips")),
+    "tip_tails": _on("tips", lambda c: f"SELECT n, CAST(ns AS BIGINT) AS ns, CAST(tail_nodes AS BIGINT) AS tail_nodes, CAST(tail_bp AS BIGINT) AS tail_bp FROM {c.tips(*_HAND_TIPS, 8).tails}"),
+    "junction_votes": _on("thin", lambda c: _VOTES.format("thin", c.votes(10))) + " UNION ALL SELECT * FROM (" + _on("longer", lambda c: _VOTES.format("longer", c.votes(10))) + ")",
+    "junctions_fixpoint": _on("thin", lambda c: _left(c.junctions(10, 3), "thin")) + " UNION ALL SELECT * FROM (" + _on("longer", lambda c: _left(c.junctions(10, 3), "longer")) + ")",
+    "dead_end_walk": _on("base", lambda c: _ends(c.tips(*_TIPS), _LIMIT)),
+    "dead_ends_hand_graph": _on("tips", lambda c: _ends(c.tips(*_HAND_TIPS, 8), 4)),
+    "tips_fixpoint": _on("base", lambda c: f"SELECT {_E} FROM edges{c.tips(*_TIPS).i}"),
+    "bubbles_fixpoint": _on("haplotypes", lambda c: f"SELECT {_E} FROM edges{c.bubbles(10, 4).i}"),
+    "cleaned_graph": _on("haplotypes", lambda c: f"SELECT {_E} FROM edges{_all(c)[-1][1]}"),
+    "cleaning_audit": _on("haplotypes", lambda c: " UNION ALL ".join(f"SELECT '{name}' AS stage, read_id FROM alive{a} WHERE read_id NOT IN (SELECT read_id FROM alive{b})" for name, a, b in _spans(c))),
+    "contigs": _on("base", _contig_select),
+    "contig_stats": _on("base", lambda c: f"SELECT count(*) AS n_contigs, CAST(coalesce(sum(length), 0) AS BIGINT) AS total_length, coalesce(max(length), 0) AS longest FROM ({_contig_select(c)})"),
+    "contig_reads": _on("base", lambda c: f"SELECT contig_id, place, cur AS read_id, CAST(cur_s AS BIGINT) AS strand FROM {c.spelled(0, None)} JOIN run USING (start, start_s)"),
+    "fasta_record_count": _with(RAW_SQL, "SELECT count(*) AS n_records FROM raw"),
+    "fasta_reads": _with(RAW_SQL, "SELECT file_ord, 'read ' || file_ord AS header, seq FROM raw"),
+    "fasta_to_contigs": _on("base", _contig_select),
+    "fasta_contig_lines": _on("base", lambda c: f"SELECT unnest(['>contig ' || contig_id, seq]) AS value FROM {c.spelled(0, None)}"),
+    "overlap_dump": _with(_EDGES, """SELECT read_id, olp_b, olp_f, coalesce(d, -1) AS d, coalesce(k, -1) AS k, CASE WHEN ns IS NULL THEN '' WHEN ns = 0 AND ds = 0 THEN 'FB' WHEN ns = 0 THEN 'FF' WHEN ds = 0 THEN 'BB' ELSE 'BF' END AS type
+FROM (SELECT read_id, count(n) FILTER (ns = 1) AS olp_b, count(n) FILTER (ns = 0) AS olp_f FROM reads LEFT JOIN cands ON n = read_id GROUP BY read_id) LEFT JOIN edges ON n = read_id"""),
+    "bwt": _with(_KEPT, _BWT + "SELECT rank, symbol FROM b"),
+    "occ_table": _with(_KEPT, _BWT + "SELECT block, base, CAST((SELECT count(*) FROM b WHERE symbol = base AND rank < block * 4096) AS BIGINT) AS n_before FROM (SELECT DISTINCT rank // 4096 AS block FROM b), (VALUES ('A'), ('C'), ('G'), ('T')) v(base)"),
+    "missing_mirror_cut": _with(_EDGES, f"SELECT {_E} FROM edges e WHERE NOT (n % 97 = 3 AND ns = 0) AND EXISTS (SELECT 1 FROM edges m WHERE m.n = e.d AND m.ns = 1 - e.ds AND m.d = e.n AND m.ds = 1 - e.ns AND m.k = e.k AND m.n % 97 = 3 AND m.ns = 0)"),
     "branch_split": _with(_SPLIT, "SELECT n AS read_id, max(e) FILTER (ns = 1) AS b_end, max(e) FILTER (ns = 0) AS f_end FROM ends GROUP BY n"),
     "unitigs": _with(_UNITIGS, "SELECT seq, length FROM unitigs"),
     "unitig_stats": _with(_UNITIGS, "SELECT count(*) AS n_contigs, CAST(coalesce(sum(length), 0) AS BIGINT) AS total_length, coalesce(max(length), 0) AS longest FROM unitigs"),

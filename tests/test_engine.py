@@ -103,19 +103,74 @@ def test_tip_goes(spark):
     assert {(r.d, r.type) for r in p.collect()} >= {(50, "TIP")}
 
 
+def test_tails_of_removed_tips(spark):
+    # 60 and 61 go from 51, whose branch from 5 then counts as two bases longer and stays.
+    g = _hand(spark, [*chain(*range(20)), (5, 0, 50, 0, 8), (50, 0, 51, 0, 8), (51, 0, 60, 0, 8), (51, 0, 61, 0, 8)])
+    out = clean.remove_tips(g, 3, [1, 2, 3])
+    assert {r.n for r in out.edges.collect()} == {*range(20), 50, 51}
+    assert {(r.n, r.ns): (r.tail_nodes, r.tail_bp) for r in out.tails.collect()} == {(51, 0): (1, 2)}
+
+
+def test_long_tips_leave_the_race(spark):
+    # The tip of 20 bases is over a read long when it is first seen, so a later, greater length does not remove it.
+    g = _hand(spark, [*chain(*range(40)), (9, 0, 50, 0, 5), *chain(50, 51, 52, 53, 54, k=5)])
+    assert {r.n for r in clean.remove_tips(g, 40, [1, 3, 5, 7]).edges.collect()} >= {50, 54}
+    assert not {r.n for r in clean.remove_tips(g, 40, [5, 7]).edges.collect()} & {50, 54}
+
+
+def test_dead_ends_that_branch(spark):
+    g = _hand(spark, [*chain(0, 1, 2, 3, 4, 5, 6), *chain(0, 11, 12, 13, 14, 15, 16)])
+    gone, offsets = clean.dead_end_walk(g, 4)
+    assert {r.read_id for r in gone.collect()} == {0, 1, 5, 6, 11, 15, 16}
+    assert {tuple(r) for r in offsets.collect()} == {(2, 1, 6), (12, 1, 6), (4, 0, 6), (14, 0, 6)}
+    gone, offsets = clean.dead_end_walk(g, 1)
+    assert gone.count() == 0 and {tuple(r) for r in offsets.collect()} == {(0, 1, 10), (6, 0, 10), (16, 0, 10)}
+
+
 def test_bubble_arms(spark):
-    g = _hand(spark, [*chain(0, 1, 2), *chain(2, 10, 3, k=9), *chain(2, *range(20, 34), 3), *chain(3, 4, 5)])
+    g = _hand(spark, [*chain(0, 1, 2), *chain(2, 10, 3, k=5), *chain(2, *range(20, 34), 3), *chain(3, 4, 5)])
     p = paths.paths(g.nodes, g.edges, 10)
     assert {(r.n, r.d, r.type) for r in p.where("n in (2, 3) and d in (10, 20, 33)").collect()} == {(2, 10, "BUBBLE"), (2, 20, "BUBBLE"), (3, 10, "BUBBLE"), (3, 33, "BUBBLE")}
     assert {(r.d, r.sib_d) for r in clean.bubble_siblings(p, 10).collect()} == {(10, 20), (10, 33)}
-    kept = {r.n for r in clean.remove_bubbles(g, 10, keep_best_arm=True).edges.collect()}
-    assert 10 in kept or 20 in kept
+    judged = {(r.d, r.thin, r.longer_sibling, r.removed) for r in clean.judged_bubbles(g, p, 10).collect()}
+    assert judged == {(10, True, True, True), (20, False, False, False), (33, False, False, False)}
+    for best in (False, True):
+        assert {r.n for r in clean.remove_bubbles(g, 10, keep_best_arm=best).edges.collect()} == {*range(6), *range(20, 34)}
+
+
+def test_bloom_dedup_is_that_of_a_filter_filled_in_order(spark):
+    mask = (1 << 32) - 1
+    folds = [lambda h, c: h ^ ((h << 5) + (h >> 2) + c) & mask, lambda h, c: (c + (h << 6) + (h << 16) - h) & mask, lambda h, c: h + c, lambda h, c: h ^ c, lambda h, c: (33 * h + c) & mask]
+    seqs = [_genome(10, seed=i % 350) for i in range(400)]
+    table = spark.createDataFrame(list(enumerate(seqs)), "file_ord long, seq string")
+
+    def places(s, n):
+        for f in folds[:n]:
+            h = 0
+            for b in s:
+                h = f(h, "ACGT".index(b) + 1)
+            yield h % (6 * len(seqs))
+
+    for n in (2, 5):
+        bits, kept = set(), []
+        for i, s in enumerate(seqs):
+            if not (set(places(s, n)) <= bits or set(places(turned(s), n)) <= bits):
+                bits |= set(places(s, n))
+                kept.append(i)
+        assert sorted(r.file_ord for r in reads.dedup_bloom(table, 6, n).collect()) == kept
+        assert len(kept) < 350
 
 
 def test_bridge(spark):
-    g = _hand(spark, [*chain(0, 1, 2), *chain(10, 11, 12), (1, 0, 99, 0, 8), (99, 0, 11, 0, 8), (99, 0, 12, 0, 8)], suspect={99})
-    p = paths.paths(g.nodes, g.edges, 10)
-    assert {r.read_id for r in clean.bridges(g.nodes, p).collect()} <= {99}
+    edges = [*chain(0, 1, 2, 3), *chain(10, 11, 12, 13), (1, 0, 99, 0, 7), (99, 0, 12, 0, 7), (99, 0, 13, 0, 7)]
+    g = _hand(spark, edges, suspect={99})
+    assert [r.read_id for r in clean.bridges(g.nodes, paths.paths(g.nodes, g.edges, 10)).collect()] == []  # it has a tip at 13
+    more = [*edges, *chain(13, 14, 15), *chain(3, 4)]
+    g = _hand(spark, more, suspect={99})
+    assert [r.read_id for r in clean.bridges(g.nodes, paths.paths(g.nodes, g.edges, 10)).collect()] == [99]
+    assert {r.n for r in clean.remove_bridges(g).edges.collect()} == {*range(5), *range(10, 16)}
+    g = _hand(spark, more)
+    assert clean.bridges(g.nodes, paths.paths(g.nodes, g.edges, 10)).count() == 0
 
 
 def test_ring_has_no_path_and_no_contig(spark):
@@ -149,7 +204,8 @@ def test_error_free_genome_comes_back(spark, shuffle):
 
 def test_config():
     c = AssemblyConfig(50, 31)
-    assert (c.tip_limit, c.contig_limit, c.tip_schedule[:3]) == (100, 100, [1, 6, 11])
+    assert (c.tip_limit, c.contig_limit, c.tip_schedule) == (100, 100, [*range(1, 100, 5), 100])
+    assert AssemblyConfig(50, 31, max_tiplen=9, num_iters=2).tip_schedule == [1, 5, 9]
     with pytest.raises(ValueError):
         AssemblyConfig(50, 9)
     with pytest.warns(UserWarning):
@@ -201,7 +257,9 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["-l", "50", "-t", "31", "--singlereads", _fasta(tmp_path, text), "--out", out, "--keep-dead-ends", "--dump", dump]) == 0
     lines = [r.value for r in spark.read.text(out).collect()]
     assert lines[0] == ">contig 0" and lines[1] in (genome[: len(lines[1])], turned(genome)[: len(lines[1])])
-    assert spark.read.parquet(f"{dump}/reads").count() == 117
+    assert spark.read.parquet(f"{dump}/reads").count() == 117 == spark.read.parquet(f"{dump}/counts").count()
+    assert spark.read.parquet(f"{dump}/overlaps").count() >= 232 and spark.read.parquet(f"{dump}/audit").columns == ["stage", "read_id"]
+    assert [r.place for r in spark.read.parquet(f"{dump}/members").orderBy("contig_id", "place").collect()] == list(range(117))
     assert "contigs: 1," in capsys.readouterr().out
     for wrong in (["-l", "50", "-t", "9", "--singlereads", "x"], ["-l", "50", "--singlereads", "x"], ["-l", "50", "-t", "31", "--singlereads", "x", "more"]):
         with pytest.raises(SystemExit):
