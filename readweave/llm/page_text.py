@@ -1,10 +1,12 @@
 """HTML extraction: page structure, and a suffix array of each host for what structure leaves open.
 
 Markup is read first: elements that are chrome by name or class are dropped, and article (or main) elements declare main
-text.  All text of the pages of a host forms token streams.  Suffixes of the concatenated streams are sorted to the
-depth of a long substring; a substring that distinct pages share is boilerplate, and blocks that such substrings cover
-are removed.  Structure guards two cases by size: declared text of which half or more would go is an article that
-recurs and stays whole, and text outside it counts only where it is longer than the declared text or none is declared.
+text.  What is left open, and short blocks inside declared text, are the token streams of a host's pages.  Their
+suffixes are sorted to the depth of a long substring, host by host, a large host in parts by the suffixes' first tokens;
+suffixes that agree to that depth are a substring that pages share.  Blocks that shared substrings cover are removed: open
+ones if two pages share them, declared ones if they recur on three pages and half of the host's, so that what one article
+quotes from another stays.  Structure guards two cases by size: declared text of which half or more would go is an article
+that recurs and stays whole, and text outside it counts only where it is longer than the declared text or none is declared.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
-from .words import U64, Words, hash_ranges, mix, tidied
+from .words import U64, Words, mix, sums_by_place, tidied
 
 _PIECE = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -42,6 +44,12 @@ _CHROME_NAMES = frozenset(
 )
 #: Tokens from which a shared substring counts as long.
 LONG = 8
+#: Words up to which a block of declared text can be boilerplate.
+NOTICE = 60
+#: Tokens of a host that one task sorts; beyond, its suffixes are dealt out by their first tokens.
+HOST_TOKENS = 2_000_000
+#: Bytes of shared places up to which they are broadcast to the pages; beyond, Spark shuffles both.
+BROADCAST_BYTES = 32 << 20
 
 
 def _is_chrome(name: str, attributes: str, in_article: bool) -> bool:
@@ -136,110 +144,203 @@ def suffix_classes(tokens: np.ndarray, stop: np.ndarray, depth: int) -> tuple[np
     return np.argsort(rank, kind="stable"), rank
 
 
-_PAGE = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("print", pa.int64()), ("blocks", pa.list_(pa.struct([("text", pa.string()), ("first", pa.int32()), ("n", pa.int32()), ("state", pa.int32())]))), ("keys", pa.list_(pa.int64())), ("heads", pa.list_(pa.int64()))])
+def _layout(blocks: list[tuple[str, int]]) -> list[tuple[int, int, int]]:
+    """(block, words, run) of the blocks in the stream; a run ends where the state changes or a block is left out."""
+    out: list[tuple[int, int, int]] = []
+    run, before = -1, None
+    for i, (text, state) in enumerate(blocks):
+        n = text.count(" ") + 1
+        if state == 1 or (state == 2 and n <= NOTICE):
+            run += state != before
+            before = state
+            out.append((i, n, run))
+        else:
+            before = None
+    return out
 
 
-def _hash_text(values: list[str]) -> np.ndarray:
-    """A hash of each whole string."""
-    raw = [v.encode() for v in values]
-    ends = np.cumsum([len(v) for v in raw])
-    return hash_ranges(np.frombuffer(b"".join(raw), np.uint8), ends - [len(v) for v in raw], ends)
+def _ends(lengths: np.ndarray) -> np.ndarray:
+    """For each token of runs of these lengths, where its run ends."""
+    return np.repeat(np.cumsum(lengths), lengths)
 
 
-def _stream(blocks: list[tuple[str, int]], mark: int) -> list[tuple[str, int]]:
-    """All blocks; where chrome, open and declared text meet, a token of the page's own keeps substrings from running
-    from one into the other."""
-    out: list[tuple[str, int]] = []
-    for text, state in blocks:
-        if out and out[-1][1] != state:
-            out.append((f"\x01{mark}", 0))
-        out.append((text, state))
-    return out
+_STREAM = pa.schema([("host", pa.string()), ("mark", pa.int64()), ("mark2", pa.int64()), ("print", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("runs", pa.binary())])
+
+
+def _streams(batches):
+    """Per page: a print of its text, tokens as 32 bits each, and lengths of runs."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, 256):
+            rows = batch.slice(low, 256).to_pylist()
+            parsed = [blocks_of(r["html"] or "") for r in rows]
+            laid = [_layout(p) for p in parsed]
+            words = Words(pa.array([" ".join(p[i][0] for i, _, _ in lay) for p, lay in zip(parsed, laid, strict=True)], pa.string()))
+            whole = Words(pa.array([" ".join(b[0] for b in p) for p in parsed], pa.string()))
+            prints = sums_by_place(whole.hash, whole.count).view(np.int64)
+            out = []
+            for k, r in enumerate(rows):
+                tokens = words.hash[words.first[k] : words.first[k + 1]].astype(np.uint32)
+                runs = np.zeros((laid[k][-1][2] + 1) if laid[k] else 0, np.uint32)
+                for _, n, run in laid[k]:
+                    runs[run] += n
+                out.append((r["host"], r["mark"], r["mark2"], int(prints[k]), len(tokens), tokens.tobytes(), runs.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], f.type) for i, f in enumerate(_STREAM)], schema=_STREAM)
 
 
-def _parse(depth: int):
-    host_of = re.compile(r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", re.I)
+_DEALT = pa.schema([("host", pa.string()), ("part", pa.int64()), ("pages", pa.int64()), ("mark", pa.int64()), ("mark2", pa.int64()), ("print", pa.int64()), ("tokens", pa.binary()), ("runs", pa.binary()), ("at", pa.binary())])
+
+
+def _windows(tokens: np.ndarray, stop: np.ndarray, depth: int) -> np.ndarray:
+    """The first `depth` tokens of each suffix, and how many it has."""
+    at = np.arange(len(tokens))[:, None] + np.arange(depth)
+    inside = at < stop[:, None]
+    out = np.where(inside, tokens[np.minimum(at, max(0, len(tokens) - 1))], 0) if len(tokens) else np.zeros((0, depth), np.uint32)
+    return np.concatenate([out, inside.sum(1, keepdims=True)], axis=1).astype(np.uint32)
+
+
+def _parts(depth: int):
+    """Pages of a large host become rows of suffixes, dealt by their first tokens; others pass as they are."""
 
     def run(batches):
         for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                rows = batch.slice(low, 256).to_pylist()
-                parsed = [blocks_of(r["html"] or "") for r in rows]
-                hosts = [(host_of.match(r["url"] or "") or ["", ""])[1].lower() for r in rows]
-                prints = _hash_text(["\n".join([h, *(b[0] for b in p)]) for h, p in zip(hosts, parsed, strict=True)])
-                streams = [_stream(p, int(x)) for p, x in zip(parsed, prints, strict=True)]
-                words = Words(pa.array([" ".join(b[0] for b in s) for s in streams], pa.string()))
-                place = words.first[words.doc + 1] if len(words.hash) else np.zeros(0, np.int64)
-                salt = _hash_text(hosts)
-                order, cls = suffix_classes(words.hash ^ salt[words.doc], place, depth) if len(words.hash) else (np.zeros(0, int),) * 2
-                start, key = words.windows(depth, short=True)
-                key = mix(key ^ salt[words.doc[start]])
-                # Neighbours in the suffix array that share their first tokens: one of each class and page speaks for it.
-                place_of = np.full(len(words.hash), -1)
-                place_of[start] = np.arange(len(start))
-                listed = order[place_of[order] >= 0]
-                new = np.ones(len(listed), bool)
-                new[1:] = (cls[listed][1:] != cls[listed][:-1]) | (words.doc[listed][1:] != words.doc[listed][:-1])
-                heads: list[list[int]] = [[] for _ in rows]
-                keys = key.view(np.int64)
-                for i in listed[new].tolist():
-                    heads[words.doc[i]].append(int(keys[place_of[i]]))
+            for r in batch.to_pylist():
                 out = []
-                bounds = np.searchsorted(words.doc[start], np.arange(len(rows) + 1))
-                for k, r in enumerate(rows):
-                    blocks, at = [], 0
-                    for text, state in streams[k]:
-                        n = len(re.findall(r"[^\x20\x09-\x0D]+", text))
-                        if state:
-                            blocks.append({"text": text, "first": at, "n": n, "state": state})
-                        at += n
-                    own = keys[bounds[k] : bounds[k + 1]].tolist()
-                    # Heads are named only where they are fewer than the keys.
-                    out.append((r["page_id"], r["url"], int(prints[k].view(np.int64)), blocks, own, heads[k] if len(heads[k]) < len(own) else None))
-                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], f.type) for i, f in enumerate(_PAGE)], schema=_PAGE)
+                if r["parts"] is None:
+                    out.append((r["host"], 0, None, r["mark"], r["mark2"], r["print"], r["tokens"], r["runs"], None))
+                else:
+                    tokens, runs = np.frombuffer(r["tokens"], np.uint32), np.frombuffer(r["runs"], np.uint32).astype(np.int64)
+                    rows = _windows(tokens, _ends(runs), depth)
+                    dealt = mix(rows[:, 0].astype(U64) << U64(32) | rows[:, 1].astype(U64)) % U64(r["parts"])
+                    for part in np.unique(dealt).tolist():
+                        at = np.flatnonzero(dealt == part)
+                        out.append((r["host"], int(part), r["pages"], r["mark"], r["mark2"], r["print"], rows[at].tobytes(), r["runs"], at.astype(np.uint32).tobytes()))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], f.type) for i, f in enumerate(_DEALT)], schema=_DEALT)
 
     return run
 
 
-def page_text(pages: DataFrame, depth: int = LONG) -> DataFrame:
+_SHARED = pa.schema([("mark", pa.int64()), ("mark2", pa.int64()), ("part", pa.int64()), ("two", pa.binary()), ("common", pa.binary())])
+
+
+def _shared(depth: int):
+    """Sorts the suffixes of a host, or of a part of it: places of each page whose next `depth` tokens other pages share."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        tokens, stops, ats, starts, size = [], [], [], [], 0
+        for r in rows:
+            lengths = np.frombuffer(r["runs"], np.uint32).astype(np.int64)
+            begins = np.zeros(int(lengths.sum()) + 1, bool)
+            begins[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
+            at = np.arange(int(lengths.sum())) if r["at"] is None else np.frombuffer(r["at"], np.uint32).astype(np.int64)
+            starts.append(begins[at])
+            ats.append(at)
+            if r["at"] is None:
+                tokens.append(np.frombuffer(r["tokens"], np.uint32))
+                stops.append(_ends(lengths) + size)
+                size += len(at)
+            else:
+                tokens.append(np.frombuffer(r["tokens"], np.uint32).reshape(-1, depth + 1))
+        out = []
+        if sum(map(len, ats)):
+            if rows[0]["at"] is None:
+                flat, stop = np.concatenate(tokens), np.concatenate(stops)
+                cls = suffix_classes(flat, stop, depth)[1]
+                full = stop - np.arange(len(flat)) >= depth
+            else:
+                flat = np.ascontiguousarray(np.concatenate(tokens))
+                cls = np.unique(flat.view(f"V{4 * (depth + 1)}").ravel(), return_inverse=True)[1]
+                full = flat[:, depth] == depth
+            page = np.repeat(np.arange(len(rows)), [len(a) for a in ats])
+            prints = np.unique(np.array([r["print"] for r in rows]), return_inverse=True)[1]
+            # A run of fewer tokens counts as a whole.
+            listed = np.flatnonzero(full | np.concatenate(starts))
+            pairs = np.unique(np.stack([cls[listed], prints[page[listed]]], 1), axis=0)
+            many = np.bincount(pairs[:, 0], minlength=int(cls.max()) + 1)
+            pages = int(prints.max()) + 1 if rows[0]["pages"] is None else rows[0]["pages"]
+            places = np.concatenate(ats)
+            held = listed[many[cls[listed]] > 1]
+            of = page[held]
+            for k in np.unique(of).tolist():
+                own = held[of == k] if len(rows) < 64 else held[np.searchsorted(of, k) : np.searchsorted(of, k, "right")]
+                often = many[cls[own]]
+                common = own[(often >= 3) & (2 * often >= pages)]
+                r = rows[k]
+                out.append((r["mark"], r["mark2"], r["part"], places[own].astype(np.uint32).tobytes(), places[common].astype(np.uint32).tobytes()))
+        return pa.Table.from_arrays([pa.array([o[i] for o in out], f.type) for i, f in enumerate(_SHARED)], schema=_SHARED)
+
+    return run
+
+
+_HOST = r"(?i)^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
+
+
+def page_text(pages: DataFrame, depth: int = LONG, host_tokens: int = HOST_TOKENS) -> DataFrame:
     """One row per page: page_id, url, text (main text; blocks joined by newlines), n_chars.
 
-    White space inside a block becomes one space.  Null and empty html give an empty text; a null url is a host of
-    its own kind.  Pages of a host with equal text count as one page when shared substrings are sought, so a page that was
-    fetched twice keeps its text.  Repeated rows give repeated rows; other columns are not read.
+    White space inside a block becomes one space.  Null and empty html give an empty text; pages without a url, or
+    with one that names no host, make one host.  Pages of equal text count as one page when shared substrings are sought,
+    so a page that was fetched twice keeps its text.  Repeated rows give repeated rows; other columns are not read.
+    Pages are read twice, so that only tokens and shared places are moved.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    schema = "page_id long, url string, print long, blocks array<struct<text:string,first:int,n:int,state:int>>, keys array<long>, heads array<long>"
-    parsed = written(pages.mapInArrow(tidied(_parse(depth)), schema))
-    # Substrings that pages of different text share.
-    heads = parsed.select("print", F.explode(F.coalesce("heads", "keys")).alias("key")).groupBy("key").agg(F.min("print").alias("a"), F.max("print").alias("b")).where("a <> b").select("key")
-    # Pages of one print have the same blocks and keys; each place counts once.
-    shared = parsed.select("print", F.posexplode("keys").alias("at", "key")).join(heads, "key", "left_semi")
-    shared = shared.groupBy("print").agg(F.collect_set("at").alias("shared"))
-    both = parsed.select("page_id", "url", "print", "blocks").join(shared, "print", "left").withColumn("shared", F.coalesce("shared", F.array().cast("array<int>")))
-    both = both.select("page_id", "url", "blocks", "shared").mapInArrow(_unique(depth), "page_id long, url string, text string")
+    host = F.lower(F.coalesce(F.regexp_extract("url", _HOST, 1), F.lit("")))
+    html_ = F.coalesce("html", F.lit(""))
+    pages = pages.select("*", host.alias("host"), F.xxhash64(host, html_).alias("mark"), F.xxhash64(F.lit("other"), host, html_).alias("mark2"))
+    streams = written(pages.select("host", "mark", "mark2", "html").mapInArrow(tidied(_streams), "host string, mark long, mark2 long, print long, n long, tokens binary, runs binary").where("n > 0"))
+    large = streams.groupBy("host").agg(F.sum("n").alias("all")).where(F.col("all") > host_tokens)
+    # At most one host for every host_tokens tokens.
+    large = streams.join(F.broadcast(large), "host").groupBy("host", "all").agg(F.countDistinct("print").alias("pages")).select("host", "pages", F.ceil(F.col("all") / host_tokens).alias("parts"))
+    dealt = streams.join(F.broadcast(written(large)), "host", "left").mapInArrow(tidied(_parts(depth)), "host string, part long, pages long, mark long, mark2 long, print long, tokens binary, runs binary, at binary")
+    found = dealt.groupBy("host", "part").applyInArrow(_shared(depth), "mark long, mark2 long, part long, two binary, common binary")
+    found = found.groupBy("mark", "mark2", "part").agg(F.first("two").alias("two"), F.first("common").alias("common")).groupBy("mark", "mark2")
+    found = written(found.agg(F.collect_list("two").alias("two"), F.collect_list("common").alias("common")))
+    size = found.agg(F.sum(F.aggregate(F.concat("two", "common"), F.lit(64), lambda a, b: a + F.octet_length(b)))).first()[0] or 0
+    both = pages.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, ["mark", "mark2"], "left")
+    both = both.select("page_id", "url", "html", "two", "common").mapInArrow(tidied(_unique(depth)), "page_id long, url string, text string")
     return both.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def decided(blocks: list[tuple[str, int]], two: np.ndarray, common: np.ndarray, depth: int) -> list[bool]:
+    """Which blocks shared substrings remove, given the stream's places where those of two pages, and common ones, start."""
+    laid = _layout(blocks)
+    lengths = np.array([n for _, n, _ in laid], np.int64)
+    total, gone = int(lengths.sum()), [False] * len(blocks)
+    if not len(two):
+        return gone
+    runs = np.array([run for _, _, run in laid])
+    stop = _ends(np.bincount(runs, weights=lengths).astype(np.int64))
+    covered = []
+    for at in (two, common):
+        edge = np.zeros(total + 1, np.int64)
+        np.add.at(edge, at, 1)
+        np.add.at(edge, np.minimum(at + depth, stop[at]) if len(at) else at, -1)
+        covered.append(np.cumsum(edge[:-1]) > 0)
+    first = 0
+    for i, n, _ in laid:
+        gone[i] = bool(covered[blocks[i][1] == 2][first : first + n].all())
+        first += n
+    return gone
+
+
+def main_text(blocks: list[tuple[str, int]], gone: list[bool]) -> str:
+    words = lambda state, out: sum(b[0].count(" ") + 1 for b, g in zip(blocks, gone, strict=True) if b[1] == state and g == out)
+    if 2 * words(2, True) >= words(2, True) + words(2, False):
+        gone = [g and b[1] != 2 for b, g in zip(blocks, gone, strict=True)]
+    least = 1 if words(1, False) > words(2, False) else 2
+    return "\n".join(b[0] for b, g in zip(blocks, gone, strict=True) if b[1] >= least and not g)
+
+
 def _unique(depth: int):
     def run(batches):
+        joined = lambda parts: np.frombuffer(b"".join(parts or []), np.uint32).astype(np.int64)
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                n = max((b["first"] + b["n"] for b in r["blocks"]), default=0)
-                edge = np.zeros(n + 1, np.int64)
-                for at in r["shared"]:
-                    if at < n:
-                        edge[at] += 1
-                        edge[min(at + depth, n)] -= 1
-                covered = np.cumsum(edge[:-1]) > 0
-                gone = [bool(covered[b["first"] : b["first"] + b["n"]].all()) for b in r["blocks"]]
-                words = lambda state, out: sum(b["n"] for b, g in zip(r["blocks"], gone, strict=True) if b["state"] == state and g == out)  # noqa: B023, E731
-                if 2 * words(2, True) >= words(2, True) + words(2, False):
-                    gone = [g and b["state"] != 2 for b, g in zip(r["blocks"], gone, strict=True)]
-                least = 1 if words(1, False) > words(2, False) else 2
-                kept = [b["text"] for b, g in zip(r["blocks"], gone, strict=True) if b["state"] >= least and not g]
-                out.append((r["page_id"], r["url"], "\n".join(kept)))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=["page_id", "url", "text"])
+            for low in range(0, batch.num_rows, 256):
+                out = []
+                for r in batch.slice(low, 256).to_pylist():
+                    blocks = blocks_of(r["html"] or "")
+                    out.append((r["page_id"], r["url"], main_text(blocks, decided(blocks, joined(r["two"]), joined(r["common"]), depth))))
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=["page_id", "url", "text"])
 
     return run

@@ -521,6 +521,70 @@ def test_importance_weights_match_direct_counts(spark):
     assert few[0] == few[1] != weight
 
 
+def _page_by_brute_force(pages):
+    """Texts from all windows of all pages of a host, counted in dictionaries."""
+    host = lambda u: (re.match(r"(?i)^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", u or "") or ["", ""])[1].lower()
+    parsed = [(i, host(u), page_text.blocks_of(h or "")) for i, u, h in pages]
+    seen, all_pages = collections.defaultdict(set), collections.defaultdict(set)
+
+    def windows(blocks):
+        runs, before = [], None
+        for k, (text, state) in enumerate(blocks):
+            words = text.split(" ")
+            if state == 1 or (state == 2 and len(words) <= page_text.NOTICE):
+                if state != before:
+                    runs.append([])
+                runs[-1] += [(w, k) for w in words]
+                before = state
+            else:
+                before = None
+        for run in runs:
+            for at in range(len(run)):
+                if at + 8 <= len(run) or at == 0:
+                    yield tuple(w for w, _ in run[at : at + 8]), [(id(run), p, k) for p, (_, k) in enumerate(run[at : at + 8], at)]
+
+    for _, h, blocks in parsed:
+        text = tuple(b[0] for b in blocks)
+        if any(True for _ in windows(blocks)):
+            all_pages[h].add(text)
+        for w, _ in windows(blocks):
+            seen[h, w].add(text)
+    out = {}
+    for i, h, blocks in parsed:
+        covered, often = set(), set()
+        for w, places in windows(blocks):
+            n = len(seen[h, w])
+            if n > 1:
+                covered |= {p[1:] for p in places}
+            if n >= 3 and 2 * n >= len(all_pages[h]):
+                often |= {p[1:] for p in places}
+        held = lambda k, cover: sum(1 for p in {q for q in cover if q[1] == k}) >= blocks[k][0].count(" ") + 1  # noqa: E731, B023
+        gone = [state > 0 and held(k, often if state == 2 else covered) for k, (_, state) in enumerate(blocks)]
+        out[i] = page_text.main_text(blocks, gone)
+    return out
+
+
+def test_page_text_matches_brute_force(spark):
+    rnd = random.Random(9)
+    lines = [" ".join(f"s{i}w{k}" for k in range(rnd.randint(2, 14))) for i in range(6)]
+    say = lambda: " ".join(f"u{rnd.randint(0, 9999)}" for _ in range(rnd.randint(1, 25)))
+    pages = []
+    for i in range(120):
+        parts = [rnd.choice(lines) if rnd.random() < 0.35 else say() for _ in range(rnd.randint(0, 6))]
+        body = "".join(f"<p>{p}</p>" for p in parts)
+        kind = rnd.random()
+        html = f"<body><nav>m</nav>{body}</body>" if kind < 0.4 else f"<body><div>{rnd.choice(lines)}</div><article>{body}</article></body>" if kind < 0.9 else f"<body>{body}<article><p>{say()}</article></body>"
+        pages.append((i, f"http://h{rnd.randint(0, 9)}.example/{i}" if i % 11 else None, html))
+    pages += [(200, pages[5][1], pages[5][2]), (201, "http://h1.example/", None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    want = _page_by_brute_force(pages)
+    plain = {i: page_text.main_text(b, [False] * len(b)) for i, _, h in pages for b in [page_text.blocks_of(h or "")]}
+    assert sum(want[i] != plain[i] for i in want) > 20
+    assert {r.page_id: r.text for r in page_text.page_text(df).collect()} == want
+    # Hosts dealt in parts by the suffixes' first tokens give the same texts.
+    assert {r.page_id: r.text for r in page_text.page_text(df, host_tokens=40).collect()} == want
+
+
 def test_shared_substrings_decide_beside_declared_text(spark):
     notice = "Please support our newsroom with a small gift today"
     say = lambda i: " ".join(f"p{i}x{k}" for k in range(30))
