@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
-from .words import hash_ranges, slices, tidied
+from .words import prefix_hash, slices, tidied
 
 _MAGIC, _HEAD = b"WVM2", "<4sBQQQ"
 #: Ids in a shard, but for a longer document; bounds the memory of a task.
@@ -62,8 +62,9 @@ class WaveletMatrix:
         table, frames = [], []
         for k in range(bits - 1, -1, -1):
             ones = (row & kind(1 << k)).astype(bool)
-            counts = np.add.reduceat(ones, np.arange(0, len(row), _BLOCK), dtype=np.int64) if len(row) else np.zeros(0, np.int64)
-            plane = np.packbits(ones, bitorder="little").tobytes()
+            plane = np.packbits(ones, bitorder="little")
+            counts = np.add.reduceat(np.bitwise_count(plane), np.arange(0, len(plane), _BLOCK // 8), dtype=np.int64) if len(row) else np.zeros(0, np.int64)
+            plane = plane.tobytes()
             frames += [pack(plane[i : i + _BLOCK // 8]) for i in range(0, len(plane), _BLOCK // 8)]
             table.append(np.concatenate([[len(row) - counts.sum()], np.cumsum(counts) - counts]))
             row = np.concatenate([row.take(np.flatnonzero(~ones)), row.take(np.flatnonzero(ones))])
@@ -321,7 +322,8 @@ class SegmentEncoder:
         cut[edges] = True
         start = np.flatnonzero(cut)
         end = np.append(start[1:], len(data))
-        code = pd.factorize(hash_ranges(data, start, end))[0]
+        # Bytes are compared after it, so a plain polynomial hash will do.
+        code = pd.factorize(prefix_hash(data, start, end))[0]
         code, first = self._same(data, start, end, code)
         raw = data.tobytes()
         known, segments = self.known, [raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
@@ -349,9 +351,10 @@ class SegmentEncoder:
         first = np.empty(int(code.max()) + 1, np.int64)
         first[code[::-1]] = np.arange(len(code))[::-1]
         length, like = end - start, first[code]
-        other = np.arange(len(data)) + np.repeat(start[like] - start, length)
         unlike = length != length[like]
-        differs = data != data[np.minimum(other, len(data) - 1, out=other)]
+        other = np.repeat((start[like] - start).astype(np.int32 if len(data) < 1 << 31 else np.int64), length)
+        other += np.arange(len(data), dtype=other.dtype)
+        differs = data != data.take(other, mode="clip")
         if differs.any():
             unlike |= np.logical_or.reduceat(differs, start)
         if unlike.any():
