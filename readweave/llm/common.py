@@ -61,15 +61,21 @@ def fixed(df: DataFrame) -> DataFrame:
     return df.select(F.explode(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).alias("_row")).select("_row.*")
 
 
+def _stars(pairs: DataFrame) -> bool:
+    """Whether the distinct pairs (u, v), v below u, are stars: no u has two v or is the v of another."""
+    ends = pairs.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(pairs.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1 and up > 0").isEmpty()
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root): root is the least node that pairs (a, b) connect with node.
 
-    Alternating large-star and small-star rounds, each a pair of aggregations on node keys, until no
-    pair changes; every round is a written table.  Nothing is gathered by the driver but a row of sums.
+    Alternating large-star and small-star rounds, each a pair of aggregations on node keys, until the
+    pairs are stars, which a further round would leave as they are; every round is a written table.
+    Nothing is gathered by the driver but whether a node is left that is not settled.
     """
     pairs = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    before = None
-    while True:
+    while not _stars(pairs):
         # The least neighbours are written, so that the joins with them stand alone and Spark may split a hub's rows.
         both = pairs.union(pairs.select("v", "u"))
         least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
@@ -77,9 +83,5 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         small_min = written(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(small_min, "u")
         pairs = written(small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select("v", "m")).distinct())
-        now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
     rooted = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return rooted.union(rooted.select("root", "root").distinct())

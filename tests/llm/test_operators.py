@@ -596,3 +596,21 @@ def test_shared_substrings_decide_beside_declared_text(spark):
     found = page_text.page_text(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()
     want = {i: say(i) for i in (0, 1, 2, 30, 31, 40)} | {10: say(99), 11: say(99), 20: say(20) + "\nSmall card", 41: say(40)}
     assert {r.page_id: r.text for r in found} == want
+
+
+def test_components(spark):
+    from readweave.llm.common import components
+
+    rng = random.Random(5)
+    loose = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)]
+    chain = [(1000 + i, 1001 + i) for i in range(60)]
+    ring = [(2000 + i, 2000 + (i + 1) % 40) for i in range(40)]
+    stars = [(3000, 3000 + i) for i in range(1, 30)] + [(3500 + i, 3600) for i in range(30)]
+    for pairs in (loose + chain + ring + stars, [(1, 2), (2, 1), (3, 3), (1, 4)], []):
+        root = {x: x for pair in pairs for x in pair if pair[0] != pair[1]}
+        for _ in root:
+            for a, b in pairs:
+                if a != b:
+                    root[a] = root[b] = min(root[a], root[b])
+        found = [tuple(r) for r in components(spark.createDataFrame(pairs, "a long, b long"), "a", "b").collect()]
+        assert len(found) == len(root) and dict(found) == root
