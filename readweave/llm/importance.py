@@ -56,13 +56,19 @@ def _sum(batches):
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["chunk", "counts"])
 
 
+def judged(labels: DataFrame) -> DataFrame:
+    """_id, good of each labelled doc_id: whether all its labels have quality 1 and toxic 0; a null mark is none."""
+    each = labels.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min(F.coalesce("quality", F.lit(0))).alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("x"))
+    return each.where("_id is not null").select("_id", F.expr("q = 1 and x = 0").alias("good"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR, most_labels: int = MOST_LABELS) -> np.ndarray:
     """Log target - log raw of each bucket: raw counts of all documents, target counts of the good ones.
 
     Good: every label of the doc_id has quality 1 and toxic 0; of more than `most_labels` good ids those of least hash are
     taken.  Texts are read where they lie; only the model, `buckets` numbers, reaches the driver.
     """
-    good = labels.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min(F.coalesce("quality", F.lit(0))).alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("x")).where("q = 1 and x = 0 and _id is not null").select("_id")
+    good = judged(labels).where("good").select("_id")
     good = F.broadcast(good.orderBy(F.xxhash64("_id"), "_id").limit(most_labels))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marked = docs.join(good, docs.doc_id == good._id, "left").select("text", F.col("_id").isNotNull().alias("good"))
@@ -117,8 +123,8 @@ def kth_largest(values: DataFrame, column: str, k: int, bins: int = 4096) -> flo
 def importance_resample(docs: DataFrame, labels: DataFrame, share: float | None = None, buckets: int = BUCKETS, prior: float = PRIOR, seed: int = 9) -> DataFrame:
     """One row per document: doc_id, n_words, log_weight, perturbed (with Gumbel noise), kept (among the k largest).
 
-    k is `share` of the rows with words, rounded; by default the share of quality 1 among labelled doc_ids.  Rows that
-    tie with the kth are kept too, so repeated rows share their fate.  Null and blank texts weigh nothing and are
+    k is `share` of the rows with words, rounded; by default the share of good ones, as `fit` takes them, among labelled
+    doc_ids.  Rows that tie with the kth are kept too, so repeated rows share their fate.  Null and blank texts weigh nothing and are
     never kept; without labels every text is kept.  The noise hangs on doc_id, text and seed only.
     """
     spark = docs.sparkSession
@@ -126,7 +132,7 @@ def importance_resample(docs: DataFrame, labels: DataFrame, share: float | None
     model = spark.sparkContext.broadcast(fit(docs, labels, buckets, prior))
     scored = written(docs.mapInArrow(tidied(_score(model, buckets, seed)), "doc_id long, n_words long, log_weight double, perturbed double"))
     if share is None:
-        share = labels.groupBy("doc_id").agg(F.min(F.coalesce("quality", F.lit(0))).alias("q")).agg(F.avg("q")).first()[0]
+        share = judged(labels).agg(F.avg(F.col("good").cast("int"))).first()[0]
         share = 1.0 if share is None else share
     some = scored.where("n_words > 0")
     least = kth_largest(some, "perturbed", round(share * some.count()))

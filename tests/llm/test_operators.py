@@ -360,6 +360,10 @@ def test_importance(spark):
     assert not found[900].kept and not found[901].kept and found[900].log_weight == 0
     assert all(r.kept for r in importance.importance_resample(df.where("doc_id < 9"), labels.limit(0)).collect())
     assert importance.importance_resample(df.limit(0), labels).count() == 0
+    # Without a share as many stay as labels are good: a toxic one is not, whatever its quality.
+    toxic = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(0, 400, 2)], "doc_id long, quality int, toxic int")
+    found = by_id(importance.importance_resample(df, toxic, prior=5.0))
+    assert sum(r.kept for r in found.values()) == 200 and sum(found[i].kept for i in range(0, 400, 4)) < 10
     values = spark.createDataFrame([(float(v),) for v in [3, 1, 2, 2, 5]], "v double")
     assert [importance.kth_largest(values, "v", k, bins=2) for k in (1, 2, 3, 4, 5)] == [5, 3, 2, 2, 1]
 
