@@ -18,7 +18,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/asm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def written(df: DataFrame, rows_in_file: int = 0) -> DataFrame:
+    """The same rows, from a table in the shared folder: cuts the lineage and survives lost executors."""
+    path = f"{shared_dir(df.sparkSession)}/readweave-{uuid.uuid4().hex}"
+    df.write.option("maxRecordsPerFile", rows_in_file).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `written` gave back and that nothing will read again."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._written_to)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

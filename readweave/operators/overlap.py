@@ -15,12 +15,13 @@ def candidates(oriented: DataFrame, read_len: int, min_overlap: int, heads_of: D
     may split where a seed is frequent; the rest of the overlap is a residual.  A read overlaps itself too.
     heads_of: other oriented reads to stand for d.
     """
-    last = read_len - min_overlap + 1
-    seeds = oriented.select(F.col("read_id").alias("n"), F.col("strand").alias("ns"), F.explode(F.transform(F.sequence(F.lit(2), F.lit(last)), lambda s: F.struct(F.substr("seq", s, F.lit(min_overlap)).alias("seed"), F.substr("seq", s).alias("suffix")))).alias("x"))
-    seeds = seeds.select("n", "ns", "x.seed", "x.suffix")
-    heads = (oriented if heads_of is None else heads_of).select(F.col("read_id").alias("d"), F.col("strand").alias("ds"), F.substring("seq", 1, min_overlap).alias("seed"), F.col("seq").alias("dseq"))
-    joined = seeds.join(heads, "seed").where(F.startswith("dseq", "suffix"))
-    return joined.select("n", "ns", "d", "ds", F.length("suffix").alias("k"), F.substr("dseq", F.length("suffix") + 1).alias("ext"))
+    # A row carries its seed and what follows it, not the whole suffix: the seed is in the key already.
+    last, after = read_len - min_overlap + 1, min_overlap + 1
+    places = F.explode(F.transform(F.sequence(F.lit(2), F.lit(last)), lambda s: F.struct(F.substr("seq", s, F.lit(min_overlap)).alias("seed"), F.substr("seq", s + min_overlap).alias("rest"))))
+    seeds = oriented.select(F.col("read_id").alias("n"), F.col("strand").alias("ns"), places.alias("x")).select("n", "ns", "x.seed", "x.rest")
+    heads = (oriented if heads_of is None else heads_of).select(F.col("read_id").alias("d"), F.col("strand").alias("ds"), F.substring("seq", 1, min_overlap).alias("seed"), F.substr("seq", F.lit(after)).alias("tail"))
+    joined = seeds.join(heads, "seed").where(F.startswith("tail", "rest"))
+    return joined.select("n", "ns", "d", "ds", (F.length("rest") + min_overlap).alias("k"), F.substr("tail", F.length("rest") + 1).alias("ext"))
 
 
 def overlaps_of_type(cands: DataFrame, name: str) -> DataFrame:

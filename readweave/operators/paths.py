@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.storage import written
+from ..functions.storage import discard, written
 from .graph import is_junction
 
 
@@ -25,7 +25,8 @@ def doubled(steps: DataFrame) -> DataFrame:
     while open_ and (open_ != before or (1 << rounds) <= open_):
         far = now.select(F.col("x").alias("y"), F.col("xs").alias("ys"), *[F.col(c).alias("f_" + c) for c in ("y", "ys", "steps", "bp", "pre", "pre_s", "last", "goes")])
         on = now.where("goes").join(far, ["y", "ys"]).select("x", "xs", F.col("f_y").alias("y"), F.col("f_ys").alias("ys"), (F.col("steps") + F.col("f_steps")).alias("steps"), (F.col("bp") + F.col("f_bp")).alias("bp"), F.col("f_pre").alias("pre"), F.col("f_pre_s").alias("pre_s"), F.col("f_last").alias("last"), F.col("f_goes").alias("goes"))
-        now = written(now.where("not goes").unionByName(on))
+        spent, now = now, written(now.where("not goes").unionByName(on))
+        discard(spent)
         before, open_ = open_, now.where("goes").count()
         rounds += 1
     return now.where("not goes").drop("goes")

@@ -51,7 +51,11 @@ def write_fasta(contigs: DataFrame, path: str) -> None:
 
 
 class FastaDataSource(DataSource):
-    """spark.read.format("fasta").option("path", file).option("readlen", n): local files, one partition per block of records."""
+    """spark.read.format("fasta").option("path", file).option("readlen", n): a file that every executor has at this path.
+
+    file_ord is the record's byte offset, which orders records without a count of the lines before.  A partition is a
+    range of bytes and reads the records that begin in it, so no task reads what another one does.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -71,24 +75,37 @@ class _Block(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    BLOCK = 100_000
-
     def __init__(self, options):
-        self.path, self.read_len = options["path"], int(options["readlen"])
+        self.path, self.read_len, self.block = options["path"], int(options["readlen"]), int(options.get("blockbytes", 64 << 20))
 
     def partitions(self):
-        with open(self.path) as f:
-            n = sum(1 for _ in f)
-        records = (n + 1) // 2
-        return [_Block(k, min(records, k + self.BLOCK)) for k in range(0, records, self.BLOCK)] or [_Block(0, 0)]
+        import os
+
+        size = os.path.getsize(self.path)
+        return [_Block(k, min(size, k + self.block)) for k in range(0, size, self.block)] or [_Block(0, 0)]
 
     def read(self, partition):
-        import itertools
-
-        with open(self.path) as f:
-            lines = itertools.islice(f, 2 * partition.start, 2 * partition.stop)
-            for at in range(partition.start, partition.stop):
-                header, seq = next(lines, "").rstrip("\r\n"), next(lines, "").rstrip("\r\n").upper()
-                if not header.startswith(">") or len(seq) != self.read_len or set(seq) - set("ACGTN"):
-                    raise FastaError(f"record {at} is malformed")
-                yield at, header[1:], seq
+        legal = set(b"ACGTN")
+        with open(self.path, "rb") as f:
+            at = partition.start
+            if at:
+                # What began before the range belongs to an earlier one: go on at the first line that begins in it.
+                f.seek(at - 1)
+                at += len(f.readline()) - 1
+                line = f.readline()
+                if not line.startswith(b">"):
+                    at, line = at + len(line), b""
+                    if at < partition.stop:
+                        line = f.readline()
+            else:
+                line = f.readline()
+            while line and at < partition.stop:
+                following = f.readline()
+                seq = following.rstrip(b"\r\n").upper()
+                if not line.startswith(b">") or len(seq) != self.read_len or set(seq) - legal:
+                    raise FastaError(f"the record at byte {at} is malformed")
+                yield at, line[1:].rstrip(b"\r\n").decode(), seq.decode()
+                at += len(line) + len(following)
+                line = f.readline()
+            if line and not line.startswith(b">"):
+                raise FastaError(f"the line at byte {at} belongs to no record")

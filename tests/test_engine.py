@@ -12,7 +12,7 @@ from readweave import AssemblyConfig, assemble, cli
 from readweave.functions.alphabet import canonical, rc
 from readweave.operators import clean, contigs, graph, overlap, paths, reads
 from readweave.plans import queries as Q
-from readweave.sources.fasta import FastaDataSource, read_fasta, record_count, write_fasta
+from readweave.sources.fasta import FastaDataSource, FastaError, _Reader, read_fasta, record_count, write_fasta
 from readweave.streaming import ingest
 
 SF = "/root/testdata/sf0.001"
@@ -224,6 +224,17 @@ def test_fasta(spark, tmp_path):
     assert record_count(spark, good).first().n_records == 2
     spark.dataSource.register(FastaDataSource)
     assert spark.read.format("fasta").option("path", good).option("readlen", 5).load().count() == 2
+    # Byte ranges of every size read each record once, and a stray line is found wherever a range begins.
+    some, stray = tmp_path / "some.fa", tmp_path / "stray.fa"
+    some.write_text("".join(f">read {k}\r\n{'ACGTN'[k % 5] * 5}\n" for k in range(9)))
+    stray.write_text(">a\nACGTA\nACGTA\n>b\nACGTA\n")
+    for size in (*range(1, 30), 1000):
+        reader = _Reader({"path": str(some), "readlen": "5", "blockbytes": size})
+        found = [r for p in reader.partitions() for r in reader.read(p)]
+        assert [(h, s) for _, h, s in found] == [(f"read {k}", "ACGTN"[k % 5] * 5) for k in range(9)] and found == sorted(found)
+        reader = _Reader({"path": str(stray), "readlen": "5", "blockbytes": size})
+        with pytest.raises(FastaError):
+            [list(reader.read(p)) for p in reader.partitions()]
     out = str(tmp_path / "out")
     write_fasta(spark.createDataFrame([(1, "CC"), (0, "AA")], "contig_id long, seq string"), out)
     assert [r.value for r in spark.read.text(out).collect()] == [">contig 0", "AA", ">contig 1", "CC"]
