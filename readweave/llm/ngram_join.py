@@ -367,8 +367,10 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     of_class = of_class.select(F.col("of.doc_id").alias("_id"), F.col("of.row").alias("_key"), F.lit(True).alias("_one"))
     bare = rows.where("root is null").select(F.col("doc_id").alias("_id"), F.col("row").alias("_key"), F.lit(False).alias("_one")).distinct()
     stays = of_class.unionByName(bare)
-    own = docs.withColumn("_row", row_key(docs))
-    kept = own.join(stays, own.doc_id.cast("long").eqNullSafe(stays._id) & (own._row == stays._key))
+    # The input's columns travel as one struct, so none of them meets a name used here.
+    carried = F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns])
+    own = docs.select(F.col("doc_id").cast("long").alias("id"), row_key(docs).alias("key"), carried.alias("given"))
+    kept = own.join(stays, own.id.eqNullSafe(stays._id) & (own.key == stays._key))
     # Rows that still share a key are equal in all columns, so it does not matter which of them stays.
     one = kept.where("_one").dropDuplicates(["_id", "_key"])
-    return one.unionByName(kept.where("not _one")).select(*docs.columns)
+    return one.unionByName(kept.where("not _one")).select("given.*")

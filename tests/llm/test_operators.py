@@ -432,6 +432,10 @@ def test_stages_judge_rows_without_or_with_repeated_ids(spark):
     assert sum(kept[r] for r in either) == 1
     want = collections.Counter([(3, a, "x"), (5, b, "x"), (None, d, "x"), (7, e, "x"), (None, "", "x"), (None, " ", "x"), (8, None, "x"), (8, None, "x")])
     assert {r: n for r, n in kept.items() if r not in either} == want
+    clashing = df.selectExpr("doc_id", "text", "source", "7 as _id", "'k' as _key", "'r' as _row", "'o' as _one", "'g' as given", "'i' as id", "'n' as node")
+    named = ngram_join.one_of_each(clashing)
+    assert named.columns == clashing.columns
+    assert {tuple(r)[3:] for r in named.collect()} == {(7, "k", "r", "o", "g", "i", "n")} and named.count() == sum(kept.values())
     bench = spark.createDataFrame([(1, " ".join(c.split()[10:25])), (2, " ".join(e.split()[:12]))], "item_id long, text string")
     clean = collections.Counter(tuple(r) for r in decontaminate.uncontaminated(df, bench).collect())
     assert clean == collections.Counter(r for r in rows if not (r[1] or "").startswith((c, e)))
