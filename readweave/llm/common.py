@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import discard, shared_dir, written  # noqa: F401
+
 #: Words are maximal runs of characters other than space and 0x09-0x0D.
 WHITE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,25 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only a local session without that setting gets a folder of its own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is not set; it must name a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="readweave-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def written(df: DataFrame, rows_in_file: int = 0) -> DataFrame:
-    """The same rows, from a table in the shared folder: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/readweave-{uuid.uuid4().hex}"
-    df.write.option("maxRecordsPerFile", rows_in_file).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def row_key(df: DataFrame) -> Column:
     """A hash of a row's columns and of which of them are null; maps, which have no hash, do not count."""
     names = [F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()]
@@ -71,7 +51,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root): root is the least node that pairs (a, b) connect with node.
 
     Alternating large-star and small-star rounds, each a pair of aggregations on node keys, until the
-    pairs are stars, which a further round would leave as they are; every round is a written table.
+    pairs are stars, which a further round would leave as they are; every round is a written table, and the one before it is deleted.
     Nothing is gathered by the driver but whether a node is left that is not settled.
     """
     pairs = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
@@ -82,6 +62,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         large = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         small_min = written(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(small_min, "u")
-        pairs = written(small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select("v", "m")).distinct())
+        spent, pairs = pairs, written(small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select("v", "m")).distinct())
+        discard(spent, least, large, small_min)
     rooted = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return rooted.union(rooted.select("root", "root").distinct())
