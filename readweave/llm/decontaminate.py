@@ -108,7 +108,8 @@ def _hits(docs: DataFrame, windows: DataFrame, carried: list[str]) -> DataFrame:
     prefix = prefix.select("window_id", "length", "k", F.col("p.place").alias("place"), F.col("p.shingle").alias("shingle"))
     prefix = _small(written(prefix.join(windows.select("window_id", "words"), "window_id")))
     found = seen.join(prefix, ["k", "shingle"]).withColumn("start", F.col("at") - F.col("place")).where("start >= 0 and start + length <= n")
-    found = found.groupBy(*_TEXT).agg(F.collect_list(F.struct("start", "length", "words", "window_id")).alias("found"))
+    # Written, so that the join with it stands alone and Spark may split the rows of a text with many copies.
+    found = written(found.groupBy(*_TEXT).agg(F.collect_list(F.struct("start", "length", "words", "window_id")).alias("found")))
 
     both = docs.join(found, _TEXT, "left")
     both = fixed(both.select(*out, "found", F.when(F.col("found").isNotNull(), folded_words(F.col("text"))).alias("w")))
@@ -125,6 +126,6 @@ def uncontaminated(docs: DataFrame, bench: DataFrame, window: int = 10, most: fl
     Each row goes or stays by its own text, whatever other rows of its doc_id, or without one, hold.
     """
     texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    judged = _hits(texts, written(item_windows(bench, window)), []).where(F.col("n_hit") > F.col("n_words") * F.lit(most)).select(*_TEXT).distinct()
+    judged = written(_hits(texts, written(item_windows(bench, window)), []).where(F.col("n_hit") > F.col("n_words") * F.lit(most)).select(*_TEXT).distinct())
     carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_marks(F.col("text")))
     return carried.join(judged, _TEXT, "left_anti").select("row.*")
