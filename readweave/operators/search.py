@@ -7,21 +7,29 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import growing
+
+#: Symbols of patterns of one length that are sent to each task; more are joined as sorted tables.
+_FEW = 1_000_000
+
 
 def locate(reads: DataFrame, patterns: DataFrame) -> DataFrame:
-    """pattern, read_id, pos (0-based), overlaps included: a join on equal k-mers for each pattern length."""
+    """pattern, read_id, pos (0-based), overlaps included: a join on equal k-mers for each pattern length.
+
+    A read's k-mers are not dealt out where the patterns are few, and never held by the driver.
+    """
     out = None
-    for row in patterns.select(F.length("pattern").alias("n")).distinct().collect():  # distinct lengths, at most a read's
+    for row in patterns.groupBy(F.length("pattern").alias("n")).agg(F.count("pattern").alias("rows")).where("n is not null").collect():  # distinct lengths, at most a read's
         own = patterns.where(F.length("pattern") == row.n).select("pattern")
         grams = reads.where(F.length("seq") >= row.n).select("read_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("seq") - (row.n - 1)), lambda i: F.substr("seq", i, F.lit(row.n)))).alias("pos", "pattern"))  # noqa: B023
-        found = grams.join(own, "pattern").select("pattern", "read_id", "pos")
+        found = grams.join(F.broadcast(own) if row.rows * row.n <= _FEW else growing(own), "pattern").select("pattern", "read_id", "pos")
         out = found if out is None else out.union(found)
-    return out
+    return reads.select(F.lit("").alias("pattern"), "read_id", F.lit(0).alias("pos")).limit(0) if out is None else out
 
 
 def count(reads: DataFrame, patterns: DataFrame) -> DataFrame:
     found = locate(reads, patterns).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
-    return patterns.select("pattern").join(found, "pattern", "left").select("pattern", F.coalesce("n", F.lit(0)).alias("n"))
+    return patterns.select("pattern").join(growing(found), "pattern", "left").select("pattern", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def kmer_count(reads: DataFrame, k: int) -> DataFrame:
@@ -47,7 +55,7 @@ def suffix_rank(reads: DataFrame, most: int = 200_000) -> DataFrame:
 
 def bwt(reads: DataFrame) -> DataFrame:
     """read_id, pos, rank, symbol: the base before each suffix in order of suffixes; $ before a whole read."""
-    ranked = suffix_rank(reads).join(reads.select("read_id", "seq"), "read_id")
+    ranked = suffix_rank(reads).join(growing(reads.select("read_id", "seq")), "read_id")
     return ranked.select("read_id", "pos", "rank", F.when(F.col("pos") == 0, "$").otherwise(F.substr("seq", F.col("pos"), F.lit(1))).alias("symbol"))
 
 
