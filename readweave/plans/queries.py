@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import canonical, edge_type, is_legal, rc
+from ..functions.joins import growing
 from ..functions.storage import shared_dir, written
 from ..operators import clean, contigs, graph, overlap, paths, reads, search
 from ..sources.fasta import read_fasta, record_count, write_fasta
@@ -219,7 +220,7 @@ def _contig_lines(spark, sf_dir):
 def _dump(cands, reads_, edges):
     """Candidate counts of each read before reduction, and its edges before cleaning; reads without edges stand alone."""
     kinds = edges.select(F.col("n").alias("read_id"), "d", F.col("k").cast("long").alias("k"), edge_type(F.col("ns"), F.col("ds")).alias("type"))
-    return overlap.candidate_counts(cands, reads_).select("read_id", *_long("olp_b", "olp_f")).join(kinds, "read_id", "left").select("read_id", "olp_b", "olp_f", F.coalesce("d", F.lit(-1)).alias("d"), F.coalesce("k", F.lit(-1)).alias("k"), F.coalesce("type", F.lit("")).alias("type"))
+    return overlap.candidate_counts(cands, reads_).select("read_id", *_long("olp_b", "olp_f")).join(growing(kinds), "read_id", "left").select("read_id", "olp_b", "olp_f", F.coalesce("d", F.lit(-1)).alias("d"), F.coalesce("k", F.lit(-1)).alias("k"), F.coalesce("type", F.lit("")).alias("type"))
 
 
 def _unitigs(spark, sf_dir):
