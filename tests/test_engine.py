@@ -37,7 +37,7 @@ def test_query_matches_sql(spark, name):
 
 #: Queries that failed by the driver's memory: a side that grows was broadcast.
 GROWING = (
-    "substring_count", "substring_locate", "overlap_bb", "overlap_bf", "overlap_dump", "overlap_fb", "overlap_ff", "edge_support", "missing_mirror", "missing_mirror_cut", "side_degrees", "suspect_nodes", "average_overlap", "edge_type_histogram", "path_types", "paths", "branch_split", "unitig_stats", "contig_reads", "tips_fixpoint", "dead_end_walk",
+    "substring_count", "substring_locate", "overlap_bb", "overlap_bf", "overlap_dump", "overlap_fb", "overlap_ff", "edge_support", "missing_mirror", "missing_mirror_cut", "side_degrees", "suspect_nodes", "average_overlap", "edge_type_histogram", "path_types", "paths", "branch_split", "unitig_stats", "contig_reads", "tips_fixpoint", "dead_end_walk", "contigs", "contig_stats",
 )
 
 
