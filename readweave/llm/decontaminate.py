@@ -79,28 +79,35 @@ def _hits(docs: DataFrame, windows: DataFrame, carried: list[str]) -> DataFrame:
     """carried columns, mark, mark2, n_words, n_hit, held (window_ids) of each row of docs."""
     docs = docs.select(*carried, "text", *_marks(F.col("text")))
     windows = windows.select("window_id", "words", "length").distinct()
-    out = [*carried, *_TEXT, F.regexp_count("text", F.lit(_WORD)).cast("long").alias("n_words")]
     no_window = F.array().cast("array<string>")
 
     # Shingles of all windows: their size is what the shortest window allows.
     shingles = windows.withColumn("w", F.split("words", " ")).withColumn("k", F.least(F.lit(SHINGLE), F.size("w")))
     sizes = sorted(r.k for r in shingles.select("k").distinct().collect())  # 1 to SHINGLE
     if not sizes:
-        return docs.select(*out, F.lit(0).cast("long").alias("n_hit"), no_window.alias("held"))
+        return docs.select(*carried, *_TEXT, F.regexp_count("text", F.lit(_WORD)).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), no_window.alias("held"))
     hashes = F.lit(None).cast("array<bigint>")
     for k in sizes:
         hashes = F.when(F.col("k") == k, _runs(F.col("w"), k)).otherwise(hashes)
     shingles = written(shingles.select("window_id", "length", "k", F.posexplode(hashes).alias("place", "shingle")))
     known = _small(shingles.select("k", "shingle").distinct())
 
-    # All places of distinct texts where a benchmark shingle stands, and from these how rare each is.
+    # All places of distinct texts where a benchmark shingle stands, and from these how rare each is.  Place -1 stands in
+    # every text once and brings its number of words, so that words are split in this pass only.
     seen = None
     for k in sizes:
         runs = fixed(docs.select(*_TEXT, folded_words(F.col("text")).alias("w"))).select(*_TEXT, F.size("w").alias("n"), _runs(F.col("w"), k).alias("runs"))
-        each = runs.select(*_TEXT, "n", F.lit(k).alias("k"), F.posexplode("runs").alias("at", "shingle"))
-        each = each.join(known.where(F.col("k") == k).select("shingle"), "shingle", "left_semi").select(*_TEXT, "n", "k", "at", "shingle")
+        if k == sizes[0]:
+            runs = runs.withColumn("runs", F.concat(F.array("mark"), F.coalesce("runs", F.array().cast("array<bigint>"))))
+            each = runs.select(*_TEXT, "n", F.lit(k).alias("k"), F.posexplode("runs").alias("at", "shingle")).withColumn("at", F.col("at") - 1)
+            each = each.join(known.where(F.col("k") == k).select("shingle", F.lit(True).alias("known")), "shingle", "left").where("known or at = -1")
+        else:
+            each = runs.select(*_TEXT, "n", F.lit(k).alias("k"), F.posexplode("runs").alias("at", "shingle"))
+            each = each.join(known.where(F.col("k") == k).select("shingle"), "shingle", "left_semi")
+        each = each.select(*_TEXT, "n", "k", "at", "shingle")
         seen = each if seen is None else seen.unionByName(each)
     seen = written(seen.distinct())
+    every, seen = seen.where("at = -1"), seen.where("at >= 0")
     counts = seen.groupBy("k", "shingle").agg(F.count(F.lit(1)).alias("many"))
     # Rarest shingle of each window; a window with one that no document has needs no search.
     ranked = shingles.join(counts, ["k", "shingle"], "left").groupBy("window_id", "length", "k")
@@ -109,10 +116,12 @@ def _hits(docs: DataFrame, windows: DataFrame, carried: list[str]) -> DataFrame:
     prefix = _small(written(prefix.join(windows.select("window_id", "words"), "window_id")))
     found = seen.join(prefix, ["k", "shingle"]).withColumn("start", F.col("at") - F.col("place")).where("start >= 0 and start + length <= n")
     # Written, so that the join with it stands alone and Spark may split the rows of a text with many copies.
-    found = written(found.groupBy(*_TEXT).agg(F.collect_list(F.struct("start", "length", "words", "window_id")).alias("found")))
+    found = found.select(*_TEXT, F.lit(None).cast("int").alias("n"), F.struct("start", "length", "words", "window_id").alias("f"))
+    found = found.unionByName(every.select(*_TEXT, "n"), allowMissingColumns=True).groupBy(*_TEXT).agg(F.max("n").cast("long").alias("n_words"), F.collect_list("f").alias("found"))
+    found = written(found.withColumn("found", F.when(F.size("found") > 0, F.col("found"))))
 
     both = docs.join(found, _TEXT, "left")
-    both = fixed(both.select(*out, "found", F.when(F.col("found").isNotNull(), folded_words(F.col("text"))).alias("w")))
+    both = fixed(both.select(*carried, *_TEXT, "n_words", "found", F.when(F.col("found").isNotNull(), folded_words(F.col("text"))).alias("w")))
     true = F.filter("found", lambda c: F.array_join(F.slice("w", c["start"] + 1, c["length"]), " ") == c["words"])
     both = fixed(both.select(*carried, *_TEXT, "n_words", F.when(F.col("found").isNotNull(), true).alias("found")))
     hit = F.size(F.array_distinct(F.flatten(F.transform("found", lambda c: F.sequence(c["start"], c["start"] + c["length"] - 1)))))

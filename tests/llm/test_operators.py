@@ -249,6 +249,14 @@ def test_decontaminate(spark, docs, rows):
     assert sorted((r.mark, r.mark2) for r in decontaminate.uncontaminated(own, df).collect()) == [(3, "z"), (4, "z")]
 
 
+def test_decontaminate_splits_words_in_one_pass(spark):
+    items = spark.createDataFrame([("a", "One two"), ("b", "p q r s t u v w x y z"), ("c", "solo")], "item_id string, text string")
+    texts = ["", None, "one-TWO three", "solo", "p q r s t u v w x y z solo", "no item here", "no item here"]
+    out = decontaminate._hits(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), decontaminate.item_windows(items, 10), ["doc_id"])
+    assert [(r.n_words, r.n_hit) for r in out.orderBy("doc_id").collect()] == [(0, 0), (0, 0), (3, 2), (1, 1), (12, 12), (3, 0), (3, 0)]
+    assert "regexp" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_substring_dedup(docs, rows):
     found, first = by_id(substring_dedup.substring_dedup(docs, with_text=True)), {}
     for i in sorted(rows):
