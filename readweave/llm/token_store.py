@@ -171,20 +171,34 @@ _SHARD = pa.schema([("part", pa.int32()), ("nth", pa.int32()), ("n_ids", pa.int6
 
 #: Bytes that are, or may begin, white space inside a segment, and a space at its end.
 _ODD = re.compile(rb"[\x00-\x1f\x7f\xc2\xe1-\xe3]|[^\x00]\x20|\x20\Z|\A\Z")
-#: A word of letters (ASCII and U+00C0-U+00FF), with a leading space or none, then a sentence mark or none: the
-#: splitting pattern makes a token of the word with its space and one of the mark.
-_LEAN = re.compile(rb"\x20?(?:[A-Za-z]++|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++[,.;:!?]?\Z")
-#: Where a byte-level tokenizer writes bytes that have no printable Latin-1 character: 256 on, in their order.
-_HIGH = re.compile("[^\x00-\x7f]")
-_BYTE_LEVEL = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE))}
+#: The character in which a byte-level tokenizer writes each byte: those without a printable Latin-1 character from 256 on,
+#: in their order.  Bytes 1 and 2, which no word holds, stand for a space and for the end of a text.
+_BYTE_LEVEL = np.arange(256, dtype="<u2")
+_BYTE_LEVEL[[b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE)]] = np.arange(256, 324)
+_BYTE_LEVEL[[1, 2]] = 0x20, 2
+#: What a byte may be, as bits: before a cut, the first of a character of two bytes, behind a cut, an ASCII letter, a mark other
+#: than ', the second of a letter that begins with 0xC3 (U+00C0-U+00FF but the signs of multiplication and division), a
+#: later byte of a character.
+_ENDS, _TWO, _BEGINS, _LETTER, _MARK, _LATIN, _LATER = (1 << k for k in range(7))
+
+
+def _may_be(b: int) -> int:
+    printed, two, letter = 0x20 < b < 0x80, 0xC3 <= b <= 0xDF, chr(b).isalpha() and b < 0x80
+    found = _ENDS * printed | _TWO * two | _BEGINS * (printed or two or b >= 0xE4) | _LETTER * letter
+    found |= _MARK * (0x20 < b < 0x7F and not chr(b).isalnum() and b != 0x27)
+    return found | _LATIN * (0x80 <= b <= 0xBF and b not in (0x97, 0xB7)) | _LATER * (b >= 0x80)
+
+
+_CLASS = bytes(map(_may_be, range(256)))
 
 
 class SegmentEncoder:
     """Encodes whole texts with a byte-level BPE tokenizer, each distinct segment of a slice once.
 
-    A segment begins at a text's start, at a single space between two characters that are no white space, and before
-    and after a single line end between two such characters.  The tokenizer's splitting pattern always cuts there, and merges never cross a cut, so the ids of a text are those of
-    its segments one after the other.  Bytes that may belong to other Unicode white space never make a cut.  A text that
+    A segment begins at a text's start, at a single space between two characters that are no white space, before
+    and after a single line end between two such characters, and, with GPT-2's splitting pattern, at an ASCII mark other
+    than ' behind a letter (ASCII or U+00C0-U+00FF), so that a word is the same segment before any mark.  The tokenizer's
+    splitting pattern always cuts there, and merges never cross a cut, so the ids of a text are those of its segments one after the other.  Bytes that may belong to other Unicode white space never make a cut.  A text that
     holds the string of an added token goes to the tokenizer whole.
     """
 
@@ -206,11 +220,6 @@ class SegmentEncoder:
         self.kind = np.uint16 if max(self.tokenizer.get_vocab().values(), default=0) < 1 << 16 else np.uint32
         self.wide = np.dtype(self.kind).itemsize
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
-        byte = np.arange(256)
-        self.ends = (byte > 0x20) & (byte < 0x80)
-        self.two = (byte >= 0xC3) & (byte <= 0xDF)
-        self.begins = self.ends | self.two | (byte >= 0xE4)
-
         self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.lean = self._lean_tokenizer()
 
@@ -239,30 +248,11 @@ class SegmentEncoder:
         own = ids.tobytes()
         return [own[self.wide * a : self.wide * b] for a, b in zip([0, *[c + 1 for c in cuts[:-1]]], cuts, strict=True)]
 
-    def _encoded(self, segments: list[bytes]) -> list[bytes]:
-        """Ids of each segment, as bytes of numbers of `kind`.
-
-        Lean segments are cut and spelled in byte-level characters here and go to the merges as they are; others
-        pass the tokenizer's own splitting pattern.
-        """
-        lean = [_LEAN.match(x) is not None for x in segments] if self.lean is not None else [False] * len(segments)
-        words = [x for x, is_lean in zip(segments, lean, strict=True) if is_lean]
-        found = None
-        if words:
-            spelled = b"\n".join(words).decode()
-            if not spelled.isascii():
-                high = {c: c.encode().decode("latin-1").translate(_BYTE_LEVEL) for c in set(spelled) if not c.isascii()}
-                spelled = _HIGH.sub(lambda m: high[m[0]], spelled)
-            spelled = spelled.replace(" ", chr(_BYTE_LEVEL[0x20]))
-            for mark in ",.;:!?":
-                spelled = spelled.replace(mark, " " + mark)
-            lines, between = spelled.split("\n"), f" {chr(_BYTE_LEVEL[0x0A])} "
-            texts = [between.join(lines[k : k + self.LINES]) for k in range(0, len(lines), self.LINES)]
-            found = self._lines(getattr(self.lean, "encode_batch_fast", self.lean.encode_batch), texts, len(words))
-        if found is None:
-            return self._patterned(segments)
-        rest, word = iter(self._patterned([x for x, is_lean in zip(segments, lean, strict=True) if not is_lean])), iter(found)
-        return [next(word) if is_lean else next(rest) for is_lean in lean]
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of segments that are letters behind a space or none, spelled in byte-level characters here: they go to the merges as they are."""
+        texts = b"\2".join(b"\1\n\1".join(words[k : k + self.LINES]) for k in range(0, len(words), self.LINES))
+        spelled = _BYTE_LEVEL[np.frombuffer(texts, np.uint8)].tobytes().decode("utf-16-le")
+        return self._lines(getattr(self.lean, "encode_batch_fast", self.lean.encode_batch), spelled.split("\2"), len(words)) or self._patterned(words)
 
     def _patterned(self, segments: list[bytes]) -> list[bytes]:
         """Ids of segments by the tokenizer's own splitting pattern.
@@ -311,8 +301,10 @@ class SegmentEncoder:
         offsets = offsets - offsets[0]
         if not len(data):
             return np.zeros(0, self.kind), np.zeros(n, np.int64)
-        cut = np.zeros(len(data), bool)
-        between = (self.ends[data[1:-2]] | (self.two[data[:-3]] & (data[1:-2] >= 0x80))) & self.begins[data[3:]]
+        raw = data.tobytes()
+        cut, kind = np.zeros(len(data), bool), np.frombuffer(raw.translate(_CLASS), np.uint8)
+        has = lambda bits, low, high: kind[low:high] & bits != 0
+        between = (has(_ENDS, 1, -2) | has(_TWO, 0, -3) & has(_LATER, 1, -2)) & has(_BEGINS, 3, None)
         line = (data[2:-1] == 0x0A) & between
         cut[2:-1] = (data[2:-1] == 0x20) & between | line
         cut[3:] |= line
@@ -320,17 +312,24 @@ class SegmentEncoder:
         edges = offsets[:-1][offsets[1:] > offsets[:-1]]
         cut[offsets[1:][offsets[1:] > offsets[:-1]] - 1] = False
         cut[edges] = True
+        letter = has(_LETTER, 0, None)
+        if self.lean is not None:
+            pair = (data[:-1] == 0xC3) & has(_LATIN, 1, None)
+            letter[:-1] |= pair
+            letter[1:] |= pair
+            cut[1:] |= letter[:-1] & has(_MARK, 1, None)
         start = np.flatnonzero(cut)
         end = np.append(start[1:], len(data))
         # Bytes are compared after it, so a plain polynomial hash will do.
         code = pd.factorize(prefix_hash(data, start, end))[0]
         code, first = self._same(data, start, end, code)
-        raw = data.tobytes()
         known, segments = self.known, [raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
         found = list(map(known.get, segments))
-        new = [i for i, x in enumerate(found) if x is None]
-        if new:
-            for i, ids in zip(new, self._encoded([segments[i] for i in new]), strict=True):
+        new = np.array([x is None for x in found])
+        letter[start] |= (data[start] == 0x20) & (end - start > 1)
+        word = np.logical_and.reduceat(letter, start)[first] if self.lean is not None else np.zeros(len(first), bool)
+        for own, encoded in ((np.flatnonzero(new & word).tolist(), self._words), (np.flatnonzero(new & ~word).tolist(), self._patterned)):
+            for i, ids in zip(own, encoded([segments[i] for i in own]) if own else [], strict=True):
                 found[i] = ids
                 size = len(segments[i]) + len(ids) + 200
                 if self.held + size <= self.KEPT_BYTES:

@@ -427,6 +427,20 @@ def test_segments_match_whole_texts():
     assert ids.tolist() == [i for w in whole for i in w]
 
 
+def test_a_word_is_one_segment_before_any_mark():
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, marks = token_store.SegmentEncoder(path), [*"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", "###", "...", '."', "),"]
+    encoder(pa.array(["".join(f" grün{m}" for m in marks)]))
+    assert [x for x in encoder.known if "grün".encode() in x] == [" grün".encode()]
+    parts = ["a", "Z", "don't", "x's", "'", "é", "ß", "×", "÷", "e\u0301", "Ā", "µ", "漢", "7", " ", "\n", "\u00a0", "\x01", "\x02", "\x7f", *marks]
+    rng = random.Random(6)
+    texts = ["a", "a.", ".a", "é,", "Ã", *("".join(rng.choices(parts, k=rng.randint(1, 30))) for _ in range(3000))]
+    ids, many = encoder(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(many)[:-1])] == [e.ids for e in _fresh_tokenizer(path).encode_batch(texts, add_special_tokens=False)]
+
+
 def test_stages_judge_rows_without_or_with_repeated_ids(spark):
     rnd = random.Random(11)
     say = lambda: " ".join(f"v{rnd.randint(0, 9999)}" for _ in range(60))
