@@ -342,3 +342,82 @@ def test_path_rounds_ask_no_query_of_their_own(spark):
     assert last() - before <= 7
     assert sorted((r.x, r.y, r.steps) for r in walks.collect()) == [(i, 40, 40 - i) for i in range(40)]
     assert paths.doubled(steps.where("x < 0")).count() == 0
+
+
+def test_shortlist_reduces_as_all_candidates_do(spark):
+    rnd = random.Random(9)
+    genomes = ["".join(rnd.choice("ACGT") for _ in range(60)), "ACG" * 15, "AT" * 20]
+    genomes.append(genomes[0][:30] + turned(genomes[0][30:]))
+    seqs = list({min(s, turned(s)): s for g in genomes for i in range(0, len(g) - 13, 2) for s in (g[i : i + 14],)}.values())
+    table = spark.createDataFrame(list(enumerate(seqs)), "read_id long, seq string")
+    found, (cands, edges) = overlap.candidates(reads.oriented(table), 14, 5), model(seqs, 5)
+    short = overlap.shortlist(found)
+    rows = {tuple(r) for r in short.drop("olp").collect()}
+    assert rows < cands and len(rows) < len(cands) / 2
+    assert {tuple(r) for r in overlap.reduced(short).collect()} == edges
+    assert sorted(map(tuple, overlap.shortlist_counts(short, table).collect())) == sorted(map(tuple, overlap.candidate_counts(found, table).collect()))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_walks_in_one_task_are_those_of_rounds(spark, monkeypatch, seed):
+    rnd = random.Random(seed)
+    ids, rows = iter(rnd.sample(range(1000), 200)), []
+    for n in (1, 2, 3, 17, 40):
+        walk = [(next(ids), rnd.randrange(2)) for _ in range(n + 1)]
+        rows += [(*a, *b, rnd.randrange(1, 20)) for a, b in zip(walk, walk[1:])]
+    for n in (1, 5):
+        ring = [(next(ids), rnd.randrange(2)) for _ in range(n)]
+        rows += [(*a, *b, 1) for a, b in zip(ring, ring[1:] + ring[:1])]
+    steps = spark.createDataFrame(rnd.sample(rows, len(rows)), "x long, xs int, y long, ys int, bp int")
+    queries = lambda: spark._jsparkSession.sharedState().statusStore().executionsCount()
+    before = queries()
+    one = paths.doubled(steps)
+    # One to write the steps and one to walk; rounds of joins took one each.
+    assert queries() - before <= 2
+    monkeypatch.setattr(paths, "ONE_TASK", 0)
+    rounds = paths.doubled(steps)
+    assert one.schema == rounds.schema and len(rows) - 6 == one.count()
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, rounds.collect()))
+
+
+def test_bubbles_are_judged_once_on_a_graph_that_stays(spark, monkeypatch):
+    judged = []
+    monkeypatch.setattr(clean, "judged_bubbles", lambda *a, f=clean.judged_bubbles: judged.append(1) or f(*a))
+    g = _hand(spark, [*chain(0, 1, 2), *chain(2, 10, 3, k=5), *chain(2, *range(20, 34), 3), *chain(3, 4, 5)])
+    once = clean.remove_bubbles(g, 10)
+    # Once to find the arm and once to find no other.
+    assert len(judged) == 2
+    assert clean.remove_bubbles(clean.remove_bridges(once), 10) is once and len(judged) == 2
+    # Another length is another question, as is another graph.
+    clean.remove_bubbles(once, 11)
+    clean.remove_bubbles(clean.without(once, gone_nodes=spark.createDataFrame([(0,)], "read_id long")), 10)
+    assert len(judged) == 4
+
+
+def test_dedup_hashes_numbers_and_sorts_no_reads(spark):
+    rows = [(3, "ACGTT"), (1, "AACGT"), (7, "GGGCA"), (2, "TGCCC"), (5, "ACGCA"), (5, "TGCGT"), (9, "ACGT"), (8, "ACGT")]
+    raw = spark.createDataFrame(rows, "file_ord long, seq string")
+    for table in (raw, raw.withColumn("turned", rc(F.col("seq")))):
+        kept = reads.dedup_exact(table)
+        # Of two forms under one number, which files do not have, the lesser stays.
+        assert sorted(map(tuple, kept.collect())) == [(1, "AACGT"), (2, "TGCCC"), (5, "ACGCA"), (8, "ACGT")]
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+@pytest.mark.parametrize("n", [50, 700, 7919 + 49])
+def test_reads_are_cut_where_their_numbers_say(spark, tmp_path, n):
+    from readweave.plans import fixtures
+
+    bases = _genome(n, seed=n)
+    spark.createDataFrame([(i, "ACGT".index(b)) for i, b in enumerate(bases)], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    other = "".join("CGTA"["ACGT".index(b)] if i % 400 == 200 else b for i, b in enumerate(bases))
+    want = []
+    for genome, cover, step, at in ((bases, 30, 7919, 0), (other, 8, 6007, 1000000)):
+        for i in range(n * cover // 50):
+            s = genome[(i * step) % (n - 49) :][:50]
+            want.append((i + at, *((turned(s), s) if i % 2 else (s, turned(s)))))
+    found = fixtures.haplotype_reads(spark, str(tmp_path))
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    # No table of reads is dealt out to meet the genome.
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
